@@ -55,7 +55,9 @@ def dedup_stream_ttl(
     most ``ttl_seconds`` old; a duplicate does not extend that.
 
     Needs the RocksDB state provider in the session (``ROCKSDB_PROVIDER``).  State
-    expires by itself and survives a restart.
+    expires by itself and survives a restart.  With an ``availableNow`` trigger set
+    ``spark.sql.streaming.noDataMicroBatches.enabled`` to false, or the operator's
+    wish for empty batches (to expire state) keeps the query running for ever.
     """
     from pyspark.sql.streaming import StatefulProcessor
 
