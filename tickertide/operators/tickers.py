@@ -39,8 +39,8 @@ def extract_tickers(
 ) -> DataFrame:
     """Add the ordered distinct tickers of each text.
 
-    ``keys`` name the columns that identify a row; they are only needed when the
-    allowlist is too large for the in-plan set.
+    ``keys`` name the (non-null) columns that identify a row; they only help when
+    the allowlist is too large for the in-plan set.
     """
     if allow is None:
         found = ordered_distinct(drop_stop_tokens(ticker_candidates(text_col)))
@@ -80,21 +80,25 @@ def keep_allowed_join(
 ) -> DataFrame:
     """The same filter as a semi join, for lists too large for the plan.
 
-    Only (keys, position, symbol) travel; a group holds the symbols of one row.
+    Only (keys, digest of the candidates, position, symbol) travel.  The digest
+    makes the answer right whatever the keys are; the keys spread copies of one
+    text over the tasks.  A group holds the symbols of one text.
     """
-    if not keys:
-        raise ValueError("name the key columns when the allowlist needs a join")
     if allow.limit(BROADCAST_LIMIT + 1).count() <= BROADCAST_LIMIT:
         allow = F.broadcast(allow)
-    flat = df.select(*keys, F.posexplode(F.array_distinct(column)).alias("pos", "symbol"))
+    digest = F.sha2(F.array_join(column, ","), 256)
+    df = df.withColumn("_digest", digest)
+    by = [*(keys or []), "_digest"]
+    flat = df.select(*by, F.posexplode(F.array_distinct(column)).alias("pos", "symbol"))
     kept = (
         flat.join(allow, "symbol", "left_semi")
-        .groupBy(*keys)
+        .distinct()
+        .groupBy(*by)
         .agg(F.sort_array(F.collect_list(F.struct("pos", "symbol"))).alias("hits"))
-        .select(*keys, F.col("hits.symbol").alias("_kept"))
+        .select(*by, F.col("hits.symbol").alias("_kept"))
     )
     return (
-        df.join(kept, keys, "left")
+        df.join(kept, by, "left")
         .withColumn(column, F.coalesce("_kept", F.expr("cast(array() as array<string>)")))
-        .drop("_kept")
+        .drop("_kept", "_digest")
     )
