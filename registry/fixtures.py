@@ -16,6 +16,9 @@ ALLOW = (
 ).split()
 
 
+_LABELS = ", ".join(f"'{label}'" for label in STANCE_LABELS)
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spread(pin_utc(spark).read.parquet(f"{sf}/documents.parquet"))
 
@@ -30,33 +33,22 @@ def _of64(expression: Column, scale: int = 64) -> Column:
 
 def posts(spark: SparkSession, sf: str) -> DataFrame:
     """Raw posts plus the label maps a scorer would return."""
-    d = F.col("doc_id")
-    p_pos, p_neg = _of64(d * 7 % 33), _of64(d * 11 % 31)
-    stance = F.element_at(F.array(*[F.lit(s) for s in STANCE_LABELS]), (d * 5 % 6 + 1).cast("int"))
-    emotion = F.create_map(
-        F.lit("Joy"), _of64(d % 9, 16),
-        F.lit("optimism"), _of64(d % 7, 16),
-        F.lit("sadness"), _of64(d % 5, 16),
-        F.lit("anger"), _of64(d % 4, 16),
-    )
-    return documents(spark, sf).select(
+    return documents(spark, sf).selectExpr(
         "doc_id",
-        F.when(d % 3 == 0, "news").otherwise("reddit").alias("source"),
-        F.concat(F.lit("p"), d.cast("string")).alias("post_id"),
-        F.timestamp_seconds(F.lit(MIDNIGHT) + d * 7919 % 86400).alias("created_at"),
-        F.when(d % 11 != 0, F.concat(F.lit("u"), (d % 17).cast("string"))).alias("author"),
+        "if(doc_id % 3 = 0, 'news', 'reddit') AS source",
+        "concat('p', doc_id) AS post_id",
+        f"timestamp_seconds({MIDNIGHT} + doc_id * 7919 % 86400) AS created_at",
+        "if(doc_id % 11 = 0, null, concat('u', doc_id % 17)) AS author",
         "text",
-        F.when(
-            d % 5 == 0, F.concat(F.lit(" HTTP://Ex.org/"), (d % 50).cast("string"), F.lit(" "))
-        ).alias("url"),
-        F.create_map(F.lit("lang"), F.col("lang")).alias("meta"),
-        F.struct(
-            F.create_map(
-                F.lit("Positive"), p_pos, F.lit("NEGATIVE"), p_neg, F.lit("neutral"), 1 - p_pos - p_neg
-            ).alias("finance"),
-            F.map_filter(emotion, lambda _, v: v > 0).alias("emotion"),
-            F.create_map(stance, _of64(d % 65)).alias("stance"),
-        ).alias("scores"),
+        "if(doc_id % 5 = 0, concat(' HTTP://Ex.org/', doc_id % 50, ' '), null) AS url",
+        "map('lang', lang) AS meta",
+        f"""named_struct(
+            'finance', map('Positive', doc_id * 7 % 33 / 64D, 'NEGATIVE', doc_id * 11 % 31 / 64D,
+                           'neutral', 1 - doc_id * 7 % 33 / 64D - doc_id * 11 % 31 / 64D),
+            'emotion', map_filter(map('Joy', doc_id % 9 / 16D, 'optimism', doc_id % 7 / 16D,
+                                      'sadness', doc_id % 5 / 16D, 'anger', doc_id % 4 / 16D), (k, v) -> v > 0),
+            'stance', map(element_at(array({_LABELS}), cast(doc_id * 5 % 6 + 1 AS int)), doc_id % 65 / 64D)
+        ) AS scores""",
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickertide.functions.text import author_key
@@ -9,8 +11,9 @@ from tickertide.functions.time import BUCKET, floor_5m
 from tickertide.schema import MEASURES, ROLLUP
 
 _NO_SUMS = "cast(map() as map<string,double>)"
-_COUNTS = [m for m in MEASURES if m.endswith("_count")]
-_SUMS = [m for m in MEASURES if m not in _COUNTS]
+# A fact is labelled by the author it counts or the emotion it adds to.
+_AUTHOR, _EMOTION = "@", "#"
+_SUMS = ("weighted_mentions", "sentiment_sum", "conviction_sum")
 
 
 def explode_mentions(posts: DataFrame) -> DataFrame:
@@ -34,60 +37,50 @@ def explode_mentions(posts: DataFrame) -> DataFrame:
     )
 
 
-def _flag(condition: Column) -> Column:
-    return F.when(condition, 1).otherwise(0).cast("long")
-
+# The additive measures of a single mention.
+_PER_MENTION = {
+    "mention_count": "1L",
+    "weighted_mentions": "source_weight",
+    "news_count": "if(source = 'news', 1L, 0L)",
+    "reddit_count": "if(source = 'reddit', 1L, 0L)",
+    "sentiment_sum": "finbert_score",
+    "sentiment_count": "1L",
+    "bullish_count": "if(stance_label = 'bullish', 1L, 0L)",
+    "bearish_count": "if(stance_label = 'bearish', 1L, 0L)",
+    "neutral_count": "if(stance_label IN ('bullish', 'bearish'), 0L, 1L)",
+    "conviction_sum": "conviction",
+}
 
-def mention_measures() -> dict[str, Column]:
-    """The additive measures of a single mention."""
-    stance = F.col("stance_label")
-    return {
-        "mention_count": F.lit(1).cast("long"),
-        "weighted_mentions": F.col("source_weight"),
-        "news_count": _flag(F.col("source") == "news"),
-        "reddit_count": _flag(F.col("source") == "reddit"),
-        "sentiment_sum": F.col("finbert_score"),
-        "sentiment_count": F.lit(1).cast("long"),
-        "bullish_count": _flag(stance == "bullish"),
-        "bearish_count": _flag(stance == "bearish"),
-        "neutral_count": _flag(~F.coalesce(stance.isin("bullish", "bearish"), F.lit(False))),
-        "conviction_sum": F.col("conviction"),
-    }
 
+def _facts(
+    rows: DataFrame, keys: list[str], values: dict[str, str], label: str, emotions: str
+) -> DataFrame:
+    """Turn each row into one measure fact and one fact per emotion, and sum them.
 
-def _facts(df: DataFrame, keys: list[str], emotions: Column, member: Column) -> DataFrame:
-    """Turn each row into one measure fact and one fact per emotion label.
-
-    Summing facts by (keys, kind, label) collapses hot groups on the map side,
+    ``values`` holds the SQL of every measure, ``label`` that of the measure
+    fact's label.  Summing by (keys, label) collapses hot groups on the map side,
     so neither an author set nor a pile of maps is ever gathered per group.
     """
-    nothing = [F.lit(0).cast("long").alias(m) for m in _COUNTS]
-    nothing += [F.lit(0.0).alias(m) for m in _SUMS]
-    own = F.struct(
-        F.lit(0).alias("kind"),
-        member.alias("label"),
-        F.lit(0.0).alias("amount"),
-        *[F.col(m).alias(m) for m in _COUNTS + _SUMS],
-    )
-    per_label = F.transform(
-        F.map_entries(F.coalesce(emotions, F.expr(_NO_SUMS))),
-        lambda e: F.struct(
-            F.lit(1).alias("kind"),
-            e["key"].alias("label"),
-            F.coalesce(e["value"], F.lit(0.0)).alias("amount"),
-            *nothing,
-        ),
-    )
-    facts = df.select(*keys, F.inline(F.concat(F.array(own), per_label)))
-    return facts.groupBy(*keys, "kind", "label").agg(
-        F.sum("amount").alias("amount"), *[F.sum(m).alias(m) for m in MEASURES]
+    own = ", ".join(f"'{m}', {sql}" for m, sql in values.items())
+    none = ", ".join(f"'{m}', {'0D' if m in _SUMS else '0L'}" for m in values)
+    facts = rows.selectExpr(
+        *keys,
+        f"""inline(concat(
+            array(named_struct('label', {label}, 'amount', 0D, {own})),
+            transform(map_entries(coalesce({emotions}, {_NO_SUMS})), e -> named_struct(
+                'label', concat('{_EMOTION}', e.key), 'amount', coalesce(e.value, 0D), {none}))))""",
     )
+    return facts.groupBy(*keys, "label").agg(*_sum_exprs(["amount", *values]))
+
 
+def _sum_exprs(names: Iterable[str]) -> list[Column]:
+    return [F.expr(f"sum({name}) AS {name}") for name in names]
 
-def _emotion_sums() -> Column:
-    """The map of one group; it holds as many entries as there are labels."""
-    entries = F.collect_list(F.when(F.col("kind") == 1, F.struct("label", "amount")))
-    return F.map_from_entries(F.sort_array(entries))
+
+# The emotion map of one group; it holds as many entries as there are labels.
+_EMOTION_MAP = f"""map_from_entries(sort_array(collect_list(
+    if(startswith(label, '{_EMOTION}'), named_struct('label', substr(label, 2), 'amount', amount), null)
+))) AS emotion_sums"""
 
 
 def rollup_5m(
@@ -99,27 +92,24 @@ def rollup_5m(
     which makes ``unique_authors`` additive over successive calls.  ``windowed``
     groups by Spark's event-time window, as a watermarked stream needs.
     """
-    measured = explode_mentions(posts).withColumns(
-        {**mention_measures(), "_author": author_key("source", "author")}
-    )
+    mentions = explode_mentions(posts).withColumn("_author", author_key("source", "author"))
     if windowed:
         keys = ["bucket", "ticker"]
-        measured = measured.withColumn("bucket", F.window("created_at", BUCKET))
+        mentions = mentions.withColumn("bucket", F.window("created_at", BUCKET))
     else:
         keys = ["bucket_start", "ticker"]
-        measured = measured.withColumn("bucket_start", floor_5m("created_at"))
-    facts = _facts(measured, keys, F.col("emotions"), F.col("_author"))
-    is_new = (F.col("kind") == 0) & F.col("label").isNotNull()
+        mentions = mentions.withColumn("bucket_start", floor_5m("created_at"))
+    facts = _facts(mentions, keys, _PER_MENTION, f"concat('{_AUTHOR}', _author)", "emotions")
+    is_new = F.coalesce(F.col("label").startswith(_AUTHOR), F.lit(False))
     if known_authors is not None:
         seen = known_authors.select(
-            *keys, F.lit(0).alias("kind"), F.col("author_key").alias("label"), F.lit(True).alias("_seen")
+            *keys, F.concat(F.lit(_AUTHOR), "author_key").alias("label"), F.lit(True).alias("_seen")
         )
-        facts = facts.join(seen, [*keys, "kind", "label"], "left")
+        # The facts are partitioned by these very columns already.
+        facts = facts.join(seen, [*keys, "label"], "left")
         is_new = is_new & F.col("_seen").isNull()
     rolled = facts.groupBy(*keys).agg(
-        *[F.sum(m).alias(m) for m in MEASURES],
-        F.count_if(is_new).alias("unique_authors"),
-        _emotion_sums().alias("emotion_sums"),
+        *_sum_exprs(MEASURES), F.count_if(is_new).alias("unique_authors"), F.expr(_EMOTION_MAP)
     )
     if windowed:
         rolled = rolled.withColumn("bucket_start", F.col("bucket.start"))
@@ -166,26 +156,9 @@ def sum_rollup(rows: DataFrame, keys: list[str], with_authors: bool = False) ->
     Author counts add up only when the rows count disjoint author sets, as
     successive deltas do; they do not add up over buckets.
     """
-    extra = [F.sum("unique_authors").alias("unique_authors")] if with_authors else []
-    sums = [F.sum(m).alias(m) for m in MEASURES] + extra
-    names = [*MEASURES, *(["unique_authors"] if with_authors else [])]
-    own = F.struct(F.lit(None).cast("string").alias("label"), F.lit(0.0).alias("amount"), *names)
-    zeros = [
-        (F.lit(0.0) if n in _SUMS else F.lit(0).cast("long")).alias(n) for n in names
-    ]
-    per_label = F.transform(
-        F.map_entries(F.coalesce("emotion_sums", F.expr(_NO_SUMS))),
-        lambda e: F.struct(e["key"].alias("label"), F.coalesce(e["value"], F.lit(0.0)).alias("amount"), *zeros),
-    )
-    facts = (
-        rows.select(*keys, F.inline(F.concat(F.array(own), per_label)))
-        .groupBy(*keys, "label")
-        .agg(F.sum("amount").alias("amount"), *sums)
-    )
-    entries = F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "amount")))
-    return facts.groupBy(*keys).agg(
-        *sums, F.map_from_entries(F.sort_array(entries)).alias("emotion_sums")
-    )
+    names = [*MEASURES, "unique_authors"] if with_authors else MEASURES
+    facts = _facts(rows, keys, {n: n for n in names}, "cast(null AS string)", "emotion_sums")
+    return facts.groupBy(*keys).agg(*_sum_exprs(names), F.expr(_EMOTION_MAP))
 
 
 def rollup_to(rows: DataFrame, width: str) -> DataFrame:

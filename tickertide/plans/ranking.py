@@ -83,15 +83,10 @@ def trending_web(
 # --- movers: recent and baseline sums -----------------------------------------
 
 
-def _emotion_sum(name: str) -> Column:
-    return F.coalesce(F.col("emotion_sums")[name], F.lit(0.0))
-
-
-def _recent_values(with_emotions: bool) -> dict[str, Column]:
-    values = {alias: F.col(name) for alias, name in _API_SUMS.items()}
-    if with_emotions:
-        values.update({f"{e}_sum": _emotion_sum(e) for e in EMOTIONS})
-    return values
+def _recent_values(with_emotions: bool) -> dict[str, str]:
+    """Alias to SQL of every value summed over the recent window."""
+    emotions = {f"{e}_sum": f"coalesce(emotion_sums['{e}'], 0D)" for e in EMOTIONS}
+    return {**_API_SUMS, **(emotions if with_emotions else {})}
 
 
 def _one_scan(
@@ -100,21 +95,23 @@ def _one_scan(
     """Recent and baseline sums from a single scan and a single exchange."""
     recent = at_or_after("bucket_start", start)
     earlier = between("bucket_start", *base)
-    in_reach = at_or_after("bucket_start", min(start, base[0]))
     sums = [
-        F.sum(F.when(recent, v)).alias(alias) for alias, v in _recent_values(with_emotions).items()
+        F.expr(f"sum({sql}) FILTER (WHERE _recent) AS {alias}")
+        for alias, sql in _recent_values(with_emotions).items()
     ]
     return (
-        rollup.filter(in_reach & (recent | earlier))
+        rollup.filter(at_or_after("bucket_start", min(start, base[0])))
+        .filter(recent | earlier)
+        .withColumns({"_recent": recent, "_earlier": earlier})
         .groupBy("ticker")
         .agg(
             *sums,
-            F.coalesce(F.sum(F.when(earlier, F.col("mention_count"))), F.lit(0)).alias("base_mentions"),
-            F.count_if(earlier).alias("base_buckets"),
-            F.count_if(recent).alias("_recent"),
+            F.expr("coalesce(sum(mention_count) FILTER (WHERE _earlier), 0) AS base_mentions"),
+            F.expr("count_if(_earlier) AS base_buckets"),
+            F.expr("count_if(_recent) AS _rows"),
         )
-        .filter(F.col("_recent") > 0)
-        .drop("_recent")
+        .filter("_rows > 0")
+        .drop("_rows")
     )
 
 
@@ -125,7 +122,7 @@ def _two_scans(
     recent = (
         rollup.filter(at_or_after("bucket_start", start))
         .groupBy("ticker")
-        .agg(*[F.sum(v).alias(a) for a, v in _recent_values(with_emotions).items()])
+        .agg(*[F.expr(f"sum({v}) AS {a}") for a, v in _recent_values(with_emotions).items()])
     )
     baseline = (
         rollup.filter(between("bucket_start", *base))

@@ -35,9 +35,11 @@ def write_batch(df: DataFrame, root: str, table: str, batch_id: int) -> None:
     """
     day_of = _DAY_OF[table]
     rows = df.select(*_SCHEMAS[table].fieldNames()).withColumn("day", utc_date(day_of))
-    # One file per day and task group; sorted so that row-group statistics prune.
+    # Few files per day: small days are packed together and a heavy day is split
+    # at run time.  Sorted, so that row-group statistics prune inside a day.
     (
-        rows.sortWithinPartitions("day", day_of)
+        rows.hint("rebalance", "day")
+        .sortWithinPartitions("day", day_of)
         .write.mode("overwrite")
         .partitionBy("day")
         .parquet(f"{root}/{table}/batch_id={batch_id}")
