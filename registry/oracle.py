@@ -418,6 +418,26 @@ SELECT 'news', 'news:default', strftime(max(created_at), '%Y-%m-%dT%H:%M:%SZ') F
 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) = 1""",
     "dedup_batch_ttl": _ttl("user_id || ':' || event_type", "dedup_key"),
     "dedup_batch_ttl_hot": _ttl("upper(event_type)", "kind"),
+    "backfill": f"""WITH RECURSIVE {TICKERS},
+n AS (SELECT *, length({_norm('text')}) AS n FROM tagged WHERE length(text) >= 1),
+kept AS (
+  SELECT dedup_key AS k, min(created_at) AS ts FROM n GROUP BY dedup_key
+  UNION ALL
+  SELECT kept.k, (SELECT min(n.created_at) FROM n
+    WHERE n.dedup_key = kept.k AND n.created_at > kept.ts + INTERVAL 3600 SECOND)
+  FROM kept WHERE kept.ts IS NOT NULL
+),
+chosen AS (
+  SELECT k, ts, min({{'source': source, 'post_id': post_id}}) AS id
+  FROM n JOIN kept ON dedup_key = k AND created_at = ts GROUP BY k, ts
+)
+SELECT source, post_id, dedup_key, array_to_string(tickers, ',') AS tickers,
+  (n % 33)::DOUBLE / 64 - (n % 31)::DOUBLE / 64 AS finbert_score,
+  CASE WHEN (n % 17) >= (n % 5) THEN 'bullish' ELSE 'meme' END AS stance_label
+FROM n JOIN chosen ON dedup_key = k AND created_at = ts AND source = id.source AND post_id = id.post_id""",
+    "stream_rollup_bounded": _flat_rollup(EVENT_MENTIONS)
+    + " WHERE bucket_start + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR",
+    "stream_dedup_ttl": "SELECT DISTINCT user_id || ':' || event_type AS dedup_key FROM events",
     "stream_rollup": _flat_rollup(EVENT_MENTIONS),
     # The file arrives as one micro-batch, which lets one row per key through.
     "stream_dedup": "SELECT DISTINCT user_id || ':' || event_type AS dedup_key FROM events",

@@ -50,15 +50,15 @@ from tickertide.operators.scoring import score_posts
 from tickertide.operators.tickers import extract_tickers
 from tickertide.operators.validate import validate_enriched, validate_raw
 from tickertide.plans import ranking
-from tickertide.schema import ROLLUP
-from tickertide.session import scratch_dir
+from tickertide.plans.backfill import enrich_backlog
+from tickertide.schema import ENRICHED_POST, RAW_POST
+from tickertide.session import ROCKSDB_PROVIDER, scratch_dir
 from tickertide.sources.payloads import news_articles, news_post_id, news_to_raw, social_to_raw
 from tickertide.sources.symbols import build_symbols, parse_symbol_lines
-from tickertide.sources.tables import ROLLUP_TABLE, read_rollup
+from tickertide.sources.tables import read_rollup
 from tickertide.sources.topics import from_wire, to_wire
-from tickertide.schema import ENRICHED_POST, RAW_POST
-from tickertide.streaming.dedup import dedup_stream_watermark
-from tickertide.streaming.rollup import start_rollup
+from tickertide.streaming.dedup import dedup_stream_ttl, dedup_stream_watermark
+from tickertide.streaming.rollup import rollup_stream, start_rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -571,18 +571,57 @@ def q_stream_rollup(spark, sf):
 
 def q_stream_dedup(spark, sf):
     """First row per key within an hour of event time, as a stream."""
-    out, checkpoint = scratch_dir(spark, "dedup"), scratch_dir(spark, "dedup-offsets")
     fresh = dedup_stream_watermark(fx.event_posts(_event_stream(spark, sf)))
-    query = (
-        fresh.select("dedup_key")
-        .writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+    return _drain(spark, fresh.select("dedup_key"), "dedup")
+
+
+def _drain(spark, stream, name: str, **confs) -> DataFrame:
+    """Run a stream to its end and read what it wrote."""
+    out, checkpoint = scratch_dir(spark, name), scratch_dir(spark, f"{name}-offsets")
+    before = {key: spark.conf.get(key, None) for key in confs}
+    for key, value in confs.items():
+        spark.conf.set(key, value)
+    try:
+        query = (
+            stream.writeStream.format("parquet")
+            .option("path", out)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def q_stream_rollup_bounded(spark, sf):
+    """Append mode: the buckets an hour behind the latest event."""
+    closed = rollup_stream(fx.event_posts(_event_stream(spark, sf)), "1 hour")
+    return _flat_rollup(_drain(spark, closed, "bounded"))
+
+
+def q_stream_dedup_ttl(spark, sf):
+    fresh = dedup_stream_ttl(fx.event_posts(_event_stream(spark, sf)).select("dedup_key", "post_id"))
+    kept = _drain(
+        spark,
+        fresh,
+        "dedup-ttl",
+        **{
+            "spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER,
+            "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+        },
+    )
+    return kept.select("dedup_key")
+
+
+def q_backfill(spark, sf):
+    """Validate, drop reposts, score and enrich a stored backlog."""
+    done = enrich_backlog(fx.posts(spark, sf).drop("scores"), fx.length_scorers(), fx.ALLOW)
+    return done.select(
+        "source", "post_id", "dedup_key", _joined("tickers").alias("tickers"), "finbert_score", "stance_label"
     )
-    query.awaitTermination()
-    return spark.read.schema("dedup_key string").parquet(out)
 
 
 QUERIES: dict[str, Query] = {

@@ -33,6 +33,9 @@ def since_cursor(
     its rows.  ``cursors`` has columns (``stream``, ``cursor``).
     """
     place = F.struct(*[F.col(c) for c in order])
+    # One row per stream: broadcast, neither join moves the rows of a busy stream.
+    few = cursors.limit(BROADCAST_STREAMS + 1).count() <= BROADCAST_STREAMS
+    cursors = F.broadcast(cursors) if few else cursors
     at = (
         df.join(
             cursors.select(stream, F.col("cursor").alias(id_col)), [stream, id_col], "left_semi"
@@ -40,11 +43,8 @@ def since_cursor(
         .groupBy(stream)
         .agg(F.max(place).alias("_at"))
     )
-    # One row per stream, so the hot stream is not moved when this is broadcast.
-    if cursors.limit(BROADCAST_STREAMS + 1).count() <= BROADCAST_STREAMS:
-        at = F.broadcast(at)
     return (
-        df.join(at, stream, "left")
+        df.join(F.broadcast(at) if few else at, stream, "left")
         .filter(F.col("_at").isNull() | (place > F.col("_at")))
         .drop("_at")
     )

@@ -14,8 +14,9 @@ TTL_SECONDS = 3600
 # Keys with more distinct instants than this are split over many tasks.
 HOT_ROWS = 2_000_000
 BROADCAST_KEYS = 1_000_000
-# Hot keys are cut into cells of ttl / CELLS_PER_TTL.
+# Hot keys are cut into cells of time, about ttl / CELLS_PER_TTL wide.
 CELLS_PER_TTL = 16
+MAX_CELLS = 1_000_000
 
 
 def dedup_batch_ttl(
@@ -110,8 +111,13 @@ def _orbit(nodes: DataFrame, ttl: int) -> DataFrame:
 
 
 def _next_after_ttl(nodes: DataFrame, ttl: int) -> DataFrame:
-    """(k, us, nxt): the first instant of the key later than ``us + ttl``."""
-    width = max(1, ttl // CELLS_PER_TTL)
+    """(k, us, nxt): the first instant of the key later than ``us + ttl``.
+
+    Any cell width gives the same answer; narrow cells split a key over more
+    tasks, and ``MAX_CELLS`` bounds what the window over the cells of a key holds.
+    """
+    first, last = nodes.agg(F.min("us"), F.max("us")).first()
+    width = max(1, ttl // CELLS_PER_TTL, (last - first) // MAX_CELLS)
     cell = F.floor(F.col("pos") / F.lit(width)).alias("cell")
     targets = nodes.select("k", F.col("us").alias("pos"), F.lit(0).alias("asks"), "us")
     questions = nodes.select("k", (F.col("us") + ttl).alias("pos"), F.lit(1).alias("asks"), "us")
@@ -120,7 +126,7 @@ def _next_after_ttl(nodes: DataFrame, ttl: int) -> DataFrame:
     down = W.partitionBy("k", "cell").orderBy(F.desc("pos"), F.desc("asks"))
     instant = F.when(F.col("asks") == 0, F.col("us"))
     inside = both.withColumn("near", F.last(instant, ignorenulls=True).over(down))
-    # One row per (key, cell): as many per key as its time span holds cells.
+    # One row per (key, cell).
     cells = both.groupBy("k", "cell").agg(F.min(instant).alias("first"))
     later = W.partitionBy("k").orderBy(F.desc("cell")).rowsBetween(W.unboundedPreceding, -1)
     cells = cells.select("k", "cell", F.last("first", ignorenulls=True).over(later).alias("far"))

@@ -104,7 +104,10 @@ def enrich(
     allow: DataFrame | Iterable[str] | None = None,
     enriched_at: Column | None = None,
 ) -> DataFrame:
-    """Raw posts with ``scores`` to enriched posts; built-in columns only."""
+    """Raw posts with ``scores`` to enriched posts; built-in columns only.
+
+    A ``dedup_key`` that is already there is kept rather than hashed again.
+    """
     with_tickers = extract_tickers(scored, "text", allow, keys=["source", "post_id"])
     staged = with_tickers.withColumns(
         {
@@ -131,6 +134,8 @@ def enrich(
         "flags": quality_flags("tickers", "text"),
         "enriched_at": enriched_at if enriched_at is not None else F.current_timestamp(),
     }
+    if "dedup_key" in scored.columns:
+        del derived["dedup_key"]
     return staged.select(
         *[
             derived[name].alias(name) if name in derived else F.col(name)

@@ -21,9 +21,9 @@ def enrich_backlog(
 ) -> DataFrame:
     """Validate, drop reposts by the replayable time-to-live rule, score and enrich."""
     good, _ = validate_raw(raw)
-    keyed = good.withColumn("_key", dedup_key("url", "text"))
-    fresh = dedup_batch_ttl(keyed, "_key", "created_at", ["source", "post_id"], ttl_seconds)
-    return enrich(score_posts(fresh.drop("_key"), make_scorers), allow)
+    keyed = good.withColumn("dedup_key", dedup_key("url", "text"))
+    fresh = dedup_batch_ttl(keyed, "dedup_key", "created_at", ["source", "post_id"], ttl_seconds)
+    return enrich(score_posts(fresh, make_scorers), allow)
 
 
 def rebuild_rollup(enriched: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from tickertide.operators.merge import insert_if_absent
 from tickertide.operators.rollup import mention_authors, rollup_5m
 from tickertide.operators.scoring import ScorerFactory, enrich, score_posts
 from tickertide.operators.validate import has_ticker, validate_enriched, validate_raw
+from tickertide.schema import ENRICHED_STORED, RAW_POST
 from tickertide.sources.tables import (
     AUTHOR_TABLE,
     ENRICHED_TABLE,
@@ -25,6 +26,8 @@ from tickertide.streaming.dedup import dedup_stream_watermark
 
 POST_KEYS = ["source", "post_id"]
 MAX_DAYS = 1000
+# What the tables and the rollup need of an enriched post.
+STORED = list(dict.fromkeys([*RAW_POST.fieldNames(), *ENRICHED_STORED]))
 
 
 def rollup_stream(enriched: DataFrame, lateness: str = "1 hour") -> DataFrame:
@@ -53,7 +56,7 @@ def persist_and_roll(root: str, key_scope: str = "all") -> Callable[[DataFrame,
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        posts = batch.persist()
+        posts = batch.select(*STORED).persist()
         try:
             stored = read_table(spark, root, ENRICHED_TABLE, before=batch_id)
             if key_scope == "day":
@@ -117,5 +120,5 @@ def enrich_stream(
 ) -> DataFrame:
     """Raw stream to enriched stream: validate, dedup, score, enrich."""
     good, _ = validate_raw(raw)
-    fresh = dedup(good.withColumn("dedup_key", dedup_key("url", "text"))).drop("dedup_key")
+    fresh = dedup(good.withColumn("dedup_key", dedup_key("url", "text")))
     return enrich(score_posts(fresh, make_scorers), allow)
