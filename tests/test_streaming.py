@@ -14,9 +14,9 @@ from tickertide.sources.tables import (
     ENRICHED_TABLE,
     RAW_TABLE,
     ROLLUP_TABLE,
+    pack_tables,
     read_rollup,
     read_table,
-    rewrite_rollup,
 )
 from tickertide.sources.topics import read_enriched_posts, read_raw_posts, write_enriched_posts, write_raw_posts
 from tickertide.streaming.dedup import dedup_stream_ttl, dedup_stream_watermark
@@ -105,15 +105,26 @@ def test_very_late_post_updates_its_old_bucket(spark, tmp_path):
     assert rows[DAY].emotion_sums == {"joy": 1.0}
 
 
-def test_rewritten_rollup_reads_the_same(spark, tmp_path):
+def test_packed_tables_read_the_same_and_go_on(spark, tmp_path):
     root, packed = str(tmp_path / "out"), str(tmp_path / "packed")
     run = persist_and_roll(root)
     posts = sample(spark)
     run(posts.limit(20), 0)
-    run(posts, 1)
-    rewrite_rollup(spark, root, packed, 1)
+    run(posts.limit(0), 1)  # an empty batch
+    run(posts.limit(40), 2)
+    pack_tables(spark, root, packed, 2)
     assert same_rows(comparable(read_rollup(spark, packed)), comparable(read_rollup(spark, root)))
     assert read_table(spark, packed, ROLLUP_TABLE).select("batch_id").distinct().count() == 1
+    persist_and_roll(packed)(posts, 3)
+    assert same_rows(comparable(read_rollup(spark, packed)), comparable(rollup_5m(posts)))
+    assert read_table(spark, packed, RAW_TABLE).count() == posts.count()
+
+
+def test_only_empty_batches(spark, tmp_path):
+    root = str(tmp_path / "out")
+    persist_and_roll(root)(sample(spark).limit(0), 0)
+    assert read_rollup(spark, root).isEmpty()
+    assert read_rollup(spark, str(tmp_path / "never written")).isEmpty()
 
 
 def test_read_rollup_since_prunes_days(spark, tmp_path):

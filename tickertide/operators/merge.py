@@ -23,5 +23,5 @@ def insert_if_absent(
     # Reduce the stored keys to those of the batch first: a big table is then only
     # scanned on its key columns, and the anti join shuffles hits alone.
     wanted = batch.select(*keys).distinct()
-    present = target.select(*keys).join(wanted, keys, "left_semi").distinct()
+    present = target.select(*keys).join(wanted, keys, "left_semi")
     return incoming.join(present, keys, "left_anti")

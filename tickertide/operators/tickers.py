@@ -47,6 +47,8 @@ def extract_tickers(
         return df.withColumn(out, found)
     symbols = _literal_symbols(df, allow, literal_limit)
     if symbols is None:
+        if df.isStreaming:
+            raise ValueError(f"a stream takes an allowlist of at most {literal_limit} symbols")
         return keep_allowed_join(
             df.withColumn(out, ticker_candidates(text_col)), _allowed_rows(df, allow), keys, out
         )
