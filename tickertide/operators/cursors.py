@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tickertide.functions.time import instant, iso_z
 
+# Rows taken per load.
 SOCIAL_LIMIT = 50
 NEWS_LIMIT = 200
 BROADCAST_STREAMS = 1_000_000

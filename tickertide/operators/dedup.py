@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tickertide.session import stage_table
 
+# Fixed value: how long a key blocks its copies.
 TTL_SECONDS = 3600
 # Keys with more distinct instants than this are split over many tasks.
 HOT_ROWS = 2_000_000

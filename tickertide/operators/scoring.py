@@ -23,9 +23,9 @@ BatchScorer = Callable[[list[str]], list[dict]]
 # Called once per task: (finance, emotion, stance).
 ScorerFactory = Callable[[], tuple[BatchScorer, BatchScorer, BatchScorer]]
 
+# Scorer batch, token cut and public model names.
 BATCH_SIZE = 16
 MAX_TOKENS = 256
-# Public model names.
 FINANCE_MODEL = "ProsusAI/finbert"
 EMOTION_MODEL = "cardiffnlp/twitter-roberta-base-emotion"
 STANCE_MODEL = "facebook/bart-large-mnli"

@@ -14,7 +14,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tickertide.functions.time import at_or_after, between, utc
 
+# Emotions summed, score weights and default ratios of each dialect.
 EMOTIONS = ["joy", "optimism", "fear", "sadness", "anger"]
+API_VOLUME, API_SPIKE, API_SENTIMENT, API_TILT, API_CONVICTION, API_CROSS = 0.45, 0.35, 0.10, 0.10, 0.10, 0.05
+WEB_SPIKE, WEB_BULLISH, WEB_CONVICTION, WEB_SENTIMENT = 0.45, 0.25, 0.20, 0.10
+API_NO_DIRECTION, WEB_NO_DIRECTION = 0.5, 0.0
+MIN_WINDOW_HOURS = 0.01
+
 _API_SUMS = {
     "mentions": "mention_count",
     "weighted_mentions": "weighted_mentions",
@@ -175,7 +181,7 @@ def movers_api(
                 "spike_ratio": mentions.cast("double") / (F.col("base_rate_5m") * buckets + 1.0),
                 "sentiment_mean": _ratio(F.col("sent_sum"), F.col("sent_cnt"), 0.0),
                 "conviction_mean": _ratio(F.col("conv_sum"), mentions, 0.0),
-                "bullish_ratio": _ratio(F.col("bull"), F.col("bull") + F.col("bear"), 0.5),
+                "bullish_ratio": _ratio(F.col("bull"), F.col("bull") + F.col("bear"), API_NO_DIRECTION),
                 "emotion_tilt": _ratio(pleasant - unpleasant, mentions, 0.0),
                 "cross_source": _cross_source(),
             }
@@ -183,12 +189,12 @@ def movers_api(
     )
     volume = F.ln(1 + mentions.cast("double"))
     score = (
-        0.45 * volume
-        + 0.35 * volume * F.col("spike_ratio")
-        + 0.10 * F.greatest(F.lit(0.0), F.col("sentiment_mean"))
-        + 0.10 * F.col("emotion_tilt")
-        + 0.10 * F.col("conviction_mean")
-        + 0.05 * F.col("cross_source").cast("int")
+        API_VOLUME * volume
+        + API_SPIKE * volume * F.col("spike_ratio")
+        + API_SENTIMENT * F.greatest(F.lit(0.0), F.col("sentiment_mean"))
+        + API_TILT * F.col("emotion_tilt")
+        + API_CONVICTION * F.col("conviction_mean")
+        + API_CROSS * F.col("cross_source").cast("int")
     )
     top = measured.withColumn("score", score).orderBy(F.desc("score"), "ticker").limit(limit)
     if require_cross_source:
@@ -239,7 +245,7 @@ def movers_web(
         return F.col(name).cast("double")
 
     per_hour = F.col("base_mentions").cast("double") / float(max(baseline_hours, 1))
-    window_hours = max(window_minutes / 60.0, 0.01)
+    window_hours = max(window_minutes / 60.0, MIN_WINDOW_HOURS)
     scored = (
         sums.withColumn("baseline_per_hour", F.coalesce(per_hour, F.lit(0.0)))
         .select(
@@ -248,7 +254,7 @@ def movers_web(
             total("news_mentions").alias("news_mentions"),
             total("reddit_mentions").alias("reddit_mentions"),
             _ratio(total("sent_sum"), total("sent_cnt"), 0.0).alias("sentiment_mean"),
-            _ratio(total("bull"), total("bull") + total("bear"), 0.0).alias("bullish_ratio"),
+            _ratio(total("bull"), total("bull") + total("bear"), WEB_NO_DIRECTION).alias("bullish_ratio"),
             _ratio(total("conv_sum"), total("sent_cnt"), 0.0).alias("conviction_mean"),
             "baseline_per_hour",
             ((total("mentions") / window_hours) / (F.col("baseline_per_hour") + 1.0)).alias("spike_ratio"),
@@ -258,9 +264,9 @@ def movers_web(
     if require_cross_source:
         scored = scored.filter("cross_source")
     order = (
-        F.col("spike_ratio") * 0.45
-        + F.col("bullish_ratio") * 0.25
-        + F.col("conviction_mean") * 0.20
-        + F.col("sentiment_mean") * 0.10
+        WEB_SPIKE * F.col("spike_ratio")
+        + WEB_BULLISH * F.col("bullish_ratio")
+        + WEB_CONVICTION * F.col("conviction_mean")
+        + WEB_SENTIMENT * F.col("sentiment_mean")
     )
     return scored.orderBy(order.desc(), F.asc("ticker")).limit(limit)

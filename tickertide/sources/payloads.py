@@ -8,6 +8,7 @@ from tickertide.functions.text import strip
 from tickertide.functions.time import parse_iso_utc
 from tickertide.schema import NEWS_RESPONSE, RAW_POST, SOCIAL_ITEM
 
+# Fixed value: permalinks arrive without the host.
 PERMALINK_PREFIX = "https://www.reddit.com"
 
 

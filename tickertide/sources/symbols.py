@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickertide.functions.text import SYMBOL_PATTERN, strip
 
+# Fixed value: the footer line of a listing.
 FOOTER = "File Creation Time"
 
 
