@@ -16,8 +16,8 @@ _AUTHOR, _EMOTION = "@", "#"
 _SUMS = ("weighted_mentions", "sentiment_sum", "conviction_sum")
 
 
-def explode_mentions(posts: DataFrame) -> DataFrame:
-    """One row per (post, ticker), holding only what the rollup reads.
+def explode_mentions(posts: DataFrame, *extra: str) -> DataFrame:
+    """One row per (post, ticker), holding only what the rollup reads (and ``extra``).
 
     Posts without a ticker vanish in the explode.  No filter says so beforehand,
     and the array is wrapped so that none is inferred: pushed down, it would
@@ -34,6 +34,7 @@ def explode_mentions(posts: DataFrame) -> DataFrame:
         "conviction",
         "emotions",
         "source_weight",
+        *extra,
     )
 
 
@@ -92,13 +93,11 @@ def rollup_5m(
     which makes ``unique_authors`` additive over successive calls.  ``windowed``
     groups by Spark's event-time window, as a watermarked stream needs.
     """
-    mentions = explode_mentions(posts).withColumn("_author", author_key("source", "author"))
-    if windowed:
-        keys = ["bucket", "ticker"]
-        mentions = mentions.withColumn("bucket", F.window("created_at", BUCKET))
-    else:
-        keys = ["bucket_start", "ticker"]
-        mentions = mentions.withColumn("bucket_start", floor_5m("created_at"))
+    keys = ["bucket" if windowed else "bucket_start", "ticker"]
+    bucket = F.window("created_at", BUCKET) if windowed else floor_5m("created_at")
+    # Both are computed once per post, before it turns into mentions.
+    posts = posts.withColumn(keys[0], bucket).withColumn("_author", author_key("source", "author"))
+    mentions = explode_mentions(posts, keys[0], "_author")
     facts = _facts(mentions, keys, _PER_MENTION, f"concat('{_AUTHOR}', _author)", "emotions")
     is_new = F.coalesce(F.col("label").startswith(_AUTHOR), F.lit(False))
     if known_authors is not None:
