@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tickertide.llm.decontaminate import benchmark_hits
 from tickertide.llm.jaccard import jaccard_components
 from tickertide.llm.packing import pack_sequences
+from tickertide.llm.pii import personal_data
 from tickertide.llm.sharding import shard_by_bytes
 from tickertide.llm.tables import table
+from tickertide.llm.toxicity import toxicity
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -19,6 +21,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -35,13 +41,19 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_pii,
         op2_ngram_jaccard_join,
         op3_sharding,
         op4_benchmark_decontamination,
         op8_best_fit_packing,
+        op10_toxicity,
     )
 }
 
