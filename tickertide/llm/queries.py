@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tickertide.llm.decontaminate import benchmark_hits
 from tickertide.llm.jaccard import jaccard_components
+from tickertide.llm.language_model import every_seventh, score_language
 from tickertide.llm.packing import pack_sequences
 from tickertide.llm.pii import personal_data
 from tickertide.llm.sharding import shard_by_bytes
@@ -37,6 +38,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_language(table(spark, sf_dir, "documents"), every_seventh())
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_ngram_jaccard_join,
         op3_sharding,
         op4_benchmark_decontamination,
+        op7_lm_scoring,
         op8_best_fit_packing,
         op10_toxicity,
     )
