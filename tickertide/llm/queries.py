@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tickertide.llm.decontaminate import benchmark_hits
 from tickertide.llm.jaccard import jaccard_components
 from tickertide.llm.language_model import every_seventh, score_language
+from tickertide.llm.near_vectors import near_vectors
 from tickertide.llm.packing import pack_sequences
 from tickertide.llm.pii import personal_data
 from tickertide.llm.sharding import shard_by_bytes
@@ -46,6 +47,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_benchmark_decontamination,
         op7_lm_scoring,
         op8_best_fit_packing,
+        op9_embedding_near_dedup,
         op10_toxicity,
     )
 }
