@@ -12,9 +12,11 @@ from tickertide.llm.language_model import every_seventh, score_language
 from tickertide.llm.near_vectors import near_vectors
 from tickertide.llm.packing import pack_sequences
 from tickertide.llm.pii import personal_data
+from tickertide.llm.secrets import find_secrets
 from tickertide.llm.sharding import shard_by_bytes
 from tickertide.llm.tables import table
 from tickertide.llm.toxicity import toxicity
+from tickertide.llm.url_filter import judge_pages
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -39,6 +41,14 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_language(table(spark, sf_dir, "documents"), every_seventh())
 
@@ -62,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_ngram_jaccard_join,
         op3_sharding,
         op4_benchmark_decontamination,
+        op5_secret_scans,
+        op6_url_filters,
         op7_lm_scoring,
         op8_best_fit_packing,
         op9_embedding_near_dedup,

@@ -74,6 +74,7 @@ class Words(NamedTuple):
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray  # of each text, the index of its first word; one more entry at the end
+    offset: np.ndarray  # of each text, its first byte; one more entry at the end
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +154,7 @@ def split_words(
     start, end = join(starts, np.int64), join(ends, np.int64)
     first = np.searchsorted(start, offsets, "left")
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    return Words(data, text, start, end, join(hashes, np.uint64), first)
+    return Words(data, text, start, end, join(hashes, np.uint64), first, offsets)
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
