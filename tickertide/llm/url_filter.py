@@ -47,18 +47,9 @@ def longest_rule(host: str, path: str, rules: tuple[Rule, ...] = RULES) -> tuple
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """Weighted edges (src, dst, n) between hosts: links of their pages (host, targets), and
-    one each way between a host and the domain above it (of two names at least)."""
-    links = (
-        pages.select(F.col("host").alias("src"), F.explode("targets").alias("dst"))
-        .groupBy("src", "dst")
-        .agg(F.count("*").alias("n"))
-    )
-    hosts = pages.select(F.col("host").alias("src")).union(links.select(F.col("dst").alias("src"))).distinct()
-    above = hosts.select("src", F.regexp_extract("src", r"^[^.]+\.(.+\..+)$", 1).alias("dst")).where("dst <> ''")
-    site = above.union(above.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    every = links.union(site.select("src", "dst", F.lit(1).cast("long").alias("n")))
-    return every.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.sum("n").alias("n"))
+    """Weighted edges (src, dst, n) between hosts: the links of their pages (host, targets)."""
+    links = pages.select(F.col("host").alias("src"), F.explode("targets").alias("dst"))
+    return links.where("src <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 10, stay: float = 0.85) -> DataFrame:
