@@ -15,6 +15,9 @@ from tickertide.llm.words import NON_SPACE, as_signed, gram_hashes, mix, split_w
 
 SKETCH_BITS = 18  # counters of the frequency sketch, whatever the corpus
 BROADCAST_IDS = 500_000  # longs
+PROFILE = 256  # counters of a set's profile: shingles by the low bits of their hash
+FULL = 65535  # a counter that says nothing
+BLOCK = 512  # members of a list that are held against each other at once
 
 
 def _shingles(words, text: int, k: int) -> np.ndarray:
@@ -49,18 +52,20 @@ def _frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, levels: np.ndarray, k: int, percent: int) -> DataFrame:
-    """Per document: set size, digest of the set, and the prefix in order of frequency."""
+    """Per document: set size, digest and profile of the set, prefix in order of frequency."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             words = split_words(batch["text"], NON_SPACE)
-            n, sig, prefix = [], [], []
+            n, sig, prefix, profile = [], [], [], []
             for text in range(batch.num_rows):
                 grams = _shingles(words, text, k)
                 size = len(grams)
                 rank = levels[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
                 ordered = np.sort((rank << np.uint64(56)) | (grams & np.uint64((1 << 56) - 1)))
                 n.append(size)
+                filled = np.bincount((grams & np.uint64(PROFILE - 1)).astype(np.int64), minlength=PROFILE)
+                profile.append(np.minimum(filled, FULL).astype("<u2").tobytes())
                 sig.append((int(mix(grams).sum(dtype=np.uint64)), int(mix(~grams).sum(dtype=np.uint64))))
                 prefix.append(as_signed(ordered[: size - -(-percent * size // 100) + 1] if size else ordered))
             one, two = (np.array([s[i] for s in sig], np.uint64) for i in (0, 1))
@@ -69,13 +74,13 @@ def _signatures(docs: DataFrame, levels: np.ndarray, k: int, percent: int) -> Da
                 pa.array(ends.astype(np.int32)), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64))
             )
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(np.array(n, np.int64)), pa.array(as_signed(one)), pa.array(as_signed(two)), lists],
-                ["doc_id", "n", "sig1", "sig2", "prefix"],
-            )
+                [batch["doc_id"], pa.array(np.array(n, np.int64)), pa.array(as_signed(one)), pa.array(as_signed(two)), lists, pa.array(profile, pa.binary())],
+                ["doc_id", "n", "sig1", "sig2", "prefix", "profile"],
+            )
 
     doc = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {doc}, n long, sig1 long, sig2 long, prefix array<long>"
+        run, f"doc_id {doc}, n long, sig1 long, sig2 long, prefix array<long>, profile binary"
     )
 
 
@@ -141,6 +146,99 @@ def _unit(column: str) -> Column:
     return F.pmod(F.xxhash64(F.col(column)), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
+def _across(lists: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of members of different components in a list that may be similar enough.
+
+    The members of the largest component of a list (the rest of it) are never held against each
+    other. The others are cut into blocks, and each block meets each block of its list.
+    The overlap of two sets is at most the sum over the counters of the lesser count.
+    """
+    parts = lists.groupBy("token", "part").agg(F.count("*").alias("size"))
+    shape = parts.groupBy("token").agg(
+        F.max(F.struct("size", "part")).alias("largest"), F.sum("size").alias("whole")
+    )
+    shape = shape.select(
+        "token",
+        F.col("largest.part").alias("main"),
+        F.ceil((F.col("whole") - F.col("largest.size")) / BLOCK).cast("int").alias("o_blocks"),
+        F.ceil(F.col("largest.size") / BLOCK).cast("int").alias("m_blocks"),
+    )
+    other = F.col("part") != F.col("main")
+    own = F.pmod(F.xxhash64("id", "gid"), F.when(other, F.col("o_blocks")).otherwise(F.col("m_blocks"))).cast("int")
+    rows = lists.drop("size").join(shape, "token").select("*", other.alias("other"), own.alias("own"))
+    # Meetings (i, j): block i of the others with block j of the others, i <= j, or of the main part.
+    upto = F.transform(
+        F.sequence(F.lit(0), F.col("o_blocks") - 1),
+        lambda x: F.struct(
+            F.least(x, "own").alias("i"),
+            F.greatest(x, "own").alias("j"),
+            (F.col("own") <= x).alias("left"),
+            (F.col("own") >= x).alias("right"),
+            F.lit(False).alias("with_main"),
+        ),
+    )
+    to_main = F.transform(
+        F.sequence(F.lit(0), F.col("m_blocks") - 1),
+        lambda x: F.struct(F.col("own").alias("i"), x.alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right"), F.lit(True).alias("with_main")),
+    )
+    from_main = F.transform(
+        F.sequence(F.lit(0), F.col("o_blocks") - 1),
+        lambda x: F.struct(x.alias("i"), F.col("own").alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right"), F.lit(True).alias("with_main")),
+    )
+    meetings = F.when(F.col("other"), F.concat(upto, to_main)).otherwise(from_main)
+    key = ["token", "with_main", "i", "j"]
+    dealt = (
+        rows.select("token", "id", "n", "pos", "part", F.explode(meetings).alias("m"))
+        .select("token", "id", "n", "pos", "part", "m.*")
+        .join(profiles, "id")
+        .repartition(*key)
+        .sortWithinPartitions(*key)
+    )
+    step, need = 100 + percent, percent
+
+    def hold(rows: pa.Table) -> list[tuple[int, int]]:
+        ids, n, pos, part = (rows[c].to_numpy() for c in ("id", "n", "pos", "part"))
+        profile = np.frombuffer(b"".join(rows["profile"].to_pylist()), "<u2").reshape(len(ids), PROFILE).astype(np.int32)
+        profile[(profile == FULL).any(1)] = 1 << 20
+        left, right = (np.flatnonzero(rows[c].to_numpy(zero_copy_only=False)) for c in ("left", "right"))
+        out = []
+        for a in left:
+            least = -(-(n[a] + n[right]) * need // step)
+            ok = (part[right] != part[a]) & (np.minimum(n[a] - pos[a], n[right] - pos[right]) >= least)
+            b = right[ok]
+            if len(b):
+                shared = np.minimum(profile[a], profile[b]).sum(1)
+                b = b[shared >= least[ok]]
+                out += [(max(ids[a], ids[x]), min(ids[a], ids[x])) for x in b]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        kept, now = [], None
+        for batch in batches:
+            names = list(zip(*(batch[c].to_pylist() for c in key)))
+            at = 0
+            while at < len(names):
+                to = at + 1
+                while to < len(names) and names[to] == names[at]:
+                    to += 1
+                if names[at] != now and kept:
+                    yield _pairs(hold(pa.Table.from_batches(kept)))
+                    kept = []
+                now = names[at]
+                kept.append(batch.slice(at, to - at))
+                at = to
+        if kept:
+            yield _pairs(hold(pa.Table.from_batches(kept)))
+
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["u", "v"]
+    )
+
+
 def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
     """Groups of documents linked by shingle sets with a Jaccard similarity of ``percent``.
 
@@ -152,11 +250,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
     how often their sketch bucket occurs in all documents, then by hash; classes of the same
     size and prefix form a group. Groups that share a prefix shingle and pass the length and
     position filters are candidates; members are verified on their full sets. In each list
-    of a shingle, all groups are first held against one pivot. Only lists that still hold
-    members of two or more components go on, against blocks of pivots that grow eightfold
-    until every pair of different components was held against each other. No list is kept
-    in one task, no pair inside a component is made on purpose, and no pair between
-    components is left out.
+    of a shingle, all groups are first held against one pivot. Lists that then still hold
+    members of two or more components are cut into blocks; blocks meet in a task each, where
+    an upper bound on the overlap of two sets leaves few pairs to verify. No list is kept
+    in one task, no pair inside a component is made, and no pair between components is left out.
 
     Rows that share a doc_id are one document: it links where any of its texts does. Rows
     without a doc_id get no component. Other columns are ignored; every input row gives one.
@@ -169,7 +266,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
     classes = stage(
         read.where("n > 0 and doc_id is not null")
         .groupBy("n", "sig1", "sig2")
-        .agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"))
+        .agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"), F.first("profile").alias("profile"))
         .withColumn("group_key", F.xxhash64("n", "prefix")),
         "jaccard-classes",
     )
@@ -226,31 +323,12 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
         )
         return stage(known.join(unsettled, "token"), "jaccard-open")
 
-    columns = ["token", "id", "gid", "n", "pos", "p_gid"]
-    left = open_lists(entries).withColumnRenamed("size", "whole")
-    done, block = 0, 8
-    while not left.isEmpty():
-        at = _unit("id") * F.col("whole")
-        rest = left.where(at >= done)
-        pivots = rest.where(at < block).select(
-            "token", *(F.col(c).alias(f"q_{c}") for c in ("id", "gid", "n", "pos", "part"))
-        )
-        held = (
-            (F.col("id") == F.col("gid"))
-            & (F.col("q_id") == F.col("q_gid"))
-            & ((F.col("id") == F.col("p_gid")) | (F.col("q_id") == F.col("p_gid")))
-        )
-        pairs = (
-            rest.join(pivots, "token")
-            .where((F.col("part") != F.col("q_part")) & ~held)
-            .where(_may_link(percent, "", "q_"))
-            .select(F.greatest("id", "q_id").alias("u"), F.least("id", "q_id").alias("v"))
-            .distinct()
-        )
-        links.append(_verified(docs, stage(pairs, "jaccard-pairs"), shingle, percent))
+    left = open_lists(entries)
+    if not left.isEmpty():
+        profiles = classes.select("id", "profile")
+        found = _across(left, profiles, percent).distinct()
+        links.append(_verified(docs, stage(found, "jaccard-pairs"), shingle, percent))
         components = connected_components(reduce(DataFrame.union, links))
-        left = open_lists(rest.where(at >= block).select(*columns, "whole")).drop("size")
-        done, block = block, block * 8
     labels = classes.join(components.withColumnRenamed("id", "c_id"), F.col("id") == F.col("c_id"), "left").select(
         "n", "sig1", "sig2", F.coalesce("component", "id").alias("component_id")
     )

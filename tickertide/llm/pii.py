@@ -177,21 +177,21 @@ def find_spans(
     is_base = F.col("kind") != "other"
     ordered = Window.partitionBy("row").orderBy("start", is_base).rowsBetween(Window.unboundedPreceding, -1)
     back = Window.partitionBy("row").orderBy(F.desc("start"), F.desc(is_base)).rowsBetween(Window.unboundedPreceding, -1)
-    base = F.when(is_base, F.struct("start", "kind"))
+    base = F.when(is_base, F.struct("start", "kind", "hit"))
     around = placed.select(
         "*",
         F.max(F.when(is_base, F.col("stop"))).over(ordered).alias("covered"),
         F.last(base, ignorenulls=True).over(back).alias("next"),
     )
     free = around.where(~is_base).where(F.coalesce(F.col("covered"), F.lit(0)) <= F.col("start"))
-    begun = F.when(F.col("next.start") < F.col("stop"), F.col("next.kind"))
+    begun = F.when(F.col("next.start") < F.col("stop"), F.col("next.kind"))  # in the word, or with it
     trimmed = F.regexp_replace("hit", r"[^A-Za-z0-9]+$", "")
     words = stage(
         free.select(
             "row",
             (F.col("stop") - F.length("hit") + F.length(trimmed)).alias("stop"),
             "start",
-            F.lower(trimmed).alias("instance"),
+            F.lower(F.when(begun.isNotNull(), F.col("next.hit")).otherwise(trimmed)).alias("instance"),
             begun.alias("kind"),
             F.array_distinct(F.array("one", "two")).alias("contexts"),
         ).where(F.length(trimmed) > 0),

@@ -143,9 +143,20 @@ def train(texts: list[str], steps: int = 120, rate: float = 0.3, ridge: float =
     seeds = np.flatnonzero(tag > 0)
     if not len(seeds):
         return None
-    width = 2 * MARGIN + 1
     others = np.linspace(0, len(tag) - 1, 4 * len(seeds)).astype(int)
-    centers = np.unique(np.concatenate((seeds, others)))
+    matched = np.zeros(len(texts), bool)
+    matched[words.text[seeds]] = True
+    first = _fit(found, tag, np.concatenate((seeds, others[matched[words.text[others]]])), steps, rate, ridge)
+    # What looks like a secret behind a sign, but has no known format, teaches nothing.
+    like = (tag == 0) & (decode(first, words, found) > 0) & ((found[:, 3] - OFFSETS[3]) & 1 > 0)
+    near = np.convolve(like, np.ones(2 * MARGIN + 1), "same") > 0.5
+    return _fit(found, tag, np.concatenate((seeds, others[~near[others]])), steps, rate, ridge)
+
+
+def _fit(found: np.ndarray, tag: np.ndarray, centers: np.ndarray, steps: int, rate: float, ridge: float) -> Field:
+    """Maximise the penalised likelihood of the tags in windows around ``centers``."""
+    width = 2 * MARGIN + 1
+    centers = np.unique(centers)
     at = np.clip(centers[:, None] + np.arange(-MARGIN, MARGIN + 1), 0, len(tag) - 1)
     x, y = found[at], tag[at]
     emit, move = np.zeros((OFFSETS[-1], 2)), np.zeros((3, 3))
@@ -156,7 +167,7 @@ def train(texts: list[str], steps: int = 120, rate: float = 0.3, ridge: float =
     padded = np.pad(y, ((0, 0), (1, 1)))
     np.add.at(pairs, (padded[:, :-1].ravel(), padded[:, 1:].ravel()), 1.0)
     square = [np.zeros_like(emit), np.zeros_like(move)]
-    for _ in range(steps):  # full gradients of the penalised likelihood, scaled by AdaGrad
+    for _ in range(steps):  # full gradients, scaled by AdaGrad
         score = np.zeros((*y.shape, 3))
         score[..., 1:] = emit[x].sum(2)
         state, expected = _forward_backward(score, move)
