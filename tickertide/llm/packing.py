@@ -196,8 +196,9 @@ def _cell_packer(capacity: int, level: int, columns: list[str]):
         _, at = np.unique(bins, return_inverse=True)
         filled = np.bincount(at, weights=lengths)[at]
         gap = used - lower_bound(lengths, capacity)
-        # A cell at its bound is certified; of another, the bins with room go on.
-        goes_on = (filled < capacity - capacity // 64) & (gap > 0)
+        # A cell at its bound is certified, and only bins that are not half full go on, to share
+        # with those of other cells; of a cell above its bound, all bins with room do.
+        goes_on = (filled < capacity - capacity // 64) & (gap > 0) | (filled * 2 < capacity)
         out = {c: cell[c] for c in columns}
         out |= {
             "cell": pa.array(np.full(len(lengths), cell["cell"][0].as_py(), np.int64)),
@@ -225,7 +226,7 @@ def pack_sequences(
     is cut, into full pieces after a first one that may be shorter. A full piece is a bin of
     its own. The other pieces are dealt at random into cells of about ``cell_items``, and each
     cell is packed best-fit decreasing. Lower bounds from dual feasible functions certify a
-    cell whose bins reach them. The bins with room (over 1/64) of all other cells are exchanged: ``merge``
+    cell whose bins reach them. The bins with room (over 1/64) of all other cells, and bins not half full, are exchanged: ``merge``
     cells pool theirs and are packed again, up to ``rounds`` times; a pool that doesn't save
     a bin keeps what it had. Every input row is packed, also repeated ones; other columns are
     ignored; an empty table gives no rows.
