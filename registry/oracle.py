@@ -18,7 +18,7 @@ def _strip(text: str) -> str:
 
 
 def _norm(text: str) -> str:
-    return f"substring(trim(regexp_replace({text}, '{_WS}+', ' ', 'g')), 1, 5000)"
+    return f"trim(regexp_replace({text}, '{_WS}+', ' ', 'g'))"
 
 
 def _candidates(text: str) -> str:
@@ -116,11 +116,11 @@ SELECT bucket_start, ticker, mention_count, round(weighted_mentions, 9) AS weigh
 FROM agg"""
 
 
-def _trending(kind: str, minutes: int, limit: int) -> str:
-    return f"""WITH {_rollup_cte(MENTIONS)}
+def _trending(kind: str, minutes: int, limit: int, mentions: str = MENTIONS, as_of: str = "2024-01-02") -> str:
+    return f"""WITH {_rollup_cte(mentions)}
 SELECT ticker, sum(mention_count)::{kind} AS mentions,
   round(coalesce(sum(sentiment_sum) / nullif(sum(sentiment_count), 0), 0), 6) AS sentiment_mean
-FROM agg WHERE bucket_start >= TIMESTAMP '2024-01-02' - INTERVAL {minutes} MINUTE
+FROM agg WHERE bucket_start >= TIMESTAMP '{as_of}' - INTERVAL {minutes} MINUTE
 GROUP BY ticker ORDER BY mentions DESC, ticker LIMIT {limit}"""
 
 
@@ -167,9 +167,11 @@ SELECT ticker, round(score, 6) AS score, mentions::BIGINT AS mentions,
 FROM ranked {post_filter}"""
 
 
-def _movers_web(window: int, hours: int, limit: int, pre_filter: str = "") -> str:
-    now, win = "TIMESTAMP '2024-01-02'", f"INTERVAL {window} MINUTE"
-    return f"""WITH {_rollup_cte(MENTIONS)},
+def _movers_web(
+    window: int, hours: int, limit: int, pre_filter: str = "", mentions: str = MENTIONS, as_of: str = "2024-01-02"
+) -> str:
+    now, win = f"TIMESTAMP '{as_of}'", f"INTERVAL {window} MINUTE"
+    return f"""WITH {_rollup_cte(mentions)},
 win AS (
   SELECT ticker, sum(mention_count)::DOUBLE AS mentions, sum(news_count)::DOUBLE AS news_mentions,
     sum(reddit_count)::DOUBLE AS reddit_mentions, sum(sentiment_sum) AS sent_sum,
@@ -241,14 +243,14 @@ social AS (
 )"""
 
 # Greedy first-seen dedup, one recursive step per kept row.
-def _ttl(key: str, alias: str) -> str:
+def _ttl(key: str, alias: str, seconds: int = 36000) -> str:
     return f"""WITH RECURSIVE e AS (
   SELECT 'e' || event_id AS post_id, {key} AS k, ts FROM events
 ),
 kept AS (
   SELECT k, min(ts) AS ts FROM e GROUP BY k
   UNION ALL
-  SELECT kept.k, (SELECT min(e.ts) FROM e WHERE e.k = kept.k AND e.ts > kept.ts + INTERVAL 36000 SECOND)
+  SELECT kept.k, (SELECT min(e.ts) FROM e WHERE e.k = kept.k AND e.ts > kept.ts + INTERVAL {seconds} SECOND)
   FROM kept WHERE kept.ts IS NOT NULL
 )
 SELECT min(e.post_id) AS post_id, e.k AS {alias}, e.ts AS created_at
@@ -439,6 +441,25 @@ FROM n JOIN chosen ON dedup_key = k AND created_at = ts AND source = id.source A
     + " WHERE bucket_start + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR",
     "stream_dedup_ttl": "SELECT DISTINCT user_id || ':' || event_type AS dedup_key FROM events",
     "stream_rollup": _flat_rollup(EVENT_MENTIONS),
-    # The file arrives as one micro-batch, which lets one row per key through.
-    "stream_dedup": "SELECT DISTINCT user_id || ':' || event_type AS dedup_key FROM events",
+    "stream_dedup": _ttl("user_id || ':' || event_type", "dedup_key", 3600),
+    "stream_rollup_batches": _flat_rollup(EVENT_MENTIONS),
+    "rebuild_rollup": _flat_rollup(EVENT_MENTIONS),
+    "stored_raw_posts": """SELECT CASE WHEN event_id % 3 = 0 THEN 'news' ELSE 'reddit' END AS source,
+  'e' || event_id AS post_id, ts AS created_at, user_id::VARCHAR AS author FROM events""",
+    "stored_enriched_posts": f"""WITH {EVENT_MENTIONS}
+SELECT source, post_id, ticker AS tickers, stance_label, conviction FROM mentions""",
+    "trending_stored": _trending("BIGINT", 600, 25, EVENT_MENTIONS, "2024-01-20"),
+    "movers_api_stored": _movers_api(EVENT_MENTIONS, "2024-01-20", 360, 72, 25),
+    "movers_web_stored": _movers_web(240, 6, 10, "", EVENT_MENTIONS, "2024-01-20"),
+    "validate_wire": f"""WITH {POSTS}
+SELECT post_id, CASE WHEN doc_id % 3 = 0 THEN created_at WHEN doc_id % 3 = 2 THEN TIMESTAMP '2024-01-01' END AS created_at,
+  CASE WHEN doc_id % 3 = 1 THEN 'created_at malformed' ELSE '' END AS errors FROM posts""",
+    "write_raw_topic": f"WITH {POSTS} SELECT source, post_id, created_at, author, text, url FROM posts",
+    "write_enriched_topic": f"""WITH {TICKERS}
+SELECT source, post_id, array_to_string(tickers, ',') AS tickers, score AS finbert_score, stance_label FROM tagged""",
+    "symbol_file": f"""WITH {_LISTED}
+SELECT DISTINCT s AS symbol FROM listed""",
+    "has_ticker": f"WITH {TICKERS} SELECT post_id FROM tagged WHERE len(tickers) > 0",
+    "load_social": f"WITH {SOCIAL} SELECT source, post_id, created_at FROM social",
+    "load_news": f"WITH {NEWS} SELECT DISTINCT 'news' AS source, post_id, created_at FROM keyed",
 }

@@ -48,17 +48,25 @@ from tickertide.operators.rollup import (
 )
 from tickertide.operators.scoring import score_posts
 from tickertide.operators.tickers import extract_tickers
-from tickertide.operators.validate import validate_enriched, validate_raw
+from tickertide.operators.validate import has_ticker, validate_enriched, validate_raw
 from tickertide.plans import ranking
-from tickertide.plans.backfill import enrich_backlog
+from tickertide.plans.backfill import enrich_backlog, rebuild_from_tables
+from tickertide.plans.load import load_news, load_social
 from tickertide.schema import ENRICHED_POST, RAW_POST
 from tickertide.session import ROCKSDB_PROVIDER, scratch_dir
 from tickertide.sources.payloads import news_articles, news_post_id, news_to_raw, social_to_raw
-from tickertide.sources.symbols import build_symbols, parse_symbol_lines
-from tickertide.sources.tables import read_rollup
-from tickertide.sources.topics import from_wire, to_wire
-from tickertide.streaming.dedup import dedup_stream_ttl, dedup_stream_watermark
-from tickertide.streaming.rollup import rollup_stream, start_rollup
+from tickertide.sources.symbols import build_symbols, parse_symbol_lines, read_allowlist, write_symbols
+from tickertide.sources.tables import ENRICHED_TABLE, RAW_TABLE, read_rollup, read_table
+from tickertide.sources.topics import (
+    from_wire,
+    read_enriched_posts,
+    read_raw_posts,
+    to_wire,
+    write_enriched_posts,
+    write_raw_posts,
+)
+from tickertide.streaming.dedup import dedup_stream_event_time, dedup_stream_ttl
+from tickertide.streaming.rollup import persist_and_roll, rollup_stream, start_rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -155,9 +163,7 @@ def q_extract_tickers(spark, sf):
 
 
 def q_extract_tickers_join(spark, sf):
-    found = extract_tickers(
-        fx.posts(spark, sf), "text", fx.ALLOW, keys=["source", "post_id"], literal_limit=0
-    )
+    found = extract_tickers(fx.posts(spark, sf), "text", fx.ALLOW, literal_limit=0)
     return found.select("post_id", _joined("tickers").alias("tickers"))
 
 
@@ -569,10 +575,30 @@ def q_stream_rollup(spark, sf):
     return _flat_rollup(read_rollup(spark, root))
 
 
-def q_stream_dedup(spark, sf):
-    """First row per key within an hour of event time, as a stream."""
-    fresh = dedup_stream_watermark(fx.event_posts(_event_stream(spark, sf)))
-    return _drain(spark, fresh.select("dedup_key"), "dedup")
+STREAM_FILES = 4
+
+
+def q_stream_dedup(spark, sf, files: int = STREAM_FILES):
+    """The time-to-live rule on a stream that arrives in several micro-batches."""
+    posts = fx.event_posts(fx.events(spark, sf)).select("source", "post_id", "dedup_key", "created_at")
+    folder, out, offsets = (scratch_dir(spark, n) for n in ("events", "dedup", "dedup-offsets"))
+    first, last = posts.agg(F.min(F.unix_micros("created_at")), F.max(F.unix_micros("created_at"))).first()
+    width = (last - first) // files + 1
+    for number in range(files):  # one span of time after the other
+        span = F.floor((F.unix_micros("created_at") - first) / width) == number
+        posts.where(span).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(posts.schema).parquet(folder)
+        fresh = dedup_stream_event_time(stream, ids=("post_id",))
+        (
+            fresh.writeStream.format("parquet")
+            .option("path", out)
+            .option("checkpointLocation", offsets)
+            .trigger(availableNow=True)
+            .start()
+            .awaitTermination()
+        )
+    kept = spark.read.schema(posts.schema).parquet(out)
+    return kept.select("post_id", "dedup_key", _clock("created_at").alias("created_at"))
 
 
 def _drain(spark, stream, name: str, **confs) -> DataFrame:
@@ -624,6 +650,127 @@ def q_backfill(spark, sf):
     )
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
+def _batches(spark, sf) -> str:
+    """The root of stored event posts, written once for a session and folder."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _stored:
+        _stored[at] = _write_batches(spark, sf)
+    return _stored[at]
+
+
+def _write_batches(spark, sf) -> str:
+    """Event posts stored in several micro-batches: redelivered ones, late ones, one replay."""
+    root = scratch_dir(spark, "batches")
+    fields = {f.name: f for f in ENRICHED_POST.fields}
+    posts = fx.event_posts(fx.events(spark, sf)).withColumn("text", F.lit("-"))
+    for name in fields.keys() - set(posts.columns):
+        posts = posts.withColumn(name, F.lit(None).cast(fields[name].dataType))
+    part = F.pmod(F.xxhash64("post_id"), F.lit(3))
+    write = persist_and_roll(root, run="batches")
+    write(posts.where(part == 0), 0)
+    second = posts.where(part == 1).unionByName(posts.where((part == 0) & F.col("post_id").endswith("7")))
+    write(second, 1)
+    write(second, 1)
+    write(posts.where(part == 2).unionByName(posts.where(F.col("post_id").endswith("3"))), 2)
+    return root
+
+
+def q_stream_rollup_batches(spark, sf):
+    return _flat_rollup(read_rollup(spark, _batches(spark, sf)))
+
+
+def q_stored_raw_posts(spark, sf):
+    rows = read_table(spark, _batches(spark, sf), RAW_TABLE)
+    return rows.select("source", "post_id", _clock("created_at").alias("created_at"), "author")
+
+
+def q_stored_enriched_posts(spark, sf):
+    rows = read_table(spark, _batches(spark, sf), ENRICHED_TABLE)
+    return rows.select("source", "post_id", _joined("tickers").alias("tickers"), "stance_label", "conviction")
+
+
+def q_rebuild_rollup(spark, sf):
+    return _flat_rollup(rebuild_from_tables(spark, _batches(spark, sf)))
+
+
+def q_trending_stored(spark, sf):
+    return _rounded(ranking.trending_stored(spark, _batches(spark, sf), "2024-01-20", minutes=600))
+
+
+def q_movers_api_stored(spark, sf):
+    return _rounded(
+        ranking.movers_api_stored(spark, _batches(spark, sf), "2024-01-20", window_minutes=360, baseline_hours=72)
+    )
+
+
+def q_movers_web_stored(spark, sf):
+    return _rounded(ranking.movers_web_stored(spark, _batches(spark, sf), "2024-01-20", window_minutes=240))
+
+
+def q_validate_wire(spark, sf):
+    """Messages whose time is valid, absent or malformed, through a folder topic."""
+    posts = fx.posts(spark, sf)
+    d = F.col("doc_id")
+    stamp = F.when(d % 3 == 0, iso_z("created_at")).when(d % 3 == 1, F.lit("soon"))
+    message = F.to_json(F.struct("source", "post_id", stamp.alias("created_at"), "text"))
+    topic = scratch_dir(spark, "wire")
+    posts.select(message.alias("value")).write.text(topic)
+    good, bad = validate_raw(read_raw_posts(spark, topic), now=F.timestamp_seconds(F.lit(fx.MIDNIGHT)))
+    good = good.select("post_id", _clock("created_at").alias("created_at"), F.lit("").alias("errors"))
+    bad = bad.select("post_id", _clock("created_at").alias("created_at"), _joined("errors").alias("errors"))
+    return good.unionByName(bad)
+
+
+def q_write_raw_topic(spark, sf):
+    """Raw posts to a folder topic and back."""
+    topic = scratch_dir(spark, "raw-topic")
+    write_raw_posts(fx.posts(spark, sf).select(*RAW_POST.fieldNames()), topic)
+    back = read_raw_posts(spark, topic)
+    return back.select("source", "post_id", _clock("created_at").alias("created_at"), "author", "text", "url")
+
+
+def q_write_enriched_topic(spark, sf):
+    topic = scratch_dir(spark, "enriched-topic")
+    write_enriched_posts(fx.enriched(spark, sf), topic)
+    back = read_enriched_posts(spark, topic)
+    return back.select("source", "post_id", _joined("tickers").alias("tickers"), "finbert_score", "stance_label")
+
+
+def q_symbol_file(spark, sf):
+    """The symbol list written and read again as an allowlist."""
+    path = scratch_dir(spark, "symbols")
+    write_symbols(q_build_symbols(spark, sf), path)
+    return read_allowlist(spark, path)
+
+
+def q_has_ticker(spark, sf):
+    return fx.enriched(spark, sf).where(has_ticker()).select("post_id")
+
+
+def _loaded(spark, topic: str) -> DataFrame:
+    return read_raw_posts(spark, topic).select("source", "post_id", _clock("created_at").alias("created_at"))
+
+
+def q_load_social(spark, sf):
+    """Three loads: the items until noon, all of them, all again. Each comes through once."""
+    items = fx.social_items(spark, sf)
+    topic, cursors = scratch_dir(spark, "load-topic"), scratch_dir(spark, "load-cursors")
+    for hour, landed in enumerate((items.where(F.col("created_utc") < fx.MIDNIGHT + 43200), items, items)):
+        load_social(landed, topic, cursors, datetime(2024, 1, 2, hour))
+    return _loaded(spark, topic)
+
+
+def q_load_news(spark, sf):
+    responses = fx.news_responses(spark, sf)
+    topic, cursors = scratch_dir(spark, "load-topic"), scratch_dir(spark, "load-cursors")
+    for hour, oldest in enumerate((100, 200, None, None)):
+        load_news(responses, topic, cursors, datetime(2024, 1, 2, hour), oldest)
+    return _loaded(spark, topic)
+
+
 QUERIES: dict[str, Query] = {
     name.removeprefix("q_"): function
     for name, function in list(globals().items())

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickertide.functions.sentiment import conviction, emotion_map, sentiment_from_probs, source_weight, stance_from_probs
-from tickertide.operators.scoring import enrich, score_posts, transformers_scorers
+from tickertide.functions.sentiment import emotion_map, sentiment_from_probs, stance_from_probs
+from tickertide.operators.scoring import enrich, score_posts
 from tickertide.operators.validate import validate_enriched, validate_raw
 from tickertide.schema import ENRICHED_POST, RAW_POST, STANCE_LABELS
 
@@ -94,23 +95,33 @@ def test_scorer_must_answer_every_text(spark):
         score_posts(df, make).collect()
 
 
-def test_transformers_factory_shapes_model_output(monkeypatch):
-    def pipeline(task, model, **options):
-        if task == "text-classification":
-            assert options["truncation"] and options["max_length"] == 256 and options["top_k"] is None
-            return lambda texts: [[{"label": "Positive", "score": 0.5}] for _ in texts]
+def test_models_are_loaded_once_per_worker(spark, tmp_path):
+    folder = str(tmp_path)
 
-        def zero_shot(texts, candidate_labels, multi_label):
-            assert multi_label and candidate_labels == STANCE_LABELS
-            rows = [{"labels": ["news", "meme"], "scores": [0.75, 0.5]} for _ in texts]
-            return rows[0] if len(rows) == 1 else rows
+    def make():
+        import tempfile
+
+        tempfile.NamedTemporaryFile(dir=folder, delete=False).close()
+        none = lambda texts: [{} for _ in texts]
+        return none, none, none
+
+    df = spark.range(0, 64, 1, 32).select(F.col("id").cast("string").alias("text"))
+    assert score_posts(df, make).select("scores").collect()
+    import os
+
+    assert 1 <= len(os.listdir(folder)) <= 8  # 32 tasks on at most 8 workers
 
-        return zero_shot
 
-    monkeypatch.setitem(sys.modules, "transformers", types.SimpleNamespace(pipeline=pipeline))
-    finance, emotion, stance = transformers_scorers()()
-    assert finance(["a", "b"]) == [{"Positive": 0.5}] * 2 == emotion(["a", "b"])
-    assert stance(["a"]) == [{"news": 0.75, "meme": 0.5}] and len(stance(["a", "b"])) == 2
+def test_equal_labels_up_to_case(spark):
+    """The last of them counts; the job doesn't fail."""
+    row = spark.range(1).select(
+        F.create_map(F.lit("Joy"), F.lit(0.25), F.lit("joy"), F.lit(0.5), F.lit("POSITIVE"), F.lit(0.125)).alias("m")
+    )
+    (r,) = row.select(
+        emotion_map(F.map_entries("m")).alias("e"), sentiment_from_probs("m").alias("s"), stance_from_probs("m").alias("t")
+    ).collect()
+    assert r.e == {"joy": 0.5, "positive": 0.125} == r.t.probs
+    assert (r.s.pos, r.t.label) == (0.125, "joy")
 
 
 def test_validate_raw(spark):

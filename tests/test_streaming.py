@@ -112,7 +112,7 @@ def test_packed_tables_read_the_same_and_go_on(spark, tmp_path):
     run(posts.limit(20), 0)
     run(posts.limit(0), 1)  # an empty batch
     run(posts.limit(40), 2)
-    pack_tables(spark, root, packed, 2)
+    pack_tables(spark, root, packed, "by-hand", 2)
     assert same_rows(comparable(read_rollup(spark, packed)), comparable(read_rollup(spark, root)))
     assert read_table(spark, packed, ROLLUP_TABLE).select("batch_id").distinct().count() == 1
     persist_and_roll(packed)(posts, 3)

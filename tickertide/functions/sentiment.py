@@ -20,13 +20,30 @@ def _with(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _last_wins(entries: Column) -> Column:
+    """Array of (key, value) structs to a map; of equal keys the last value counts."""
+    def is_last(entry: Column, at: Column) -> Column:
+        later = F.slice(entries, at + 2, F.size(entries))
+        return ~F.exists(later, lambda x: x["key"] == entry["key"])
+
+    return F.map_from_entries(F.filter(entries, is_last))
+
+
 def lower_keys(probs: Column | str) -> Column:
-    return F.transform_keys(probs, lambda k, _: F.lower(k))
+    """The map with lower-case labels; of labels equal up to case the last one counts."""
+    lowered = F.transform(
+        F.map_entries(probs), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))
+    )
+    return _with(lowered, _last_wins)
 
 
 def emotion_map(pairs: Column | str) -> Column:
     """Array of (label, probability) structs to a map with lower-case labels."""
-    return lower_keys(F.map_from_entries(pairs))
+    column = pairs if isinstance(pairs, Column) else F.col(pairs)
+    lowered = F.transform(
+        column, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))
+    )
+    return _with(lowered, _last_wins)
 
 
 def sentiment_from_probs(probs: Column | str) -> Column:

@@ -39,8 +39,8 @@ def strip(text: Column | str) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
-def normalize_text(text: Column | str, max_chars: int | None = 5000) -> Column:
-    """One space per whitespace run, none at the ends, at most ``max_chars`` code points."""
+def normalize_text(text: Column | str, max_chars: int | None = None) -> Column:
+    """One space per whitespace run, none at the ends; ``max_chars`` code points if given."""
     collapsed = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), WHITESPACE_RUN, " "))
     return collapsed if max_chars is None else F.substring(collapsed, 1, max_chars)
 

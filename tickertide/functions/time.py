@@ -38,6 +38,14 @@ def parse_iso_utc(text: Column | str) -> Column:
     return with_zone.try_cast("timestamp")
 
 
+def bad_times(parsed: dict[str, tuple[Column, Column]]) -> Column:
+    """``bad_times``: the names whose text is there (not blank) and whose parsed time is null."""
+    names = [
+        F.when(time.isNull() & (F.length(F.trim(text)) > 0), F.lit(name)) for name, (text, time) in parsed.items()
+    ]
+    return F.array_compact(F.array(*names).cast("array<string>")).alias("bad_times")
+
+
 def iso_z(ts: Column | str) -> Column:
     """A UTC instant as ISO text ending in ``Z``; six decimals only when needed."""
     column = ts if isinstance(ts, Column) else F.col(ts)

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tickertide.session import stage_table
 
@@ -32,10 +32,12 @@ def dedup_batch_ttl(
 
     Rows are taken in (ts, ids) order; (key, ts, ids) names a row, and identical
     redeliveries of it count once.  The decision runs on (key, ts, ids) alone,
-    so texts move once, in the final semi join.
+    so texts move once, in the final semi join.  A row without a key or a time can't
+    repeat another: all such rows are kept.  Ids may be null.
     """
+    ruled = F.col(key).isNotNull() & F.col(ts).isNotNull()
     slim = (
-        df.select(F.col(key).alias("k"), F.unix_micros(ts).alias("us"), F.struct(*ids).alias("id"))
+        df.where(ruled).select(F.col(key).alias("k"), F.unix_micros(ts).alias("us"), F.struct(*ids).alias("id"))
         .groupBy("k", "us")
         .agg(F.min("id").alias("id"))
     )
@@ -44,8 +46,11 @@ def dedup_batch_ttl(
         F.col("k").alias(key), F.timestamp_micros("us").alias(ts), *[F.col(f"id.{i}").alias(i) for i in ids]
     )
     names = [key, ts, *ids]
-    # Copies collapse on the map side here, and the join reuses this partitioning.
-    return df.dropDuplicates(names).join(survivors, names, "left_semi")
+    renamed = survivors.withColumnsRenamed({n: f"_{n}" for n in names})
+    same = reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names])
+    # The survivors first: copies of a row then collapse among few rows.
+    kept = df.where(ruled).join(renamed, same, "left_semi").dropDuplicates(names)
+    return kept.unionByName(df.where(~ruled))
 
 
 def _kept_instants(slim: DataFrame, ttl: int, hot_rows: int) -> DataFrame:
@@ -65,26 +70,35 @@ def _kept_instants(slim: DataFrame, ttl: int, hot_rows: int) -> DataFrame:
 
 
 def _walk(slim: DataFrame, ttl: int) -> DataFrame:
-    """One pass over each key in time order; memory does not grow with the key."""
+    """The kept rows of keys whose instants fit a sorted pass.
 
+    A row more than the ttl after its predecessor is always kept and starts the rule anew,
+    which cuts a key into islands in the JVM. An island no longer than the ttl keeps its first
+    row; only the longer ones are walked in Python, with constant memory.
+    """
+    by_key = W.partitionBy("k").orderBy("us")
+    starts = F.coalesce(F.col("us") - F.lag("us").over(by_key) > ttl, F.lit(True))
+    heads = slim.withColumn("_starts", starts)
+    heads = heads.withColumn("_head", F.max(F.when(F.col("_starts"), F.col("us"))).over(by_key))
+    far = heads.withColumn("_far", F.max("us").over(W.partitionBy("k", "_head")) - F.col("_head") > ttl)
+    short = far.where(~F.col("_far") & F.col("_starts")).select(*slim.columns)
+    walked = _walk_islands(far.where("_far").select(*slim.columns, "_head"), ttl)
+    return short.unionByName(walked.select(*slim.columns))
+
+
+def _walk_islands(rows: DataFrame, ttl: int) -> DataFrame:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, last_kept = None, None
+        island, last_kept = None, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column(0)
-            starts = [keys[0].as_py() != last_key]
-            starts += pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_pylist()
             mask = []
-            for is_start, us in zip(starts, batch.column(1).to_pylist()):
-                keep = is_start or us - last_kept > ttl
+            for k, head, us in zip(*(batch[c].to_pylist() for c in ("k", "_head", "us"))):
+                keep = (k, head) != island or us - last_kept > ttl
                 if keep:
-                    last_kept = us
+                    island, last_kept = (k, head), us
                 mask.append(keep)
-            last_key = keys[len(keys) - 1].as_py()
-            yield batch.filter(pa.array(mask))
+            yield batch.filter(pa.array(mask, pa.bool_()))
 
-    ordered = slim.filter(F.col("k").isNotNull()).repartition("k").sortWithinPartitions("k", "us")
+    ordered = rows.repartition("k", "_head").sortWithinPartitions("k", "_head", "us")
     return ordered.mapInArrow(step, ordered.schema)
 
 

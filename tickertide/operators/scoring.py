@@ -1,5 +1,6 @@
 """Batched scoring of texts by a pluggable model, and the enriched row built on it."""
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -16,19 +17,24 @@ from tickertide.functions.sentiment import (
 )
 from tickertide.functions.text import dedup_key, normalize_text
 from tickertide.operators.tickers import extract_tickers
-from tickertide.schema import ENRICHED_POST, SCORES, STANCE_LABELS
+from tickertide.schema import ENRICHED_POST, SCORES
 
 # One scorer call per batch of texts; each returns one label → probability dict per text.
 BatchScorer = Callable[[list[str]], list[dict]]
-# Called once per task: (finance, emotion, stance).
+# Called once per worker process: (finance, emotion, stance).
 ScorerFactory = Callable[[], tuple[BatchScorer, BatchScorer, BatchScorer]]
 
-# Scorer batch, token cut and public model names.
+# Fixed value: texts in one scorer call.
 BATCH_SIZE = 16
-MAX_TOKENS = 256
-FINANCE_MODEL = "ProsusAI/finbert"
-EMOTION_MODEL = "cardiffnlp/twitter-roberta-base-emotion"
-STANCE_MODEL = "facebook/bart-large-mnli"
+
+# The scorers of this worker process, by the name of the call that made them.
+_loaded: dict[str, tuple[BatchScorer, BatchScorer, BatchScorer]] = {}
+
+
+def _scorers(name: str, make_scorers: ScorerFactory) -> tuple[BatchScorer, BatchScorer, BatchScorer]:
+    if name not in _loaded:
+        _loaded[name] = make_scorers()
+    return _loaded[name]
 
 
 def score_posts(
@@ -36,14 +42,14 @@ def score_posts(
 ) -> DataFrame:
     """Add a ``scores`` struct of three label maps.
 
-    Only the normalized text crosses to Python, in Arrow batches; the model is
-    loaded once per task and every other column stays in the JVM.
+    Only the whole normalized text crosses to Python, in Arrow batches; the models are
+    loaded once per worker process and every other column stays in the JVM.
     """
-    size = batch_size
+    size, name = batch_size, uuid.uuid4().hex
 
     @pandas_udf(SCORES)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        finance, emotion, stance = make_scorers()
+        finance, emotion, stance = _scorers(name, make_scorers)
 
         def labelled(scorer, texts):
             out = []
@@ -68,37 +74,6 @@ def score_posts(
     return df.withColumn("scores", run(normalize_text(text_col)))
 
 
-def transformers_scorers(
-    finance_model: str = FINANCE_MODEL,
-    emotion_model: str = EMOTION_MODEL,
-    stance_model: str = STANCE_MODEL,
-    labels: list[str] = STANCE_LABELS,
-    max_tokens: int = MAX_TOKENS,
-    device: int = -1,
-) -> ScorerFactory:
-    """A factory over Hugging Face models; the package must be present on the workers."""
-
-    def make():
-        from transformers import pipeline
-
-        limits = {"truncation": True, "max_length": max_tokens, "top_k": None, "device": device}
-        finance = pipeline("text-classification", model=finance_model, **limits)
-        emotion = pipeline("text-classification", model=emotion_model, **limits)
-        zero_shot = pipeline("zero-shot-classification", model=stance_model, device=device)
-
-        def classes(model):
-            return lambda texts: [{s["label"]: s["score"] for s in row} for row in model(texts)]
-
-        def stances(texts):
-            rows = zero_shot(texts, candidate_labels=list(labels), multi_label=True)
-            rows = [rows] if isinstance(rows, dict) else rows
-            return [dict(zip(r["labels"], r["scores"])) for r in rows]
-
-        return classes(finance), classes(emotion), stances
-
-    return make
-
-
 def enrich(
     scored: DataFrame,
     allow: DataFrame | Iterable[str] | None = None,
@@ -108,7 +83,7 @@ def enrich(
 
     A ``dedup_key`` that is already there is kept rather than hashed again.
     """
-    with_tickers = extract_tickers(scored, "text", allow, keys=["source", "post_id"])
+    with_tickers = extract_tickers(scored, "text", allow)
     staged = with_tickers.withColumns(
         {
             "_fin": sentiment_from_probs("scores.finance"),

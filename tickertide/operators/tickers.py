@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.functions import arrow_udf
 
 from tickertide.functions.text import (
     STOP_TOKENS,
@@ -14,10 +18,9 @@ from tickertide.functions.text import (
     ticker_candidates,
 )
 
-# Allowlists up to this size become a hashed IN-set inside the plan: no join,
-# no shuffle.  Larger ones are joined.
+# Allowlists up to this size become a hashed IN-set inside the plan; larger ones are
+# broadcast. Neither is joined, and both give the same rows.
 LITERAL_LIMIT = 20_000
-BROADCAST_LIMIT = 1_000_000
 
 
 def _allowed_rows(df: DataFrame, allow: DataFrame | Iterable[str]) -> DataFrame:
@@ -34,38 +37,26 @@ def extract_tickers(
     text_col: str = "text",
     allow: DataFrame | Iterable[str] | None = None,
     out: str = "tickers",
-    keys: list[str] | None = None,
     literal_limit: int = LITERAL_LIMIT,
 ) -> DataFrame:
-    """Add the ordered distinct tickers of each text.
-
-    ``keys`` name the (non-null) columns that identify a row; they only help when
-    the allowlist is too large for the in-plan set.
-    """
+    """Add the ordered distinct tickers of each text, on a batch or a stream."""
     if allow is None:
         found = ordered_distinct(drop_stop_tokens(ticker_candidates(text_col)))
         return df.withColumn(out, found)
-    symbols = _literal_symbols(df, allow, literal_limit)
-    if symbols is None:
-        if df.isStreaming:
-            raise ValueError(f"a stream takes an allowlist of at most {literal_limit} symbols")
-        return keep_allowed_join(
-            df.withColumn(out, ticker_candidates(text_col)), _allowed_rows(df, allow), keys, out
-        )
-    return keep_allowed_literal(df.withColumn(out, ticker_candidates(text_col)), symbols, out)
-
-
-def _literal_symbols(df: DataFrame, allow, limit: int) -> list[str] | None:
-    """The allowlist as Python strings if it has at most ``limit`` entries."""
+    symbols = _symbols(df, allow)
+    found = df.withColumn(out, ticker_candidates(text_col))
+    keep = keep_allowed_literal if len(symbols) <= literal_limit else keep_allowed_set
+    return keep(found, symbols, out)
+
+
+def _symbols(df: DataFrame, allow: DataFrame | Iterable[str]) -> list[str]:
+    """The usable symbols. Five letters A-Z at most: some 12 million words of 5 bytes bound it."""
     if isinstance(allow, DataFrame):
-        rows = _allowed_rows(df, allow).limit(limit + 1).collect()
-        names = {r.symbol for r in rows}
-    else:
-        stop = set(STOP_TOKENS)
-        names = {
-            s for s in allow if 1 <= len(s) <= 5 and s.isascii() and s.isalpha() and s.isupper()
-        } - stop
-    return sorted(names) if len(names) <= limit else None
+        return sorted(r.symbol for r in _allowed_rows(df, allow).collect())
+    stop = set(STOP_TOKENS)
+    return sorted(
+        {s for s in allow if 1 <= len(s) <= 5 and s.isascii() and s.isalpha() and s.isupper()} - stop
+    )
 
 
 def keep_allowed_literal(df: DataFrame, symbols: list[str], column: str) -> DataFrame:
@@ -77,30 +68,37 @@ def keep_allowed_literal(df: DataFrame, symbols: list[str], column: str) -> Data
     return df.withColumn(column, F.expr(f"array_distinct(filter(`{column}`, s -> s IN ({names})))"))
 
 
-def keep_allowed_join(
-    df: DataFrame, allow: DataFrame, keys: list[str] | None, column: str
-) -> DataFrame:
-    """The same filter as a semi join, for lists too large for the plan.
+def keep_allowed_set(df: DataFrame, symbols: list[str], column: str) -> DataFrame:
+    """The same filter for lists too large for the plan.
 
-    Only (keys, digest of the candidates, position, symbol) travel.  The digest
-    makes the answer right whatever the keys are; the keys spread copies of one
-    text over the tasks.  A group holds the symbols of one text.
+    The symbols are broadcast, and only the candidates cross to Python, in Arrow batches: no
+    join and no shuffle, in batch and on a stream.
     """
-    if allow.limit(BROADCAST_LIMIT + 1).count() <= BROADCAST_LIMIT:
-        allow = F.broadcast(allow)
-    digest = F.sha2(F.array_join(column, ","), 256)
-    df = df.withColumn("_digest", digest)
-    by = [*(keys or []), "_digest"]
-    flat = df.select(*by, F.posexplode(F.array_distinct(column)).alias("pos", "symbol"))
-    kept = (
-        flat.join(allow, "symbol", "left_semi")
-        .distinct()
-        .groupBy(*by)
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "symbol"))).alias("hits"))
-        .select(*by, F.col("hits.symbol").alias("_kept"))
-    )
-    return (
-        df.join(kept, by, "left")
-        .withColumn(column, F.coalesce("_kept", F.expr("cast(array() as array<string>)")))
-        .drop("_kept", "_digest")
-    )
+    allowed, name = df.sparkSession.sparkContext.broadcast(symbols), uuid.uuid4().hex
+
+    @arrow_udf("array<string>")
+    def keep(candidates: pa.Array) -> pa.Array:
+        known = _value_set(name, allowed)
+        row = pc.list_parent_indices(candidates)
+        flat = pc.list_flatten(candidates)
+        hit = pc.is_in(flat, value_set=known)
+        row, flat = row.filter(hit), flat.filter(hit)
+        seen, rows = set(), [[] for _ in range(len(candidates))]
+        for at, symbol in zip(row.to_pylist(), flat.to_pylist()):
+            if (at, symbol) not in seen:
+                seen.add((at, symbol))
+                rows[at].append(symbol)
+        return pa.array(rows, pa.list_(pa.string()))
+
+    return df.withColumn(column, keep(F.col(column)))
+
+
+_sets: dict[str, pa.Array] = {}
+
+
+def _value_set(name: str, allowed) -> pa.Array:
+    """The broadcast symbols as an Arrow array, built once for each worker process."""
+    if name not in _sets:
+        _sets.clear()
+        _sets[name] = pa.array(allowed.value, pa.string())
+    return _sets[name]

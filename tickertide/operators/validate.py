@@ -24,6 +24,13 @@ def _outside(name: str, low: float | None, high: float | None) -> Column:
     return F.when(bad, F.lit(f"{name} out of range"))
 
 
+def _malformed(df: DataFrame) -> list[Column]:
+    """A reason for each time that a decoder could not parse (``bad_times``)."""
+    if "bad_times" not in df.columns:
+        return []
+    return [F.when(F.size("bad_times") > 0, F.concat(F.array_join("bad_times", ", "), F.lit(" malformed")))]
+
+
 def _split(df: DataFrame, reasons: list[Column]) -> tuple[DataFrame, DataFrame]:
     checked = df.withColumn("errors", F.array_compact(F.array(*reasons)))
     good = checked.filter(F.size("errors") == 0).drop("errors")
@@ -31,12 +38,16 @@ def _split(df: DataFrame, reasons: list[Column]) -> tuple[DataFrame, DataFrame]:
 
 
 def validate_raw(df: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Raw posts: source, post_id and a text of at least one character are required."""
+    """Raw posts: source, post_id and a text of at least one character are required.
+
+    An absent time becomes ``now``; a time that is there but malformed is an error.
+    """
     reasons = [
         _missing("source"),
         _missing("post_id"),
         _missing("text"),
         F.when(F.length("text") < 1, F.lit("text empty")),
+        *_malformed(df),
     ]
     good, bad = _split(df, reasons)
     good = good.withColumns(
@@ -61,6 +72,7 @@ def validate_enriched(df: DataFrame, now: Column | None = None) -> tuple[DataFra
         _outside("confidence", 0.0, 1.0),
         _outside("source_weight", 0.0, None),
         F.when(~F.forall("flags", lambda f: f.isin(FLAGS)), F.lit("flags unknown")),
+        *_malformed(df),
     ]
     good, bad = _split(df, reasons)
     defaults = {

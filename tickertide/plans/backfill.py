@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tickertide.functions.text import dedup_key
 from tickertide.operators.dedup import TTL_SECONDS, dedup_batch_ttl
 from tickertide.operators.rollup import rollup_5m
 from tickertide.operators.scoring import ScorerFactory, enrich, score_posts
 from tickertide.operators.validate import validate_raw
+from tickertide.sources.tables import ENRICHED_TABLE, RAW_TABLE, read_table
 
 
 def enrich_backlog(
@@ -18,15 +19,29 @@ def enrich_backlog(
     make_scorers: ScorerFactory,
     allow: DataFrame | Iterable[str] | None = None,
     ttl_seconds: float = TTL_SECONDS,
+    quarantine: str | None = None,
 ) -> DataFrame:
-    """Validate, drop reposts by the replayable time-to-live rule, score and enrich."""
-    good, _ = validate_raw(raw)
+    """Validate, drop reposts by the replayable time-to-live rule, score and enrich.
+
+    Rows that are not valid are written with their errors to ``quarantine``.
+    """
+    good, bad = validate_raw(raw)
+    if quarantine:
+        bad.write.mode("overwrite").json(quarantine)
     keyed = good.withColumn("dedup_key", dedup_key("url", "text"))
     fresh = dedup_batch_ttl(keyed, "dedup_key", "created_at", ["source", "post_id"], ttl_seconds)
     return enrich(score_posts(fresh, make_scorers), allow)
 
 
 def rebuild_rollup(enriched: DataFrame) -> DataFrame:
-    """The rollup of stored enriched posts, each post counted once."""
+    """The rollup of enriched posts, each post counted once."""
     return rollup_5m(enriched.dropDuplicates(["source", "post_id"]))
 
+
+def rebuild_from_tables(spark: SparkSession, root: str) -> DataFrame:
+    """The rollup from the stored posts alone; the author of a post is in the raw table."""
+    keys = ["source", "post_id"]
+    authors = read_table(spark, root, RAW_TABLE).select(*keys, "author")
+    posts = read_table(spark, root, ENRICHED_TABLE).drop("author")
+    return rebuild_rollup(posts.join(authors.dropDuplicates(keys), keys, "left"))
+

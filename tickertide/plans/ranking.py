@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickertide.functions.time import at_or_after, between, utc
+from tickertide.sources.tables import read_rollup_deltas
 
-# Emotions summed, score weights and default ratios of each dialect.
-EMOTIONS = ["joy", "optimism", "fear", "sadness", "anger"]
+# Emotions weighed, score weights and default ratios of each dialect.
+EMOTIONS = ["joy", "optimism", "fear", "sadness"]
 API_VOLUME, API_SPIKE, API_SENTIMENT, API_TILT, API_CONVICTION, API_CROSS = 0.45, 0.35, 0.10, 0.10, 0.10, 0.05
 WEB_SPIKE, WEB_BULLISH, WEB_CONVICTION, WEB_SENTIMENT = 0.45, 0.25, 0.20, 0.10
 API_NO_DIRECTION, WEB_NO_DIRECTION = 0.5, 0.0
@@ -30,7 +31,6 @@ _API_SUMS = {
     "sent_cnt": "sentiment_count",
     "bull": "bullish_count",
     "bear": "bearish_count",
-    "neu": "neutral_count",
     "conv_sum": "conviction_sum",
 }
 
@@ -96,9 +96,10 @@ def _recent_values(with_emotions: bool) -> dict[str, str]:
 
 
 def _one_scan(
-    rollup: DataFrame, start: datetime, base: tuple[datetime, datetime], with_emotions: bool
+    rollup: DataFrame, start: datetime, base: tuple[datetime, datetime], with_emotions: bool, deltas: bool = False
 ) -> DataFrame:
-    """Recent and baseline sums from a single scan and a single exchange."""
+    """Recent and baseline sums from a single scan; one exchange unless buckets of deltas are counted."""
+    buckets = "count(DISTINCT bucket_start) FILTER (WHERE _earlier)" if deltas else "count_if(_earlier)"
     recent = at_or_after("bucket_start", start)
     earlier = between("bucket_start", *base)
     sums = [
@@ -113,7 +114,7 @@ def _one_scan(
         .agg(
             *sums,
             F.expr("coalesce(sum(mention_count) FILTER (WHERE _earlier), 0) AS base_mentions"),
-            F.expr("count_if(_earlier) AS base_buckets"),
+            F.expr(f"{buckets} AS base_buckets"),
             F.expr("count_if(_recent) AS _rows"),
         )
         .filter("_rows > 0")
@@ -142,9 +143,10 @@ def _two_scans(
     )
 
 
-def _sums(rollup, start, base, with_emotions, single_scan):
-    gather = _one_scan if single_scan else _two_scans
-    return gather(rollup, start, base, with_emotions)
+def _sums(rollup, start, base, with_emotions, single_scan, deltas=False):
+    if not single_scan:
+        return _two_scans(rollup, start, base, with_emotions)
+    return _one_scan(rollup, start, base, with_emotions, deltas and with_emotions)
 
 
 # --- movers -------------------------------------------------------------------
@@ -158,17 +160,18 @@ def movers_api(
     limit: int = 25,
     require_cross_source: bool = False,
     single_scan: bool = True,
+    deltas: bool = False,
 ) -> DataFrame:
     """Tickers ranked by score against their baseline ``[as_of - hours, window start)``.
 
     The base rate is per non-empty bucket, and the cross-source filter applies
-    to the ranked rows, after the limit.
+    to the ranked rows, after the limit. ``deltas``: several rows may share a bucket.
     """
     now = utc(as_of)
     start = now - timedelta(minutes=window_minutes)
     base = (now - timedelta(hours=baseline_hours), start)
     buckets = float(max(1, window_minutes // 5))
-    sums = _sums(rollup, start, base, True, single_scan)
+    sums = _sums(rollup, start, base, True, single_scan, deltas)
 
     mentions = F.col("mentions")
     pleasant = F.col("optimism_sum") + F.col("joy_sum")
@@ -270,3 +273,31 @@ def movers_web(
         + WEB_SENTIMENT * F.col("sentiment_mean")
     )
     return scored.orderBy(order.desc(), F.asc("ticker")).limit(limit)
+
+
+# --- over the stored deltas: every measure is a sum, so they are added by ticker at once ---
+
+
+def trending_stored(
+    spark: SparkSession, root: str, as_of: datetime | str, minutes: int = 60, limit: int = 25
+) -> DataFrame:
+    """``trending_api`` over the stored rollup; opens the days of the window only."""
+    rows = read_rollup_deltas(spark, root, utc(as_of) - timedelta(minutes=minutes))
+    return trending_api(rows, as_of, minutes, limit)
+
+
+def movers_api_stored(
+    spark: SparkSession, root: str, as_of: datetime | str, window_minutes: int = 60, baseline_hours: int = 24, **options
+) -> DataFrame:
+    """``movers_api`` over the stored rollup; opens the days of the baseline on only."""
+    since = utc(as_of) - max(timedelta(minutes=window_minutes), timedelta(hours=baseline_hours))
+    rows = read_rollup_deltas(spark, root, since)
+    return movers_api(rows, as_of, window_minutes, baseline_hours, deltas=True, **options)
+
+
+def movers_web_stored(
+    spark: SparkSession, root: str, as_of: datetime | str, window_minutes: int = 60, baseline_hours: int = 6, **options
+) -> DataFrame:
+    """``movers_web`` over the stored rollup."""
+    since = utc(as_of) - timedelta(minutes=window_minutes, hours=baseline_hours)
+    return movers_web(read_rollup_deltas(spark, root, since), as_of, window_minutes, baseline_hours, **options)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,15 +42,22 @@ def pin_utc(spark: SparkSession) -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting falls back to a temporary folder:
-    on a cluster a machine-local folder would not be visible to every executor.
+    Only a local session without that setting falls back to one temporary folder, removed at
+    exit: on a cluster a machine-local folder would not be visible to every executor.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    return tempfile.mkdtemp(prefix="tickertide-")
+    return _local_scratch()
+
+
+@cache
+def _local_scratch() -> str:
+    path = tempfile.mkdtemp(prefix="tickertide-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:

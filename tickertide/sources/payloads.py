@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickertide.functions.text import strip
-from tickertide.functions.time import parse_iso_utc
+from tickertide.functions.time import bad_times, parse_iso_utc
 from tickertide.schema import NEWS_RESPONSE, RAW_POST, SOCIAL_ITEM
 
 # Fixed value: permalinks arrive without the host.
@@ -74,6 +74,7 @@ def news_articles(responses: DataFrame) -> DataFrame:
 
 
 def news_to_raw(responses: DataFrame) -> DataFrame:
+    """Raw posts, with ``bad_times`` for a publication time that can't be parsed."""
     parts = [_or_null(c) for c in ("title", "description", "content")]
     return (
         news_articles(responses)
@@ -81,6 +82,7 @@ def news_to_raw(responses: DataFrame) -> DataFrame:
             F.lit("news").alias("source"),
             news_post_id("url", "title", "published").alias("post_id"),
             parse_iso_utc("published").alias("created_at"),
+            F.col("published"),
             _or_null("author").alias("author"),
             F.concat_ws("\n\n", *parts).alias("text"),
             _or_null("url").alias("url"),
@@ -88,5 +90,5 @@ def news_to_raw(responses: DataFrame) -> DataFrame:
                 F.lit("query"), F.col("query"), F.lit("source_name"), F.col("source_name")
             ).alias("meta"),
         )
-        .select(*RAW_POST.fieldNames())
+        .select(*RAW_POST.fieldNames(), bad_times({"created_at": (F.col("published"), F.col("created_at"))}))
     )

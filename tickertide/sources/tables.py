@@ -1,4 +1,4 @@
-"""Stored tables: posts, authors and rollup deltas, one folder per batch."""
+"""Stored tables: posts, authors and rollup deltas, one folder per stream run and batch."""
 
 from __future__ import annotations
 
@@ -27,11 +27,21 @@ _DAY_OF = {
 }
 
 
-def write_batch(df: DataFrame, root: str, table: str, batch_id: int) -> None:
+def stored_runs(spark: SparkSession, root: str) -> set[str]:
+    """The runs that have written below ``root``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{RAW_TABLE}")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return set()
+    names = [s.getPath().getName() for s in files.listStatus(folder)]
+    return {n.removeprefix("run=") for n in names if n.startswith("run=")}
+
+
+def write_batch(df: DataFrame, root: str, table: str, run: str, batch_id: int) -> None:
     """Write one batch of a table, partitioned by UTC day.
 
-    The folder is named by the batch id and replaced whole, so writing the same
-    batch again changes nothing.
+    The folder is named by the run and the batch id and replaced whole, so writing the same
+    batch again changes nothing, and no other run's batches are touched.
     """
     day_of = _DAY_OF[table]
     rows = df.select(*_SCHEMAS[table].fieldNames()).withColumn("day", utc_date(day_of))
@@ -42,15 +52,17 @@ def write_batch(df: DataFrame, root: str, table: str, batch_id: int) -> None:
         .sortWithinPartitions("day", day_of)
         .write.mode("overwrite")
         .partitionBy("day")
-        .parquet(f"{root}/{table}/batch_id={batch_id}")
+        .parquet(f"{root}/{table}/run={run}/batch_id={batch_id}")
     )
 
 
-def read_table(spark: SparkSession, root: str, table: str, before: int | None = None) -> DataFrame:
-    """All batches of a table (those before ``before``, if given)."""
+def read_table(
+    spark: SparkSession, root: str, table: str, before: tuple[str, int] | None = None
+) -> DataFrame:
+    """All batches of a table, or those before a (run, batch id); other runs came earlier."""
     schema = T.StructType(
         _SCHEMAS[table].fields
-        + [T.StructField("batch_id", T.LongType()), T.StructField("day", T.DateType())]
+        + [T.StructField(*f) for f in (("run", T.StringType()), ("batch_id", T.LongType()), ("day", T.DateType()))]
     )
     try:
         rows = spark.read.schema(schema).parquet(f"{root}/{table}")
@@ -58,7 +70,10 @@ def read_table(spark: SparkSession, root: str, table: str, before: int | None =
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         rows = spark.createDataFrame([], schema)
-    return rows if before is None else rows.filter(F.col("batch_id") < before)
+    if before is None:
+        return rows
+    run, batch_id = before
+    return rows.filter((F.col("run") != run) | (F.col("batch_id") < batch_id))
 
 
 def read_rollup(spark: SparkSession, root: str, since: datetime | str | None = None) -> DataFrame:
@@ -67,14 +82,21 @@ def read_rollup(spark: SparkSession, root: str, since: datetime | str | None = N
     ``since`` limits the scan to the days from that moment on; a further filter
     on ``bucket_start`` is pushed through the sum to the scan as well.
     """
-    deltas = read_table(spark, root, ROLLUP_TABLE)
-    if since is not None:
-        deltas = deltas.filter(F.col("day") >= F.lit(utc(since).date()))
-        deltas = deltas.filter(at_or_after("bucket_start", since))
+    deltas = read_rollup_deltas(spark, root, since)
     summed = sum_rollup(deltas, ["bucket_start", "ticker"], with_authors=True)
     return summed.select(*ROLLUP.fieldNames())
 
 
+def read_rollup_deltas(
+    spark: SparkSession, root: str, since: datetime | str | None = None
+) -> DataFrame:
+    """The stored deltas as they are: several rows may share a (bucket_start, ticker)."""
+    deltas = read_table(spark, root, ROLLUP_TABLE)
+    if since is None:
+        return deltas
+    return deltas.filter(F.col("day") >= F.lit(utc(since).date())).filter(at_or_after("bucket_start", since))
+
+
 def read_rollup_jdbc(spark: SparkSession, url: str, **options: str) -> DataFrame:
     """A rollup kept in a relational table; its emotion sums arrive as JSON text."""
     rows = spark.read.format("jdbc").options(url=url, dbtable=ROLLUP_TABLE, **options).load()
@@ -82,12 +104,12 @@ def read_rollup_jdbc(spark: SparkSession, url: str, **options: str) -> DataFrame
     return rows.withColumn("emotion_sums", sums).select(*ROLLUP.fieldNames())
 
 
-def pack_tables(spark: SparkSession, root: str, new_root: str, batch_id: int) -> None:
-    """Write every table as the single batch ``batch_id`` below a new root.
+def pack_tables(spark: SparkSession, root: str, new_root: str, run: str, batch_id: int) -> None:
+    """Write every table as the single batch ``batch_id`` of a run below a new root.
 
-    Fewer folders to list and fewer deltas to sum.  Use the last batch of a stopped
-    stream; the stream then goes on below the new root.
+    Fewer folders to list and fewer deltas to sum.  Use the run and the last batch of a
+    stopped stream; the stream then goes on below the new root.
     """
     for table in (RAW_TABLE, ENRICHED_TABLE, AUTHOR_TABLE):
-        write_batch(read_table(spark, root, table), new_root, table, batch_id)
-    write_batch(read_rollup(spark, root), new_root, ROLLUP_TABLE, batch_id)
+        write_batch(read_table(spark, root, table), new_root, table, run, batch_id)
+    write_batch(read_rollup(spark, root), new_root, ROLLUP_TABLE, run, batch_id)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tickertide.functions.time import iso_z, parse_iso_utc
+from tickertide.functions.time import bad_times, iso_z, parse_iso_utc
 from tickertide.schema import ENRICHED_POST, ENRICHED_TOPIC, RAW_POST, RAW_TOPIC
 
 
@@ -29,34 +29,45 @@ def to_wire(df: DataFrame) -> DataFrame:
 
 
 def from_wire(messages: DataFrame, schema: T.StructType) -> DataFrame:
-    """Decode JSON values; an undecodable message becomes a row of nulls."""
+    """Decode JSON values; an undecodable message becomes a row of nulls.
+
+    ``bad_times`` names the times whose text is there but can't be parsed, so that a
+    validator tells them from times that are absent.
+    """
     row = messages.select(F.from_json(F.col("value").cast("string"), _as_text_times(schema)).alias("r"))
-    return row.select(
-        *[
-            (parse_iso_utc(F.col("r")[f.name]) if f.dataType == T.TimestampType() else F.col("r")[f.name]).alias(f.name)
-            for f in schema.fields
-        ]
+    times = {f.name for f in schema.fields if f.dataType == T.TimestampType()}
+    parsed = row.select("r", *[parse_iso_utc(F.col("r")[t]).alias(f"_{t}") for t in sorted(times)])
+    return parsed.select(
+        *[(F.col(f"_{f.name}") if f.name in times else F.col("r")[f.name]).alias(f.name) for f in schema.fields],
+        bad_times({t: (F.col("r")[t], F.col(f"_{t}")) for t in sorted(times)}),
     )
 
 
-def _read(spark: SparkSession, src: dict | str, schema, topic: str, streaming: bool) -> DataFrame:
+def _read(spark: SparkSession, src: dict | str, schema, topic: str, streaming: bool, max_files=None) -> DataFrame:
     reader = spark.readStream if streaming else spark.read
     if isinstance(src, str):
-        if streaming:
-            reader = reader.option("maxFilesPerTrigger", 1000)
+        if streaming and max_files:
+            reader = reader.option("maxFilesPerTrigger", max_files)
         return from_wire(reader.text(src), schema)
     options = {"subscribe": topic, "startingOffsets": "earliest", **src}
     return from_wire(reader.format("kafka").options(**options).load(), schema)
 
 
-def read_raw_posts(spark: SparkSession, src: dict | str, streaming: bool = False) -> DataFrame:
+def read_raw_posts(
+    spark: SparkSession, src: dict | str, streaming: bool = False, max_files: int | None = None
+) -> DataFrame:
     """``src``: a folder of JSON lines, or Kafka options such as
-    ``kafka.bootstrap.servers`` and ``maxOffsetsPerTrigger``."""
-    return _read(spark, src, RAW_POST, RAW_TOPIC, streaming)
+    ``kafka.bootstrap.servers`` and ``maxOffsetsPerTrigger``.
+
+    ``max_files`` limits the files of a micro-batch; no answer depends on it.
+    """
+    return _read(spark, src, RAW_POST, RAW_TOPIC, streaming, max_files)
 
 
-def read_enriched_posts(spark: SparkSession, src: dict | str, streaming: bool = False) -> DataFrame:
-    return _read(spark, src, ENRICHED_POST, ENRICHED_TOPIC, streaming)
+def read_enriched_posts(
+    spark: SparkSession, src: dict | str, streaming: bool = False, max_files: int | None = None
+) -> DataFrame:
+    return _read(spark, src, ENRICHED_POST, ENRICHED_TOPIC, streaming, max_files)
 
 
 def _write(df: DataFrame, sink: dict | str, topic: str, checkpoint: str | None, trigger: dict | None):

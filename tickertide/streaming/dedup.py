@@ -1,5 +1,6 @@
 """Dedup of a stream of raw posts."""
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,6 +49,55 @@ def dedup_stream_watermark(
     return df.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
 
 
+def dedup_stream_event_time(
+    df: DataFrame,
+    key: str = "dedup_key",
+    ts: str = "created_at",
+    ids: tuple[str, ...] = ("source", "post_id"),
+    ttl_seconds: float = TTL_SECONDS,
+    lateness_seconds: float | None = None,
+) -> DataFrame:
+    """The rule of ``dedup_batch_ttl`` on a stream, in event time.
+
+    A row is dropped if a row of its key was kept at most ``ttl_seconds`` before it. The rows of
+    a micro-batch are taken in (ts, ids) order, and the instants kept so far are state, so how
+    rows that arrive in order are cut into micro-batches changes nothing. No row is too
+    late: one that arrives after later ones is held against the instants kept before it.
+    ``lateness_seconds`` forgets instants that long behind the latest of their key; without it
+    the state holds eight bytes for each kept row. Rows without a key or time are kept.
+    """
+    ttl = int(ttl_seconds * 1_000_000)
+    late = None if lateness_seconds is None else int(lateness_seconds * 1_000_000)
+    columns = df.columns
+
+    def step(_, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        kept = list(state.get[0]) if state.exists else []
+        rows = pd.concat(frames)
+        order = rows.sort_values(["_us", *[i for i in ids if i in columns]], kind="stable")
+        chosen = []
+        if rows["_ruled"].iloc[0]:
+            for place, us in enumerate(order["_us"].tolist()):
+                at = bisect_right(kept, us)
+                if at == 0 or us - kept[at - 1] > ttl:
+                    kept.insert(at, us)
+                    chosen.append(place)
+            if late is not None:
+                kept = kept[bisect_left(kept, kept[-1] - max(late, ttl)) :]
+            state.update((kept,))
+            order = order.iloc[chosen]
+        yield order[columns]
+
+    ruled = F.col(key).isNotNull() & F.col(ts).isNotNull()
+    keyed = df.withColumn("_us", F.unix_micros(ts)).withColumn("_ruled", ruled)
+    # Rows that the rule leaves alone are spread by chance.
+    spread = F.when(ruled, F.concat(F.lit("k"), key)).otherwise(F.hash(*[i for i in ids if i in columns]).cast("string"))
+    return (
+        keyed.withColumn("_group", spread)
+        .groupBy("_group")
+        .applyInPandasWithState(step, df.schema, "kept array<long>", "append", "NoTimeout")
+    )
+
+
 def dedup_stream_ttl(
     df: DataFrame, key: str = "dedup_key", ttl_seconds: float = TTL_SECONDS
 ) -> DataFrame:

@@ -20,9 +20,10 @@ from tickertide.sources.tables import (
     RAW_TABLE,
     ROLLUP_TABLE,
     read_table,
+    stored_runs,
     write_batch,
 )
-from tickertide.streaming.dedup import dedup_stream_watermark
+from tickertide.streaming.dedup import dedup_stream_event_time
 
 POST_KEYS = ["source", "post_id"]
 MAX_DAYS = 1000
@@ -39,13 +40,20 @@ def rollup_stream(enriched: DataFrame, lateness: str = "1 hour") -> DataFrame:
     return rollup_5m(enriched.withWatermark("created_at", lateness), windowed=True)
 
 
-def persist_and_roll(root: str, key_scope: str = "all") -> Callable[[DataFrame, int], None]:
+def persist_and_roll(
+    root: str, key_scope: str = "day", run: str | None = None, adopt: bool = False
+) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: store the posts, then add their rollup delta.
 
     No post is too late: each batch appends its own sums, and reading the rollup
     adds them up.  Author deltas only hold authors that earlier batches did not
     count.  Everything is derived from batches before this one and written to a
-    folder named by the batch id, so a replayed batch changes nothing.
+    folder named by the run and the batch id; copies of a post are picked in a total order.
+    So a replayed batch changes nothing.
+
+    ``run`` names the stream; by default it is the id that its checkpoint holds. A new run
+    (a fresh checkpoint) is refused on a root that holds batches of another one, unless it
+    is told to ``adopt`` them as its history.
 
     ``key_scope="day"`` looks for stored copies only among posts of the same
     creation days, which prunes the scan of the history; right when a post keeps
@@ -54,32 +62,38 @@ def persist_and_roll(root: str, key_scope: str = "all") -> Callable[[DataFrame,
     if key_scope not in ("all", "day"):
         raise ValueError("key_scope is 'all' or 'day'")
 
-    def run(batch: DataFrame, batch_id: int) -> None:
+    def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        name = run or spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "by-hand"
+        others = stored_runs(spark, root) - {name}
+        if others and not adopt and name not in stored_runs(spark, root):
+            raise ValueError(f"{root} holds batches of {sorted(others)}; run {name} would mix with them")
+        before = (name, batch_id)
         posts = batch.select(*STORED).persist()
         try:
-            stored = read_table(spark, root, ENRICHED_TABLE, before=batch_id)
+            stored = read_table(spark, root, ENRICHED_TABLE, before)
             if key_scope == "day":
                 stored = _same_days(stored, posts, "created_at")
-            fresh = insert_if_absent(stored, posts, POST_KEYS).persist()
+            ordered = posts.withColumn("_order", F.xxhash64(F.to_json(F.struct(*STORED))))
+            fresh = insert_if_absent(stored, ordered, POST_KEYS, ["created_at", "_order"]).drop("_order").persist()
             try:
-                write_batch(fresh, root, RAW_TABLE, batch_id)
-                write_batch(fresh, root, ENRICHED_TABLE, batch_id)
+                write_batch(fresh, root, RAW_TABLE, name, batch_id)
+                write_batch(fresh, root, ENRICHED_TABLE, name, batch_id)
                 mentioned = fresh.filter(has_ticker())
-                known = read_table(spark, root, AUTHOR_TABLE, before=batch_id)
+                known = read_table(spark, root, AUTHOR_TABLE, before)
                 known = _same_days(known, mentioned, "created_at")
                 keys = ["bucket_start", "ticker", "author_key"]
                 authors = mention_authors(mentioned)
                 # Only the authors of this batch that are stored already.
                 known = known.select(*keys).join(authors, keys, "left_semi").distinct()
-                write_batch(authors.join(known, keys, "left_anti"), root, AUTHOR_TABLE, batch_id)
-                write_batch(rollup_5m(mentioned, known_authors=known), root, ROLLUP_TABLE, batch_id)
+                write_batch(authors.join(known, keys, "left_anti"), root, AUTHOR_TABLE, name, batch_id)
+                write_batch(rollup_5m(mentioned, known_authors=known), root, ROLLUP_TABLE, name, batch_id)
             finally:
                 fresh.unpersist()
         finally:
             posts.unpersist()
 
-    return run
+    return write
 
 
 def _same_days(table: DataFrame, posts: DataFrame, ts: str) -> DataFrame:
@@ -99,15 +113,28 @@ def start_rollup(
     enriched: DataFrame,
     root: str,
     checkpoint: str,
-    key_scope: str = "all",
+    key_scope: str = "day",
     trigger: dict | None = None,
+    quarantine: str | None = None,
+    adopt: bool = False,
 ) -> StreamingQuery:
-    """Run ``persist_and_roll`` over a stream of enriched posts."""
-    good, _ = validate_enriched(enriched)
+    """Run ``persist_and_roll`` over a stream of enriched posts.
+
+    Rows that are not valid are written with their errors below ``quarantine``, one folder
+    per batch. The default trigger is one batch a minute.
+    """
+    roll = persist_and_roll(root, key_scope, adopt=adopt)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        good, bad = validate_enriched(batch)
+        if quarantine:
+            bad.write.mode("overwrite").json(f"{quarantine}/batch_id={batch_id}")
+        roll(good, batch_id)
+
     return (
-        good.writeStream.foreachBatch(persist_and_roll(root, key_scope))
+        enriched.writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"processingTime": "0 seconds"}))
+        .trigger(**(trigger or {"processingTime": "1 minute"}))
         .start()
     )
 
@@ -116,9 +143,23 @@ def enrich_stream(
     raw: DataFrame,
     make_scorers: ScorerFactory,
     allow: DataFrame | Iterable[str] | None = None,
-    dedup: Callable[[DataFrame], DataFrame] = dedup_stream_watermark,
+    dedup: Callable[[DataFrame], DataFrame] = dedup_stream_event_time,
+    quarantine: str | None = None,
+    trigger: dict | None = None,
 ) -> DataFrame:
-    """Raw stream to enriched stream: validate, dedup, score, enrich."""
-    good, _ = validate_raw(raw)
+    """Raw stream to enriched stream: validate, dedup, score, enrich.
+
+    No post is dropped for lateness. With ``quarantine`` a second query writes the rows that
+    are not valid, with their errors, below that folder.
+    """
+    good, bad = validate_raw(raw)
+    if quarantine:
+        (
+            bad.writeStream.format("json")
+            .option("path", quarantine)
+            .option("checkpointLocation", f"{quarantine}/_checkpoint")
+            .trigger(**(trigger or {"processingTime": "1 minute"}))
+            .start()
+        )
     fresh = dedup(good.withColumn("dedup_key", dedup_key("url", "text")))
     return enrich(score_posts(fresh, make_scorers), allow)
