@@ -17,6 +17,7 @@ PIECE = 24  # longer words are seen through overlapping pieces of so many letter
 REACH = 8  # letters that a subsequence may span
 DECAY = 0.6  # for each letter it skips
 CACHE_WORDS = 2_000_000
+CELLS = 500_000  # words x subsequences that are in memory at once
 
 _LETTER = np.zeros(256, np.int64)
 _LETTER[65:91] = _LETTER[97:123] = np.arange(1, 27)
@@ -91,8 +92,9 @@ def against(spelled: _Spelled, table: np.ndarray, empty: float = 0.0) -> np.ndar
     """
     out = np.full((spelled.count, *table.shape[1:]), -np.inf)
     for own, letters in spelled.groups:
-        for a in range(0, len(own), 20_000):
-            codes, weight = subsequences(letters[a : a + 20_000])
+        step = max(1, CELLS // len(_triples(letters.shape[1])[0]))
+        for a in range(0, len(own), step):
+            codes, weight = subsequences(letters[a : a + step])
             norm = np.sqrt(self_kernel(codes, weight))
             if table.ndim == 1:
                 value = (table[codes] @ weight) / norm
@@ -101,7 +103,7 @@ def against(spelled: _Spelled, table: np.ndarray, empty: float = 0.0) -> np.ndar
                 for column in range(codes.shape[1]):
                     value += table[codes[:, column]] * weight[column]
                 value /= norm[:, None]
-            np.maximum.at(out, own[a : a + 20_000], value)
+            np.maximum.at(out, own[a : a + step], value)
     return np.where(np.isinf(out), empty, out)
 
 
