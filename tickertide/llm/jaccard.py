@@ -146,8 +146,9 @@ def _unit(column: str) -> Column:
     return F.pmod(F.xxhash64(F.col(column)), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
-def _across(lists: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of members of different components in a list that may be similar enough.
+def _across(lists: DataFrame, profiles: DataFrame, percent: int, only_best: bool = False) -> DataFrame:
+    """Pairs (u, v, score) of members of different components in a list that may be similar enough.
+    ``only_best``: of each block, only the best partner of each member of the left side.
 
     The members of the largest component of a list (the rest of it) are never held against each
     other. The others are cut into blocks, and each block meets each block of its list.
@@ -196,7 +197,7 @@ def _across(lists: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     )
     step, need = 100 + percent, percent
 
-    def hold(rows: pa.Table) -> list[tuple[int, int]]:
+    def hold(rows: pa.Table) -> list[tuple[int, int, float]]:
         ids, n, pos, part = (rows[c].to_numpy() for c in ("id", "n", "pos", "part"))
         profile = np.frombuffer(b"".join(rows["profile"].to_pylist()), "<u2").reshape(len(ids), PROFILE).astype(np.int32)
         profile[(profile == FULL).any(1)] = 1 << 20
@@ -208,8 +209,13 @@ def _across(lists: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
             b = right[ok]
             if len(b):
                 shared = np.minimum(profile[a], profile[b]).sum(1)
-                b = b[shared >= least[ok]]
-                out += [(max(ids[a], ids[x]), min(ids[a], ids[x])) for x in b]
+                may = shared >= least[ok]
+                score = np.minimum(shared[may] / (n[a] + n[b[may]]), 1.0)
+                b = b[may]
+                if only_best and len(b):
+                    top = np.lexsort((ids[b], -score))[:1]
+                    b, score = b[top], score[top]
+                out += [(int(ids[a]), int(ids[x]), float(s)) for x, s in zip(b, score)]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -230,12 +236,13 @@ def _across(lists: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
         if kept:
             yield _pairs(hold(pa.Table.from_batches(kept)))
 
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(run, "u long, v long, score double")
 
 
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+def _pairs(found: list[tuple[int, int, float]]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.float64())
     return pa.RecordBatch.from_arrays(
-        [pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["u", "v"]
+        [pa.array([p[i] for p in found], kind) for i, kind in enumerate(kinds)], ["u", "v", "score"]
     )
 
 
@@ -252,7 +259,8 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
     position filters are candidates; members are verified on their full sets. In each list
     of a shingle, all groups are first held against one pivot. Lists that then still hold
     members of two or more components are cut into blocks; blocks meet in a task each, where
-    an upper bound on the overlap of two sets leaves few pairs to verify. No list is kept
+    an upper bound on the overlap of two sets leaves few pairs to verify: in rounds, each member
+    proposes its best partner; once no proposal holds, all that the bound leaves are verified. No list is kept
     in one task, no pair inside a component is made, and no pair between components is left out.
 
     Rows that share a doc_id are one document: it links where any of its texts does. Rows
@@ -323,11 +331,21 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
         )
         return stage(known.join(unsettled, "token"), "jaccard-open")
 
-    left = open_lists(entries)
-    if not left.isEmpty():
-        profiles = classes.select("id", "profile")
-        found = _across(left, profiles, percent).distinct()
-        links.append(_verified(docs, stage(found, "jaccard-pairs"), shingle, percent))
+    left, profiles = open_lists(entries), classes.select("id", "profile")
+    while not left.isEmpty():
+        # Each member proposes the most similar one of another component, as far as profiles tell.
+        best = _across(left, profiles, percent, only_best=True)
+        proposed = best.groupBy("u").agg(F.max(F.struct("score", "v")).alias("b"))
+        proposed = proposed.select(F.greatest("u", "b.v").alias("u"), F.least("u", "b.v").alias("v")).distinct()
+        found = _verified(docs, stage(proposed, "jaccard-pairs"), shingle, percent)
+        if found.isEmpty():
+            break
+        links.append(found)
+        components = connected_components(reduce(DataFrame.union, links))
+        left = open_lists(left.drop("part", "size"))
+    if not left.isEmpty():  # no proposal held: now whatever the bound leaves
+        rest = _across(left, profiles, percent).select("u", "v").distinct()
+        links.append(_verified(docs, stage(rest, "jaccard-pairs"), shingle, percent))
         components = connected_components(reduce(DataFrame.union, links))
     labels = classes.join(components.withColumnRenamed("id", "c_id"), F.col("id") == F.col("c_id"), "left").select(
         "n", "sig1", "sig2", F.coalesce("component", "id").alias("component_id")
