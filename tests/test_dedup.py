@@ -70,3 +70,11 @@ def test_one_instant_in_many_copies(spark):
         F.lit("k").alias("key"), F.lit(DAY).alias("ts"), (F.col("id") % 5).cast("string").alias("id"), F.lit("x").alias("text")
     )
     assert [r.id for r in dedup_batch_ttl(df, "key", "ts", ["id"]).collect()] == ["0"]
+
+
+@pytest.mark.parametrize("hot_rows", [1_000, 0])
+def test_rows_without_key_or_time_are_kept(spark, hot_rows):
+    rows = [(None, DAY, "a", "x"), (None, DAY, "b", "x"), ("k", None, "c", "x"), ("k", DAY, None, "x"), ("k", DAY, None, "x")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = dedup_batch_ttl(df, "key", "ts", ["id"], 60, hot_rows).collect()
+    assert sorted((r.key or "", r.id or "") for r in got) == [("", "a"), ("", "b"), ("k", ""), ("k", "c")]

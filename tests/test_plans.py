@@ -70,3 +70,19 @@ def test_newest_rows_are_cut_before_the_shuffle(spark):
     plan = physical(newest_per_batch(df, "event_type", ["ts"], 5))
     assert plan.count("WindowGroupLimit") == 2  # a partial one below the exchange
     assert plan.rindex("WindowGroupLimit") > plan.index("Exchange")
+
+
+def test_stored_rankings_prune_days_and_sum_at_once(spark, tmp_path):
+    from datetime import datetime
+
+    from helpers import enriched
+    from tickertide.plans.ranking import movers_api_stored, movers_web_stored, trending_stored
+    from tickertide.streaming.rollup import persist_and_roll
+
+    root = str(tmp_path / "out")
+    persist_and_roll(root, run="r")(enriched(spark, [{"post_id": "a", "created_at": datetime(2024, 1, 1)}]), 0)
+    for ranking, exchanges in ((trending_stored, 1), (movers_web_stored, 1), (movers_api_stored, 2)):
+        plan = physical(ranking(spark, root, fx.AS_OF))
+        assert plan.count("Exchange hashpartitioning") == exchanges
+        assert "Generate" not in plan and "Expand" not in plan
+        assert re.search(r"PartitionFilters: \[isnotnull\(day#\d+\), \(day#\d+ >=", plan)

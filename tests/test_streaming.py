@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from helpers import comparable, enriched, same_rows
 from tickertide.operators.rollup import rollup_5m
+from tickertide.operators.tickers import extract_tickers
+from tickertide.plans.backfill import enrich_backlog, rebuild_from_tables
 from tickertide.schema import ENRICHED_POST, RAW_POST
 from tickertide.sources.tables import (
     AUTHOR_TABLE,
@@ -19,7 +21,7 @@ from tickertide.sources.tables import (
     read_table,
 )
 from tickertide.sources.topics import read_enriched_posts, read_raw_posts, write_enriched_posts, write_raw_posts
-from tickertide.streaming.dedup import dedup_stream_ttl, dedup_stream_watermark
+from tickertide.streaming.dedup import dedup_stream_event_time, dedup_stream_ttl, dedup_stream_watermark
 from tickertide.streaming.rollup import enrich_stream, persist_and_roll, rollup_stream, start_rollup
 
 DAY = datetime(2024, 1, 1)
@@ -259,3 +261,94 @@ def test_processing_time_ttl_expires_and_does_not_slide(spark, tmp_path, no_empt
     time.sleep(max(0.0, 21.5 - (time.time() - started)))
     # The hit of "b" did not extend the life of "a".
     assert deliver("c") == ["a", "c"]
+
+
+def test_late_news_survives_next_to_fresh_posts(spark, tmp_path):
+    """Three-hour-old news beside fresh social posts, over three micro-batches: nothing is lost."""
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    schema = "source string, post_id string, dedup_key string, created_at timestamp"
+    rows = []
+    for batch in range(3):
+        part = [("reddit", f"r{batch}-{i}", f"r{batch}-{i}", DAY + timedelta(hours=12, minutes=batch)) for i in range(5)]
+        part += [("news", f"n{batch}-{i}", f"n{batch}-{i}", DAY + timedelta(hours=9, minutes=batch)) for i in range(5)]
+        part += [("news", f"copy{batch}", f"n{batch}-0", DAY + timedelta(hours=9, minutes=batch + 5))]
+        part += [("news", f"null{batch}", None, DAY), ("news", f"untimed{batch}", "k", None)]
+        rows += part
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        time.sleep(0.1)
+    stream = dedup_stream_event_time(stream_of(spark, folder, spark.createDataFrame([], schema).schema))
+    run_dedup(stream, tmp_path).awaitTermination()
+    kept = {r.post_id for r in spark.read.schema(schema).parquet(out).collect()}
+    assert kept == {r[1] for r in rows if not r[1].startswith("copy")}
+
+
+@pytest.mark.parametrize("files", [1, 4, 16])
+def test_stream_dedup_does_not_depend_on_the_micro_batches(spark, files):
+    from registry.queries import QUERIES, q_stream_dedup
+    from tickertide.operators.dedup import dedup_batch_ttl
+    from registry import fixtures as fx
+
+    sf = "/root/testdata/sf0.001"
+    whole = dedup_batch_ttl(fx.event_posts(fx.events(spark, sf)), "dedup_key", "created_at", ["post_id"])
+    expected = sorted(r.post_id for r in whole.select("post_id").collect())
+    assert sorted(r.post_id for r in q_stream_dedup(spark, sf, files).collect()) == expected
+    assert "stream_dedup" in QUERIES
+
+
+def test_a_fresh_checkpoint_does_not_touch_what_is_stored(spark, tmp_path):
+    root = str(tmp_path / "out")
+    posts = sample(spark)
+    persist_and_roll(root, run="one")(posts.limit(40), 0)
+    before = comparable(read_rollup(spark, root)).collect()
+    with pytest.raises(ValueError, match="would mix"):
+        persist_and_roll(root, run="two")(posts, 0)
+    assert sorted(map(str, comparable(read_rollup(spark, root)).collect())) == sorted(map(str, before))
+    persist_and_roll(root, run="two", adopt=True)(posts, 0)
+    assert same_rows(comparable(read_rollup(spark, root)), comparable(rollup_5m(posts)))
+    rebuilt = rebuild_from_tables(spark, root)
+    assert same_rows(comparable(rebuilt), comparable(rollup_5m(posts)))
+
+
+def test_copies_of_a_post_are_picked_in_a_total_order(spark, tmp_path):
+    root = str(tmp_path / "out")
+    posts = sample(spark, 20)
+    changed = posts.withColumn("author", F.lit("other")).withColumn("created_at", F.col("created_at") + F.expr("interval 1 second"))
+    for first, second in ((posts, changed), (changed, posts)):
+        persist_and_roll(root, run="r")(first.unionByName(second).repartition(5), 0)
+        rows = read_table(spark, root, RAW_TABLE)
+        assert rows.count() == 20 and not rows.where("author = 'other'").count()
+
+
+def test_quarantine_of_streams_and_backlog(spark, tmp_path):
+    topic, bad = str(tmp_path / "raw"), str(tmp_path / "bad")
+    write_raw_posts(spark.createDataFrame(RAW_ROWS, RAW_POST), topic)
+    lines = ['{"source": "news", "post_id": "m", "created_at": "garbage", "text": "x"}', "{broken"]
+    spark.createDataFrame([(x,) for x in lines], "value string").write.mode("append").text(topic)
+    stream = enrich_stream(
+        read_raw_posts(spark, topic, streaming=True), scorers(), ["AA"], quarantine=bad, trigger=NOW
+    )
+    write_enriched_posts(stream, str(tmp_path / "enriched"), str(tmp_path / "cp"), NOW).awaitTermination()
+    for query in spark.streams.active:
+        query.awaitTermination()
+    errors = {r.post_id: r.errors for r in spark.read.json(bad).collect()}
+    assert errors["m"] == ["created_at malformed"] and errors["e"] == ["text empty"] and len(errors) == 3
+    rest = str(tmp_path / "bad2")
+    enrich_backlog(read_raw_posts(spark, topic), scorers(), ["AA"], quarantine=rest).collect()
+    assert spark.read.json(rest).count() == 3
+    wrong = sample(spark, 6).withColumn("conviction", F.lit(2.0))
+    write_parts(wrong, tmp_path / "in", 1)
+    start_rollup(
+        stream_of(spark, tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp3"), trigger=NOW, quarantine=str(tmp_path / "bad3")
+    ).awaitTermination()
+    assert spark.read.json(str(tmp_path / "bad3")).count() == 6
+
+
+def test_large_allowlist_on_a_stream(spark, tmp_path):
+    rows = [("reddit", "a", "buy AA and BB, AA"), (None, None, "see BB")]
+    schema = "source string, post_id string, text string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    found = extract_tickers(stream, "text", ["AA", "BB"], literal_limit=1)
+    run_dedup(found, tmp_path).awaitTermination()
+    got = {r.text: r.tickers for r in spark.read.schema(found.schema).parquet(str(tmp_path / "out")).collect()}
+    assert got == {"buy AA and BB, AA": ["AA", "BB"], "see BB": ["BB"]}

@@ -98,23 +98,28 @@ def _recent_values(with_emotions: bool) -> dict[str, str]:
 def _one_scan(
     rollup: DataFrame, start: datetime, base: tuple[datetime, datetime], with_emotions: bool, deltas: bool = False
 ) -> DataFrame:
-    """Recent and baseline sums from a single scan; one exchange unless buckets of deltas are counted."""
-    buckets = "count(DISTINCT bucket_start) FILTER (WHERE _earlier)" if deltas else "count_if(_earlier)"
+    """Recent and baseline sums from a single scan and a single exchange.
+
+    ``deltas`` are summed by bucket first, so that the buckets of the baseline can be counted.
+    """
+    values = _recent_values(with_emotions)
+    rows = rollup.filter(at_or_after("bucket_start", min(start, base[0])))
+    if deltas:
+        rows = rows.groupBy("ticker", "bucket_start").agg(
+            *[F.expr(f"sum({sql}) AS _{alias}") for alias, sql in values.items()],
+            F.sum("mention_count").alias("mention_count"),
+        )
+        values = {alias: f"_{alias}" for alias in values}
     recent = at_or_after("bucket_start", start)
     earlier = between("bucket_start", *base)
-    sums = [
-        F.expr(f"sum({sql}) FILTER (WHERE _recent) AS {alias}")
-        for alias, sql in _recent_values(with_emotions).items()
-    ]
     return (
-        rollup.filter(at_or_after("bucket_start", min(start, base[0])))
-        .filter(recent | earlier)
+        rows.filter(recent | earlier)
         .withColumns({"_recent": recent, "_earlier": earlier})
         .groupBy("ticker")
         .agg(
-            *sums,
+            *[F.expr(f"sum({sql}) FILTER (WHERE _recent) AS {alias}") for alias, sql in values.items()],
             F.expr("coalesce(sum(mention_count) FILTER (WHERE _earlier), 0) AS base_mentions"),
-            F.expr(f"{buckets} AS base_buckets"),
+            F.expr("count_if(_earlier) AS base_buckets"),
             F.expr("count_if(_recent) AS _rows"),
         )
         .filter("_rows > 0")
