@@ -195,46 +195,61 @@ def _across(lists: DataFrame, profiles: DataFrame, percent: int, only_best: bool
         .repartition(*key)
         .sortWithinPartitions(*key)
     )
-    step, need = 100 + percent, percent
-
-    def hold(rows: pa.Table) -> list[tuple[int, int, float]]:
-        ids, n, pos, part = (rows[c].to_numpy() for c in ("id", "n", "pos", "part"))
-        profile = np.frombuffer(b"".join(rows["profile"].to_pylist()), "<u2").reshape(len(ids), PROFILE).astype(np.int32)
-        profile[(profile == FULL).any(1)] = 1 << 20
-        left, right = (np.flatnonzero(rows[c].to_numpy(zero_copy_only=False)) for c in ("left", "right"))
-        out = []
-        for a in left:
-            least = -(-(n[a] + n[right]) * need // step)
-            ok = (part[right] != part[a]) & (np.minimum(n[a] - pos[a], n[right] - pos[right]) >= least)
-            b = right[ok]
-            if len(b):
-                shared = np.minimum(profile[a], profile[b]).sum(1)
-                may = shared >= least[ok]
-                score = np.minimum(shared[may] / (n[a] + n[b[may]]), 1.0)
-                b = b[may]
-                if only_best and len(b):
-                    top = np.lexsort((ids[b], -score))[:1]
-                    b, score = b[top], score[top]
-                out += [(int(ids[a]), int(ids[x]), float(s)) for x, s in zip(b, score)]
+    whole, need = 100 + percent, percent
+
+    numbers = ["id", "n", "pos", "part", "left", "right"]
+
+    def hold(rows: dict[str, np.ndarray]) -> list[tuple[int, int, float]]:
+        ids, n, pos, part = (rows[c] for c in numbers[:4])
+        left, right = np.flatnonzero(rows["left"]), np.flatnonzero(rows["right"])
+        profile, out = rows["profile"], []
+        step = max(1, 50_000 // max(1, len(right)))
+        for low in range(0, len(left), step):
+            a, b = left[low : low + step, None], right
+            least = -(-(n[a] + n[b]) * need // whole)
+            ok = (part[a] != part[b]) & (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= least)
+            x, y = np.nonzero(ok)
+            if not len(x):
+                continue
+            one, two = left[low + x], right[y]
+            shared = np.concatenate(
+                [np.minimum(profile[one[k : k + 4096]], profile[two[k : k + 4096]]).sum(1) for k in range(0, len(one), 4096)]
+            )
+            may = shared >= least[x, y]
+            one, two, score = one[may], two[may], shared[may] / (n[one[may]] + n[two[may]])
+            if only_best and len(one):
+                order = np.lexsort((ids[two], -score, one))
+                first = order[np.concatenate(([True], one[order][1:] != one[order][:-1]))]
+                one, two, score = one[first], two[first], score[first]
+            out += zip(ids[one].tolist(), ids[two].tolist(), score.tolist())
         return out
 
+    def columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        found = {c: batch[c].to_numpy(zero_copy_only=False) for c in key + numbers}
+        profile = np.array([np.frombuffer(p.as_buffer(), "<u2") for p in batch["profile"]], np.int32)
+        profile = profile.reshape(batch.num_rows, PROFILE)
+        profile[(profile == FULL).any(1)] = 1 << 20  # says nothing
+        return found | {"profile": profile}
+
     def run(batches: Iterator[pa.RecordBatch]):
-        kept, now = [], None
+        kept = None
         for batch in batches:
-            names = list(zip(*(batch[c].to_pylist() for c in key)))
-            at = 0
-            while at < len(names):
-                to = at + 1
-                while to < len(names) and names[to] == names[at]:
-                    to += 1
-                if names[at] != now and kept:
-                    yield _pairs(hold(pa.Table.from_batches(kept)))
-                    kept = []
-                now = names[at]
-                kept.append(batch.slice(at, to - at))
-                at = to
+            if not batch.num_rows:
+                continue
+            now = columns(batch)
+            if kept:
+                now = {c: np.concatenate((kept[c], now[c])) for c in now}
+            change = np.zeros(len(now["id"]), bool)
+            for c in key:
+                change[1:] |= now[c][1:] != now[c][:-1]
+            edges = [0, *np.flatnonzero(change).tolist()]
+            found = []
+            for a, b in zip(edges, edges[1:]):
+                found += hold({c: v[a:b] for c, v in now.items()})
+            kept = {c: v[edges[-1] :] for c, v in now.items()}
+            yield _pairs(found)
         if kept:
-            yield _pairs(hold(pa.Table.from_batches(kept)))
+            yield _pairs(hold(kept))
 
     return dealt.mapInArrow(run, "u long, v long, score double")
 
@@ -283,10 +298,17 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
     many = groups.where("members > 1").select("n", "group_key", "prefix", "gid")
     tokens = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
     lists = tokens.groupBy("token").agg(
-        F.count("*").alias("size"), F.min(F.struct(_unit("gid").alias("unit"), "gid", "n", "pos")).alias("pivot")
+        F.count("*").alias("size"),
+        F.min(F.struct(_unit("gid").alias("unit"), "gid", "n", "pos")).alias("pivot"),
+        F.bit_xor(F.xxhash64("gid")).alias("mark"),
+        F.max("gid").alias("last"),
     )
+    # Of lists with the same members one is enough: that of the least token, since tokens are
+    # in order and it has the foremost place in all of them.
+    same = lists.where("size > 1").groupBy("size", "mark", "last", "pivot.gid")
+    lists = same.agg(F.min_by(F.struct("token", "size", "pivot"), "token").alias("l")).select("l.*")
     met = stage(
-        tokens.join(lists.where("size > 1"), "token").select(
+        tokens.join(lists, "token").select(
             "token", "gid", "n", "pos", F.col("pivot.gid").alias("p_gid"), F.col("pivot.n").alias("p_n"),
             F.col("pivot.pos").alias("p_pos"),
         ),
