@@ -29,7 +29,7 @@ def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the smallest id of each group: five-word shingles, similarity 0.8.
 
-    Rows that repeat a doc_id are one document, and one of them stays.
+    Rows that repeat a doc_id are one document, and the one of the longest text stays.
     """
     groups = stage(jaccard_components(docs, shingle=5, percent=80), "duplicate-groups")
     kept = _without(docs, groups.where("component_id <> doc_id").select("doc_id"))
@@ -39,8 +39,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     )
     if twice.isEmpty():
         return kept
-    once = _without(kept, twice)
-    return once.unionByName(kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    longest = F.max_by(F.struct(*docs.columns), F.struct(F.coalesce(F.length("text"), F.lit(-1)), "text"))
+    one = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(longest.alias("row")).select("row.*")
+    return _without(kept, twice).unionByName(one)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
