@@ -37,6 +37,7 @@ for _i, _class in enumerate((_LOWER, _UPPER, _DIGIT, _JOIN), 1):
 #: kind inside the token; gap before; word before; word after; the text around.
 GROUPS = (128, 12, 6, 8, 1024, 512, 16)
 OFFSETS = np.concatenate(([0], np.cumsum(GROUPS)))
+SLICE = 100  # texts that are tagged at once, about what a core's cache holds
 MARGIN = 6  # tokens of context on either side of a training window
 
 
@@ -51,33 +52,44 @@ def base_spans(text: str) -> list[tuple[str, int, int, int]]:
     return out
 
 
-def _sums(mask: np.ndarray, words: Words, gaps: bool = False) -> np.ndarray:
-    """How many marked bytes each token holds, or else the gap before it in its text."""
-    if not len(words.start):
-        return np.zeros(0, np.int64)
-    values = np.append(mask, False).astype(np.int8)
-    if not gaps:
-        edges = np.stack((words.start, words.end), 1).ravel()
-        return np.add.reduceat(values, edges, dtype=np.int64)[::2]
-    before = np.maximum(np.concatenate(([0], words.end[:-1])), words.offset[words.text])
-    edges = np.stack((before, words.start), 1).ravel()
-    out = np.add.reduceat(values, edges, dtype=np.int64)[::2]
-    out[before == words.start] = 0
-    return out
+def _packed(bits: int, *classes: np.ndarray) -> np.ndarray:
+    """A table that counts several classes of bytes at once, ``bits`` bits for each."""
+    return sum(c.astype(np.uint64) << np.uint64(bits * i) for i, c in enumerate(classes))
+
+
+_IN_TOKEN = _packed(20, _DIGIT, _LOWER, _UPPER)
+_IN_TOKEN_TOO = _packed(20, _JOIN, _HEX)
+_IN_GAP = _packed(16, _SIGN, _QUOTE, _LINE, _CODE)
+
+
+def _spans(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values, out=sums[1:])
+    return sums[end] - sums[start]
+
+
+def _counts(packed: np.ndarray, bits: int, fields: int) -> list[np.ndarray]:
+    mask = np.uint64((1 << bits) - 1)
+    return [((packed >> np.uint64(bits * i)) & mask).astype(np.int64) for i in range(fields)]
 
 
 def features(words: Words) -> np.ndarray:
-    """Feature numbers (tokens x groups)."""
-    data, n = words.data, len(words.start)
-    length = words.end - words.start
-    digit, lower, upper, join, hexes = (_sums(c[data], words) for c in (_DIGIT, _LOWER, _UPPER, _JOIN, _HEX))
+    """Feature numbers (tokens x groups). Counts are modulo 2**20 in tokens, 2**16 in gaps."""
+    n = len(words.start)
+    if not n:
+        return np.zeros((0, len(GROUPS)), np.int64)
+    low = int(words.offset[0])
+    data = words.data[low : int(words.offset[-1])]
+    start, end = words.start - low, words.end - low
+    length = end - start
+    digit, lower, upper = _counts(_spans(_IN_TOKEN[data], start, end), 20, 3)
     kinds = _TYPE[data]
-    change = np.zeros(len(data), bool)
+    change = np.zeros(len(data), np.uint64)
     change[1:] = (kinds[1:] != kinds[:-1]) & (kinds[1:] > 0) & (kinds[:-1] > 0)
-    if n:
-        change[words.start] = False
-    changes = _sums(change, words)
-    sign, quote, line = (_sums(c[data], words, True) for c in (_SIGN, _QUOTE, _LINE))
+    change[start] = 0
+    join, hexes, changes = _counts(_spans(_IN_TOKEN_TOO[data] + (change << np.uint64(40)), start, end), 20, 3)
+    before_it = np.maximum(np.concatenate(([0], end[:-1])), words.offset[words.text] - low)
+    sign, quote, line, code = _counts(_spans(_IN_GAP[data], before_it, start), 16, 4)
     size = np.searchsorted([4, 8, 12, 16, 24, 32, 48], length, "right")
     shape = size * 16 + (digit > 0) * 8 + (lower > 0) * 4 + (upper > 0) * 2 + (join > 0)
     share = np.where(digit == 0, 0, np.where(digit == length, 5, 1 + np.minimum(3, digit * 4 // np.maximum(length, 1))))
@@ -94,7 +106,7 @@ def features(words: Words) -> np.ndarray:
     texts = len(words.first) - 1
     total = np.maximum(np.bincount(words.text, minlength=texts), 1)
     with_digit = np.bincount(words.text, digit > 0, texts) / total
-    signs = np.bincount(words.text, sign + _sums(_CODE[data], words, True), texts) / total
+    signs = np.bincount(words.text, sign + code, texts) / total
     around = np.searchsorted([0.02, 0.1, 0.3], with_digit) * 4 + np.searchsorted([0.02, 0.1, 0.3], signs)
     groups = (shape, share * 2 + (hexes == length), np.searchsorted([1, 2, 3, 5, 9], changes, "right"), gap, before, after, around[words.text])
     return np.stack(groups, 1) + OFFSETS[:-1]
@@ -216,15 +228,15 @@ def decode(field: Field, words: Words, found: np.ndarray) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, rows: int, max_bytes: int) -> list[str]:
-    """Texts to learn from: with and without a match of the formats, the first by a hash."""
+    """Texts to learn from: such with a match of the formats, and any, the first by a hash."""
     may = F.col("text").rlike(
         r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{14}|[0-9a-f]{16}"""
     )
-    fit = docs.select("text").where(F.octet_length("text").between(1, max_bytes)).withColumn("may", may)
+    fit = docs.select("text").where(F.octet_length("text").between(1, max_bytes))
     order = [F.xxhash64("text"), "text"]
-    with_match = fit.where("may").orderBy(*order).limit(rows)
-    without = fit.where("not may").orderBy(*order).limit(rows // 2)
-    return [r["text"] for part in (with_match, without) for r in part.select("text").collect()]
+    with_match = fit.where(F.col("text").rlike("[0-9]") & may).orderBy(*order).limit(rows)
+    any_text = fit.orderBy(*order).limit(rows // 2)
+    return sorted({r["text"] for part in (with_match, any_text) for r in part.collect()})
 
 
 def _tagged(field: Field | None, words: Words, texts: list[str | None]) -> Iterator[list[tuple[str, int, int]]]:
@@ -254,7 +266,7 @@ def find_secrets(docs: DataFrame, train_rows: int = 1500, train_bytes: int = 32_
     Words are tagged as begin of a secret, inside or outside by a linear-chain conditional
     random field over their shape, the words and signs next to them and the kind of text they
     stand in. It learns from what the formats match in at most ``train_rows`` texts with a match
-    and half as many without, of at most ``train_bytes`` bytes each, the first by a hash. Tagged
+    and half as many of any kind, of at most ``train_bytes`` bytes each, the first by a hash. Tagged
     spans that touch a format's match add nothing and are left out. Null texts count as empty;
     each input row gives one row, also for repeated rows; other columns are ignored. Where no
     format matches there is nothing to learn and no span.
@@ -266,8 +278,8 @@ def find_secrets(docs: DataFrame, train_rows: int = 1500, train_bytes: int = 32_
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
+            for low in range(0, batch.num_rows, SLICE):
+                part = batch.slice(low, SLICE)
                 texts = part["text"].to_pylist()
                 counts, base, every = [], [], []
                 for spans in _tagged(field, split_words(part["text"], TOKEN), texts):
