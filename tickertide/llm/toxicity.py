@@ -359,10 +359,24 @@ def train_on_labels(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -
         .join(F.broadcast(sample), "doc_id")  # 2 * per_class ids
         .groupBy("doc_id")
         .agg(F.min("text").alias("text"), F.first("label").alias("label"))
-        .orderBy("doc_id")
-        .collect()
     )
-    return train([r["text"] for r in rows], [r["label"] for r in rows])
+
+    def fit(batches: Iterator[pa.RecordBatch]):
+        texts, marks = [], []
+        for batch in batches:
+            texts += batch["text"].to_pylist()
+            marks += batch["label"].to_pylist()
+        if model := train(texts, marks):
+            parts = [[model.weights.tobytes()], [model.bias], [model.slope], [model.offset], [model.name]]
+            yield pa.RecordBatch.from_arrays([pa.array(p) for p in parts], list(Model._fields))
+
+    # The sample is bounded, so one task trains; the driver gets the weights alone.
+    whole = rows.repartition(1).sortWithinPartitions("doc_id").select("text", "label")
+    found = whole.mapInArrow(fit, "weights binary, bias double, slope double, offset double, name long").collect()
+    if not found:
+        return None
+    weights, *rest = found[0]
+    return Model(np.frombuffer(bytes(weights), np.float32), *rest)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> DataFrame:
