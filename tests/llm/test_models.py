@@ -177,6 +177,39 @@ def test_near_vectors(spark, monkeypatch, block):
     assert near_vectors(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("linked", [0, 1, 5])
+def test_cells_do_not_rest_on_the_links_of_the_probes(linked):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 32))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    index = nv.Index(x, 32)
+    # The few links that the probes have lie at home.
+    index.fit(x[:1000], [(p, int(index.home(x[p : p + 1])[0]), 1) for p in range(linked)], 0.995, 0.93)
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(1)[:, None] * x
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * side / np.sqrt((side * side).sum(1))[:, None]
+    found = [cell in visited for cell, visited in zip(index.home(y), index.visits(x, index.cells))]
+    assert index.cells >= 16 and np.mean(found) >= 0.985
+    assert np.allclose([(a * x).sum(1) for a in nv.partners(x, 0.93)], 0.93)
+
+
+def test_rare_near_vectors(spark, monkeypatch):
+    monkeypatch.setattr(nv, "PROBES", 50)  # a few of them have a link, all at home
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(5000, 32))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    side = rng.normal(size=(8, 32))
+    side -= (side * x[:8]).sum(1)[:, None] * x[:8]
+    near = 0.935 * x[:8] + np.sqrt(1 - 0.935**2) * side / np.sqrt((side * side).sum(1))[:, None]
+    easy = x[100:200] + 1e-6
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate((x, near, easy)))]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    links = {r["vec_id"]: r["n_links"] for r in got.where("n_links > 0").collect()}
+    pairs = [(i, 5000 + i) for i in range(8)]
+    assert set(links) == {i for p in pairs for i in p if i in links} | {*range(100, 200), *range(5008, 5108)}
+    assert sum(p[0] in links for p in pairs) + sum(p[1] in links for p in pairs) >= 15
+
+
 def test_pipeline(spark, tmp_path):
     rows, labels = labelled()
     clean = [(d, t) for (d, t), (_, toxic) in zip(rows, labels) if not toxic]

@@ -15,6 +15,8 @@ from tickertide.llm.tables import small, stage
 BLOCK = 4096  # vectors of one side that a task holds against each other
 SAMPLE = 20_000  # vectors that the codebooks are fitted on
 PROBES = 2_000  # of them, queries against all points that the number of visited cells is learned from
+MADE = 2_000  # made partners of either kind, at least
+LEAST_CELLS = 16  # visited whatever the probes say
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
@@ -86,22 +88,46 @@ class Index:
         one, two = self.distances(x)
         return [[i * len(self.books[1]) + j for i, j in multi_sequence(a, b, cells)] for a, b in zip(one, two)]
 
-    def fit(self, probes: np.ndarray, met: list[tuple[int, int, int]], recall: float) -> None:
-        """Visit the fewest cells in which ``recall`` of all links of the probes lie, and of their
-        mean share. ``met`` are rows (probe, cell, number of links)."""
-        if not met:
-            self.cells = min(self.everything, 16)
-            return
-        probe, cell, n = np.array(met, np.int64).T
-        ranks = np.zeros(len(met), np.int64)
-        for p in np.unique(probe):
-            order = {c: r for r, c in enumerate(self.visits(probes[p : p + 1], self.everything)[0])}
-            own = probe == p
-            ranks[own] = [order[c] for c in cell[own]]
-        total = np.bincount(probe, n)
-        shares = [np.cumsum(np.bincount(ranks, w, self.everything)) for w in (n, n / total[probe])]
-        reached = np.minimum(*(s / s[-1] for s in shares))
-        self.cells = int(np.searchsorted(reached, recall) + 1)
+    def ranks(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """The place of each row's cell in the order in which the row visits cells, ties last."""
+        out = np.zeros(len(x), np.int64)
+        for low in range(0, len(x), 512):
+            one, two = self.distances(x[low : low + 512])
+            sums = (one[:, :, None] + two[:, None, :]).reshape(len(one), -1)
+            own = np.take_along_axis(sums, cells[low : low + 512, None], 1)
+            out[low : low + 512] = (sums <= own).sum(1) - 1
+        return out
+
+    def fit(self, probes: np.ndarray, met: list[tuple[int, int, int]], recall: float, least: float) -> None:
+        """Visit the fewest cells, LEAST_CELLS at least, in which ``recall`` lie of each of: all links
+        of the probes, their mean share, and either kind of made partners at a cosine of ``least``.
+        ``met`` are rows (probe, cell, number of links); the made partners need no link at all."""
+        x = probes[np.arange(max(MADE, len(probes))) % len(probes)]
+        needed = [min(self.everything, LEAST_CELLS)]
+        for made in partners(x, least):
+            reached = np.cumsum(np.bincount(self.ranks(x, self.home(made)), minlength=self.everything)) / len(x)
+            needed.append(int(np.searchsorted(reached, recall) + 1))
+        if met:
+            probe, cell, n = np.array(met, np.int64).T
+            ranks, total = self.ranks(probes[probe], cell), np.bincount(probe, n)
+            shares = [np.cumsum(np.bincount(ranks, w, self.everything)) for w in (n, n / total[probe])]
+            reached = np.minimum(*(s / s[-1] for s in shares))
+            needed.append(int(np.searchsorted(reached, recall) + 1))
+        self.cells = min(self.everything, max(needed))
+
+
+def partners(x: np.ndarray, least: float) -> list[np.ndarray]:
+    """For each row a vector at a cosine of exactly ``least``, off in any direction, and off
+    towards another row, as the data spreads."""
+    rng = np.random.default_rng(9)
+    out, spread = [], rng.normal(size=x.shape)
+    for away in (spread, x[rng.permutation(len(x))]):
+        side = away - (away * x).sum(1)[:, None] * x
+        # Where the other row is this one or its opposite, any direction.
+        same = (side * side).sum(1) < 1e-12
+        side[same] = (spread - (spread * x).sum(1)[:, None] * x)[same]
+        out.append(least * x + np.sqrt(max(0.0, 1 - least * least)) * side / np.sqrt((side * side).sum(1))[:, None])
+    return out
 
 
 def _links_of(points: DataFrame, index: Index, probes: np.ndarray, numbers, labels, least: float):
@@ -139,8 +165,9 @@ def near_vectors(
     The two halves of the points have a codebook each, fitted on at most ``sample_rows`` points
     (the first by a hash); the pairs of codewords form a grid of cells. All points are filed
     by their cell and look up the cells nearest to them in multi-sequence order, as many as
-    PROBES points, held against all, need for ``recall`` of their links. What they meet there is verified by
-    the cosine in double precision. A full cell is split into blocks of BLOCK points, so hot
+    PROBES points, held against all, need for ``recall`` of their links, and for ``recall`` of made partners
+    at a cosine of ``least``, so that it does not rest on how many links the probes have. What they
+    meet there is verified by the cosine in double precision. A full cell is split into blocks of BLOCK points, so hot
     cells are spread; a task counts links and keeps one link for each point and local group.
 
     Vectors that are null, empty, zero or hold a null, NaN or infinity, and those with no label
@@ -185,7 +212,7 @@ def near_vectors(
     if index:
         numbers = np.array([r["number"] for r in sample[:PROBES]])
         labels = np.array([r["label"] for r in sample[:PROBES]], object)
-        index.fit(x[:PROBES], _links_of(points, index, x[:PROBES], numbers, labels, least), recall)
+        index.fit(x[:PROBES], _links_of(points, index, x[:PROBES], numbers, labels, least), recall, least)
 
     def file(batches: Iterator[pa.RecordBatch]):
         """Each point at home, as a candidate, and in the cells it visits, as a query."""
