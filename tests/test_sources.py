@@ -18,6 +18,8 @@ from tickertide.operators.cursors import (
     since_watermark,
     social_cursor,
 )
+from tickertide.operators.validate import validate_raw
+from tickertide.plans.load import load_news, read_cursors
 from tickertide.schema import CURSORS, ENRICHED_POST, RAW_POST
 from tickertide.sources.payloads import news_to_raw, read_news_responses, read_social_items, social_to_raw
 from tickertide.sources.symbols import build_symbols, read_allowlist, read_symbol_directory, write_symbols
@@ -65,6 +67,23 @@ def test_news_payload(spark, tmp_path):
     assert (c.text, c.created_at) == ("", DAY + timedelta(hours=1))
 
 
+def test_malformed_news_times_reach_the_quarantine_once(spark, tmp_path):
+    topic, cursors = str(tmp_path / "topic"), str(tmp_path / "cursors")
+    times = ["2024-01-01T00:00:00Z", "soon", "2024-01-01T01:00:00Z", "2024-13-45T00:00:00Z", " ", ""]
+    articles = [{"title": f"t{i}", "url": f"http://n/{i}", "publishedAt": t} for i, t in enumerate(times)]
+    late = [{"title": "t9", "url": "http://n/9", "publishedAt": "01/02/2024 at noon"}]
+    for hour, (found, oldest) in enumerate(((articles, 1), (articles, None), (articles + late, None), (late, 1))):
+        path = tmp_path / f"n{hour}.json"
+        path.write_text(json.dumps({"query": "q", "articles": found}))
+        load_news(read_news_responses(spark, str(path)), topic, cursors, DAY + timedelta(days=1, hours=hour), oldest)
+    good, bad = validate_raw(read_raw_posts(spark, topic))
+    assert sorted((r.text, r.created_at) for r in good.collect()) == [("t0", DAY), ("t2", DAY + timedelta(hours=1))]
+    assert sorted((r.text, *r.errors) for r in bad.collect()) == [(t, "created_at malformed") for t in ("t1", "t3", "t9")]
+    messages = [json.loads(r.value) for r in spark.read.text(topic).collect()]
+    assert {m["text"]: m["created_at"] for m in messages}["t1"] == "soon"
+    assert {r.stream_id: r.cursor for r in read_cursors(spark, cursors).collect()}["news:default"] == "2024-01-01T01:00:00Z"
+
+
 def test_symbols(spark, tmp_path):
     nasdaq = tmp_path / "nasdaq.txt"
     nasdaq.write_text(

@@ -73,8 +73,11 @@ def news_articles(responses: DataFrame) -> DataFrame:
     )
 
 
-def news_to_raw(responses: DataFrame) -> DataFrame:
-    """Raw posts, with ``bad_times`` for a publication time that can't be parsed."""
+def news_to_raw(responses: DataFrame, published: bool = False) -> DataFrame:
+    """Raw posts, with ``bad_times`` for a publication time that can't be parsed.
+
+    ``published`` adds the text of that time.
+    """
     parts = [_or_null(c) for c in ("title", "description", "content")]
     return (
         news_articles(responses)
@@ -90,5 +93,9 @@ def news_to_raw(responses: DataFrame) -> DataFrame:
                 F.lit("query"), F.col("query"), F.lit("source_name"), F.col("source_name")
             ).alias("meta"),
         )
-        .select(*RAW_POST.fieldNames(), bad_times({"created_at": (F.col("published"), F.col("created_at"))}))
+        .select(
+            *RAW_POST.fieldNames(),
+            bad_times({"created_at": (F.col("published"), F.col("created_at"))}),
+            *(["published"] if published else []),
+        )
     )
