@@ -8,9 +8,11 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tickertide.llm import jaccard
 from tickertide.llm.decontaminate import benchmark_hits
 from tickertide.llm.jaccard import jaccard_components
 from tickertide.llm.language_model import every_seventh, score_language
@@ -131,6 +133,15 @@ def test_blocks_meet_whole(spark, monkeypatch):
     assert 1 < len(set(got.values())) < 80
 
 
+def test_hot_prefix_tokens_stay_in_signed_order(spark):
+    words = [f"w{i}" for i in range(400)]
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    levels = np.array([100, 200, 255, 127], np.uint8)[np.arange(1 << jaccard.SKETCH_BITS) % 4]
+    row = jaccard._signatures(docs, levels, 3, 10).first()
+    assert row.prefix == sorted(row.prefix) and row.prefix[0] >= 0
+    assert {t >> 55 for t in row.prefix} == {100, 127, 200, 255}
+
+
 def test_sharding(spark):
     rows = odd_rows() + [(1000 + i, say(RANDOM.randint(1, 80))) for i in range(300)] + [(5000, "x")] * 100
     got = shard_by_bytes(table(spark, rows)).collect()

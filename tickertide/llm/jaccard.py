@@ -62,7 +62,8 @@ def _signatures(docs: DataFrame, levels: np.ndarray, k: int, percent: int) -> Da
                 grams = _shingles(words, text, k)
                 size = len(grams)
                 rank = levels[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
-                ordered = np.sort((rank << np.uint64(56)) | (grams & np.uint64((1 << 56) - 1)))
+                # Below the sign bit: tokens are compared as signed numbers later.
+                ordered = np.sort((rank << np.uint64(55)) | (grams & np.uint64((1 << 55) - 1)))
                 n.append(size)
                 filled = np.bincount((grams & np.uint64(PROFILE - 1)).astype(np.int64), minlength=PROFILE)
                 profile.append(np.minimum(filled, FULL).astype("<u2").tobytes())
