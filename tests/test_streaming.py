@@ -96,6 +96,15 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     assert authors.count() == authors.select(*keys).distinct().count()
 
 
+def test_a_post_that_comes_again_with_another_day_counts_once(spark, tmp_path):
+    root = str(tmp_path / "out")
+    run = persist_and_roll(root, run="r")
+    for batch, day in enumerate((1, 2)):
+        run(enriched(spark, [{"post_id": "a", "created_at": datetime(2024, 1, day)}]), batch)
+    assert read_table(spark, root, RAW_TABLE).count() == 1
+    assert [r.mention_count for r in read_rollup(spark, root).collect()] == [1]
+
+
 def test_very_late_post_updates_its_old_bucket(spark, tmp_path):
     root = str(tmp_path / "out")
     run = persist_and_roll(root)

@@ -41,7 +41,7 @@ def rollup_stream(enriched: DataFrame, lateness: str = "1 hour") -> DataFrame:
 
 
 def persist_and_roll(
-    root: str, key_scope: str = "day", run: str | None = None, adopt: bool = False
+    root: str, key_scope: str = "all", run: str | None = None, adopt: bool = False
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: store the posts, then add their rollup delta.
 
@@ -113,7 +113,7 @@ def start_rollup(
     enriched: DataFrame,
     root: str,
     checkpoint: str,
-    key_scope: str = "day",
+    key_scope: str = "all",
     trigger: dict | None = None,
     quarantine: str | None = None,
     adopt: bool = False,
