@@ -164,6 +164,27 @@ def test_token_files(spark, shard_ids):
     assert order == sorted(order, key=lambda d: (d is not None, d or 0))
 
 
+def test_words_put_together_from_parts():
+    """Signs, foreign letters, combining marks and added tokens beside letters."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tickertide.llm.token_files import _WordEncoder
+
+    path = tokenizer_path("word_bpe_49k.json")
+    letters = ["a", "Z", "the", "É", "ñ", "ß", "İ", "ſ", "ŉ", "Ǆ", "ȿ", "ɐ", "Å", "Ω", "e\u0301", "\u0338", "\u0307", "ªº"]
+    signs = ["'", "'s", "'re", "-", "...", "×", "÷", "7", "12", "<", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "§", "\u00a0", "_", "…", "日本"]
+    encoder, tokenizer, rng = _WordEncoder(path), Tokenizer.from_file(path), random.Random(1)
+    texts = [a + b + c for a in letters for b in signs for c in ("", "x", "é")] + [b + a for a in letters for b in signs]
+    texts += ["".join(rng.choice([*letters, *signs, " "]) for _ in range(rng.randint(1, 12))) for _ in range(4_000)]
+    for part in (texts, texts[::-1], [None, "", " \n"]):
+        ids, length = encoder.encode(pa.array(part, pa.string()))
+        at = 0
+        for text, n in zip(part, length):
+            assert ids[at : at + n].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, text
+            at += n
+
+
 def test_no_token_files(spark):
     folder = scratch_dir(spark, "files")
     write_token_files(docs_of(spark, odd_rows()).limit(0), folder, tokenizer_path("word_bpe_49k.json"), 1)
