@@ -282,6 +282,38 @@ listed AS (
   SELECT s FROM words WHERE doc_id % 10 <> 7 AND doc_id % 6 <> 2 AND doc_id % 9 <> 4
 )"""
 
+# Posts that the time-to-live rule keeps, scored by the length of their text.
+_KEPT = f"""{TICKERS},
+n AS (SELECT *, length({_norm('text')}) AS n FROM tagged WHERE length(text) >= 1),
+kept AS (
+  SELECT dedup_key AS k, min(created_at) AS ts FROM n GROUP BY dedup_key
+  UNION ALL
+  SELECT kept.k, (SELECT min(n.created_at) FROM n
+    WHERE n.dedup_key = kept.k AND n.created_at > kept.ts + INTERVAL 3600 SECOND)
+  FROM kept WHERE kept.ts IS NOT NULL
+),
+chosen AS (
+  SELECT k, ts, min({{'source': source, 'post_id': post_id}}) AS id
+  FROM n JOIN kept ON dedup_key = k AND created_at = ts GROUP BY k, ts
+)"""
+
+_KEPT_MENTIONS = f"""{_KEPT},
+scored AS (
+  SELECT n.* EXCLUDE (score, stance_label, conviction, joy, optimism, sadness, anger),
+    (n % 33)::DOUBLE / 64 - (n % 31)::DOUBLE / 64 AS score,
+    CASE WHEN (n % 17) >= (n % 5) THEN 'bullish' ELSE 'meme' END AS stance_label,
+    CASE WHEN n % 2 = 1 THEN (n % 9)::DOUBLE / 16 END AS joy
+  FROM n JOIN chosen ON dedup_key = k AND created_at = ts AND source = id.source AND post_id = id.post_id
+),
+mentions AS (
+  SELECT source, author, unnest(tickers) AS ticker, score, stance_label, source_weight,
+    least(1.0, 0.65 * (CASE WHEN stance_label = 'bullish' THEN (n % 17)::DOUBLE / 16 ELSE 0 END) + 0.35 * abs(score))
+      AS conviction,
+    time_bucket(INTERVAL 5 MINUTE, created_at) AS bucket_start,
+    joy, 0.0::DOUBLE AS optimism, 0.0::DOUBLE AS sadness, 0.0::DOUBLE AS anger
+  FROM scored
+)"""
+
 ORACLE: dict[str, str] = {
     "normalize_text": _per_post(f"{_norm('text')} AS norm"),
     "dedup_key": _per_post("dedup_key"),
@@ -442,6 +474,12 @@ FROM n JOIN chosen ON dedup_key = k AND created_at = ts AND source = id.source A
     "stream_dedup_ttl": "SELECT DISTINCT user_id || ':' || event_type AS dedup_key FROM events",
     "stream_rollup": _flat_rollup(EVENT_MENTIONS),
     "stream_dedup": _ttl("user_id || ':' || event_type", "dedup_key", 3600),
+    # Here a label without any probability is still one of the map.
+    "stream_enrich": _flat_rollup(_KEPT_MENTIONS).replace("WITH ", "WITH RECURSIVE ", 1).replace("count_if(joy > 0)", "count(joy)"),
+    "recompute_late": _flat_rollup(EVENT_MENTIONS),
+    "stored_keys": """SELECT CASE WHEN event_id % 3 = 0 THEN 'news' ELSE 'reddit' END AS source, 'e' || event_id AS post_id,
+  ts + CASE WHEN event_id % 10 = 5 THEN INTERVAL 40 DAY ELSE INTERVAL 0 DAY END AS created_at, user_id::VARCHAR AS author
+FROM events""",
     "stream_rollup_batches": _flat_rollup(EVENT_MENTIONS),
     "rebuild_rollup": _flat_rollup(EVENT_MENTIONS),
     "stored_raw_posts": """SELECT CASE WHEN event_id % 3 = 0 THEN 'news' ELSE 'reddit' END AS source,

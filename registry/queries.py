@@ -50,7 +50,13 @@ from tickertide.operators.scoring import score_posts
 from tickertide.operators.tickers import extract_tickers
 from tickertide.operators.validate import has_ticker, validate_enriched, validate_raw
 from tickertide.plans import ranking
-from tickertide.plans.backfill import enrich_backlog, rebuild_from_tables
+from tickertide.plans.backfill import (
+    enrich_backlog,
+    read_recomputed,
+    rebuild_from_tables,
+    recompute_touched,
+    touched_hours,
+)
 from tickertide.plans.load import load_news, load_social
 from tickertide.schema import ENRICHED_POST, RAW_POST
 from tickertide.session import ROCKSDB_PROVIDER, scratch_dir
@@ -66,6 +72,7 @@ from tickertide.sources.topics import (
     write_raw_posts,
 )
 from tickertide.streaming.dedup import dedup_stream_event_time, dedup_stream_ttl
+from tickertide.streaming.enrich import start_arrivals, start_enrich
 from tickertide.streaming.rollup import persist_and_roll, rollup_stream, start_rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -582,10 +589,8 @@ def q_stream_dedup(spark, sf, files: int = STREAM_FILES):
     """The time-to-live rule on a stream that arrives in several micro-batches."""
     posts = fx.event_posts(fx.events(spark, sf)).select("source", "post_id", "dedup_key", "created_at")
     folder, out, offsets = (scratch_dir(spark, n) for n in ("events", "dedup", "dedup-offsets"))
-    first, last = posts.agg(F.min(F.unix_micros("created_at")), F.max(F.unix_micros("created_at"))).first()
-    width = (last - first) // files + 1
-    for number in range(files):  # one span of time after the other
-        span = F.floor((F.unix_micros("created_at") - first) / width) == number
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    for span in _spans(posts, files):
         posts.where(span).write.mode("append").parquet(folder)
         stream = spark.readStream.schema(posts.schema).parquet(folder)
         fresh = dedup_stream_event_time(stream, ids=("post_id",))
@@ -601,6 +606,35 @@ def q_stream_dedup(spark, sf, files: int = STREAM_FILES):
     return kept.select("post_id", "dedup_key", _clock("created_at").alias("created_at"))
 
 
+def _spans(posts: DataFrame, files: int) -> list[Column]:
+    """Equal spans of creation time, one after the other."""
+    first, last = posts.agg(F.min(F.unix_micros("created_at")), F.max(F.unix_micros("created_at"))).first()
+    width = (last - first) // files + 1
+    return [F.floor((F.unix_micros("created_at") - first) / width) == number for number in range(files)]
+
+
+CHAIN_FILES = 2
+
+
+def q_stream_enrich(spark, sf):
+    """Raw topic, arrivals, enriched topic, rollup: two chained jobs over files that arrive in turn."""
+    posts = fx.posts(spark, sf).select(*RAW_POST.fieldNames())
+    topic, arrived, enriched, root, *offsets = (
+        scratch_dir(spark, n) for n in ("raw", "arrived", "enriched", "rolled", "offsets", "offsets", "offsets")
+    )
+    now = {"availableNow": True}
+    for span in _spans(posts, CHAIN_FILES):
+        write_raw_posts(posts.where(span), topic)
+        raw = read_raw_posts(spark, topic, streaming=True)
+        start_arrivals(raw, arrived, offsets[0], trigger=now).awaitTermination()
+        start_enrich(
+            spark, arrived, enriched, offsets[1], fx.length_scorers(), fx.ALLOW, trigger=now
+        ).awaitTermination()
+        fresh = read_enriched_posts(spark, enriched, streaming=True)
+        start_rollup(fresh, root, offsets[2], trigger=now).awaitTermination()
+    return _flat_rollup(read_rollup(spark, root))
+
+
 def _drain(spark, stream, name: str, **confs) -> DataFrame:
     """Run a stream to its end and read what it wrote."""
     out, checkpoint = scratch_dir(spark, name), scratch_dir(spark, f"{name}-offsets")
@@ -696,6 +730,36 @@ def q_rebuild_rollup(spark, sf):
     return _flat_rollup(rebuild_from_tables(spark, _batches(spark, sf)))
 
 
+def q_recompute_late(spark, sf):
+    """A table of final rows: all hours once, then just those that a late batch touches."""
+    root = scratch_dir(spark, "late")
+    fields = {f.name: f for f in ENRICHED_POST.fields}
+    posts = fx.event_posts(fx.events(spark, sf)).withColumn("text", F.lit("-"))
+    for name in fields.keys() - set(posts.columns):
+        posts = posts.withColumn(name, F.lit(None).cast(fields[name].dataType))
+    late = F.col("post_id").endswith("77")
+    write = persist_and_roll(root, run="late")
+    for batch_id, part in enumerate((posts.where(~late), posts.where(late))):
+        write(part, batch_id)
+        recompute_touched(spark, root, touched_hours(part))
+    return _flat_rollup(read_recomputed(spark, root))
+
+
+def q_stored_keys(spark, sf):
+    """Posts that come again on another day, some before and some after their batch: each is stored once."""
+    root = scratch_dir(spark, "keys")
+    fields = {f.name: f for f in ENRICHED_POST.fields}
+    posts = fx.event_posts(fx.events(spark, sf)).withColumn("text", F.lit("-"))
+    for name in fields.keys() - set(posts.columns):
+        posts = posts.withColumn(name, F.lit(None).cast(fields[name].dataType))
+    later = posts.withColumn("created_at", F.col("created_at") + F.expr("interval 40 days"))
+    write = persist_and_roll(root, run="keys")
+    write(posts.where(~F.col("post_id").endswith("5")), 0)
+    write(later.where(F.col("post_id").rlike("[13579]$")), 1)
+    rows = read_table(spark, root, RAW_TABLE)
+    return rows.select("source", "post_id", _clock("created_at").alias("created_at"), "author")
+
+
 def q_trending_stored(spark, sf):
     return _rounded(ranking.trending_stored(spark, _batches(spark, sf), "2024-01-20", minutes=600))
 

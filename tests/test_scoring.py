@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickertide.functions.sentiment import conviction, emotion_map, sentiment_from_probs, source_weight, stance_from_probs
-from tickertide.functions.sentiment import emotion_map, sentiment_from_probs, stance_from_probs
 from tickertide.operators.scoring import enrich, score_posts
 from tickertide.operators.validate import validate_enriched, validate_raw
 from tickertide.schema import ENRICHED_POST, RAW_POST, STANCE_LABELS
@@ -83,7 +82,7 @@ def test_score_and_enrich(spark):
     assert rows["n1"].stance_label == "bearish" and rows["n1"].source_weight == 1.2
     assert rows["n1"].language is None and rows["n1"].confidence == 0.5
     assert rows["r1"].flags == ["no_ticker", "empty_text"] and rows["r1"].emotions == {}
-    assert rows["r2"].finbert_pos == 500.0 and rows["r2"].finbert_score == 1.0
+    assert rows["r2"].finbert_pos == 900.0 and rows["r2"].finbert_score == 1.0
 
 
 def test_scorer_must_answer_every_text(spark):

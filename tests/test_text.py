@@ -126,9 +126,3 @@ def test_floor_and_date(spark):
         ("1969-12-31T23:55:00Z", "1969-12-31"),
         ("2024-01-01T00:05:00Z", "2024-01-01"),
     ]
-
-
-def test_large_allowlist_on_a_stream_is_refused(spark, tmp_path):
-    stream = spark.readStream.schema("text string").parquet(str(tmp_path))
-    with pytest.raises(ValueError, match="at most 1 symbols"):
-        extract_tickers(stream, "text", ["AA", "BB"], literal_limit=1)

@@ -38,10 +38,12 @@ def lower_keys(probs: Column | str) -> Column:
 
 
 def emotion_map(pairs: Column | str) -> Column:
-    """Array of (label, probability) structs to a map with lower-case labels."""
+    """Array of (label, probability) structs, whatever their fields are called, to a map with
+    lower-case labels; of labels equal up to case the last one counts."""
     column = pairs if isinstance(pairs, Column) else F.col(pairs)
+    named = column.cast("array<struct<key:string,value:double>>")
     lowered = F.transform(
-        column, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))
+        named, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))
     )
     return _with(lowered, _last_wins)
 

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import datetime, timedelta, timezone
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tickertide.functions.text import dedup_key
+from tickertide.functions.time import between, utc_date
 from tickertide.operators.dedup import TTL_SECONDS, dedup_batch_ttl
 from tickertide.operators.rollup import rollup_5m
 from tickertide.operators.scoring import ScorerFactory, enrich, score_posts
-from tickertide.operators.validate import validate_raw
-from tickertide.sources.tables import ENRICHED_TABLE, RAW_TABLE, read_table
+from tickertide.operators.validate import has_ticker, validate_raw
+from tickertide.schema import ROLLUP
+from tickertide.sources.tables import ENRICHED_TABLE, RAW_TABLE, RECOMPUTED_TABLE, read_table
+
+HOUR_MICROS = 3_600_000_000
 
 
 def enrich_backlog(
@@ -45,3 +51,56 @@ def rebuild_from_tables(spark: SparkSession, root: str) -> DataFrame:
     posts = read_table(spark, root, ENRICHED_TABLE).drop("author")
     return rebuild_rollup(posts.join(authors.dropDuplicates(keys), keys, "left"))
 
+
+def touched_hours(posts: DataFrame) -> list[datetime]:
+    """The hours (UTC) whose buckets posts with a ticker fall into, in order."""
+    hour = F.timestamp_micros(F.unix_micros("created_at") - F.pmod(F.unix_micros("created_at"), F.lit(HOUR_MICROS)))
+    rows = posts.where(has_ticker()).select(F.unix_seconds(hour).alias("s")).distinct().collect()  # hours, few
+    return [datetime.fromtimestamp(r.s, timezone.utc) for r in sorted(rows)]
+
+
+def recompute_touched(spark: SparkSession, root: str, hours: list[datetime]) -> None:
+    """Recompute the rollup of some hours from the stored posts, and replace just those parts.
+
+    For corrections and late batches where a plain table of final rows is wanted beside the
+    deltas: ``touched_hours`` of a batch says which hours it concerns. Only the days of these
+    hours are opened, only rows of these hours pass the scan, and a dynamic partition overwrite
+    replaces the parts (day, hour) and leaves the others as they are.
+    """
+    if not hours:
+        return
+    within = _in_hours("created_at", hours)
+    days = F.col("day").isin(sorted({h.date() for h in hours}))
+    keys = ["source", "post_id"]
+    authors = read_table(spark, root, RAW_TABLE).where(days & within).select(*keys, "author")
+    posts = read_table(spark, root, ENRICHED_TABLE).where(days & within)
+    rows = rebuild_rollup(posts.join(authors.dropDuplicates(keys), keys, "left"))
+    parted = rows.withColumns({"day": utc_date("bucket_start"), "hour": _hour("bucket_start")})
+    (
+        parted.hint("rebalance", "day", "hour")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("day", "hour")
+        .parquet(f"{root}/{RECOMPUTED_TABLE}")
+    )
+
+
+def _hour(ts: str) -> Column:
+    return F.floor(F.pmod(F.unix_micros(ts), F.lit(24 * HOUR_MICROS)) / HOUR_MICROS).cast("int")
+
+
+def _in_hours(ts: str, hours: list[datetime]) -> Column:
+    """Runs of neighbouring hours as ranges, which reach the scan as pushed filters."""
+    runs: list[list[datetime]] = []
+    for hour in sorted(hours):
+        if runs and hour == runs[-1][1]:
+            runs[-1][1] = hour + timedelta(hours=1)
+        else:
+            runs.append([hour, hour + timedelta(hours=1)])
+    return reduce(Column.__or__, [between(ts, a, b) for a, b in runs])
+
+
+def read_recomputed(spark: SparkSession, root: str) -> DataFrame:
+    """The rows that ``recompute_touched`` has written."""
+    schema = T.StructType(ROLLUP.fields + [T.StructField("day", T.DateType()), T.StructField("hour", T.IntegerType())])
+    return spark.read.schema(schema).parquet(f"{root}/{RECOMPUTED_TABLE}").select(*ROLLUP.fieldNames())

@@ -56,7 +56,9 @@ def _read(spark: SparkSession, src: dict | str, schema, topic: str, streaming: b
 def read_raw_posts(
     spark: SparkSession, src: dict | str, streaming: bool = False, max_files: int | None = None
 ) -> DataFrame:
-    """``src``: a folder of JSON lines, or Kafka options such as
+    """The columns of ``RAW_POST``, and ``bad_times`` for the validators (see ``from_wire``).
+
+    ``src``: a folder of JSON lines, or Kafka options such as
     ``kafka.bootstrap.servers`` and ``maxOffsetsPerTrigger``.
 
     ``max_files`` limits the files of a micro-batch; no answer depends on it.
@@ -67,6 +69,7 @@ def read_raw_posts(
 def read_enriched_posts(
     spark: SparkSession, src: dict | str, streaming: bool = False, max_files: int | None = None
 ) -> DataFrame:
+    """The columns of ``ENRICHED_POST``, and ``bad_times``, as ``read_raw_posts``."""
     return _read(spark, src, ENRICHED_POST, ENRICHED_TOPIC, streaming, max_files)
 
 

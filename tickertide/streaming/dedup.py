@@ -1,6 +1,6 @@
 """Dedup of a stream of raw posts."""
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +9,9 @@ from pyspark.sql.functions import pandas_udf
 
 from tickertide.operators.dedup import TTL_SECONDS
 
+# A cell of state spans this many times to live.
+CELL_TTLS = 64
+
 
 def _thin_copies(df: DataFrame, key: str, ts: str | None = None) -> DataFrame:
     """Drop copies of a key inside each Arrow batch, before the shuffle by key.
@@ -63,30 +66,84 @@ def dedup_stream_event_time(
     a micro-batch are taken in (ts, ids) order, and the instants kept so far are state, so how
     rows that arrive in order are cut into micro-batches changes nothing. No row is too
     late: one that arrives after later ones is held against the instants kept before it.
-    ``lateness_seconds`` forgets instants that long behind the latest of their key; without it
-    the state holds eight bytes for each kept row. Rows without a key or time are kept.
+
+    The state of a key is a map from cells of time to the instants kept in them. A row reads its
+    own cell and, near its start, the one before, however much the key has kept. Without
+    ``lateness_seconds`` nothing is forgotten (eight bytes a kept row); with it, rows that far
+    behind the latest of all are dropped, and a timer removes each cell that none can reach any more.
+    Rows without a key or time are kept.
+
+    All columns pass through the task of their key: where texts are long, send keys, times and
+    ids alone and join the rest back, as ``start_enrich`` does. Needs the RocksDB state provider
+    in the session (``ROCKSDB_PROVIDER``).
     """
-    ttl = int(ttl_seconds * 1_000_000)
+    from pyspark.sql.streaming import StatefulProcessor
+
+    ttl = max(1, int(ttl_seconds * 1_000_000))
     late = None if lateness_seconds is None else int(lateness_seconds * 1_000_000)
-    columns = df.columns
-
-    def step(_, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(frames)
-        order = rows.sort_values(["_us", *[i for i in ids if i in columns]], kind="stable")
-        chosen = []
-        if rows["_ruled"].iloc[0]:
-            for place, us in enumerate(order["_us"].tolist()):
-                at = bisect_right(kept, us)
-                if at == 0 or us - kept[at - 1] > ttl:
-                    kept.insert(at, us)
-                    chosen.append(place)
-            if late is not None:
-                kept = kept[bisect_left(kept, kept[-1] - max(late, ttl)) :]
-            state.update((kept,))
-            order = order.iloc[chosen]
-        yield order[columns]
+    width = ttl * CELL_TTLS
+    columns, order = df.columns, ["_us", *[i for i in ids if i in df.columns]]
+    names = [*columns, "_us", "_ruled", "_group"]
+
+    class KeptInstants(StatefulProcessor):
+        def init(self, handle) -> None:
+            self._handle = handle
+            self._cells = handle.getMapState(
+                "cells",
+                T.StructType([T.StructField("cell", T.LongType())]),
+                T.StructType([T.StructField("kept", T.ArrayType(T.LongType()))]),
+            )
+
+        def _cell(self, number: int) -> list[int]:
+            if number not in self._open:
+                held = self._cells.getValue((number,)) if self._cells.containsKey((number,)) else None
+                self._open[number] = list(held[0]) if held else []
+            return self._open[number]
+
+        def _keep(self, us: int) -> bool:
+            number = us // width
+            cell = self._cell(number)
+            at = bisect_right(cell, us)
+            if at:
+                last = cell[at - 1]
+            else:
+                before = self._cell(number - 1) if us - number * width <= ttl else []
+                last = before[-1] if before else None
+            if last is not None and us - last <= ttl:
+                return False
+            cell.insert(at, us)
+            self._changed.add(number)
+            return True
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            frame = pd.concat(rows)
+            frame.columns = names  # names that Python can't use as attributes arrive changed
+            if not frame["_ruled"].iloc[0]:
+                yield frame[columns]
+                return
+            self._open, self._changed = {}, set()
+            frame = frame.sort_values(order, kind="stable")
+            chosen = [self._keep(int(us)) for us in frame["_us"].tolist()]  # floats beside nulls
+            for number in self._changed:
+                if late is not None and not self._cells.containsKey((number,)):
+                    # Past this moment the watermark is beyond the cell and a time to live after it.
+                    self._handle.registerTimer(((number + 1) * width + ttl) // 1000 + 1)
+                self._cells.updateValue((number,), (self._open[number],))
+            yield frame.loc[chosen, columns]
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            number = ((expiredTimerInfo.getExpiryTimeInMs() - 1) * 1000 - ttl) // width - 1
+            for cell in (number, number + 1):  # the timer is cut to milliseconds
+                over = ((cell + 1) * width + ttl) // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs()
+                if over and self._cells.containsKey((cell,)):
+                    self._cells.removeKey((cell,))
+            yield pd.DataFrame(columns=columns)
+
+        def close(self) -> None:
+            pass
 
+    if late is not None:
+        df = df.withWatermark(ts, f"{late // 1000} milliseconds")
     ruled = F.col(key).isNotNull() & F.col(ts).isNotNull()
     keyed = df.withColumn("_us", F.unix_micros(ts)).withColumn("_ruled", ruled)
     # Rows that the rule leaves alone are spread by chance.
@@ -94,7 +151,12 @@ def dedup_stream_event_time(
     return (
         keyed.withColumn("_group", spread)
         .groupBy("_group")
-        .applyInPandasWithState(step, df.schema, "kept array<long>", "append", "NoTimeout")
+        .transformWithStateInPandas(
+            statefulProcessor=KeptInstants(),
+            outputStructType=df.schema,
+            outputMode="Append",
+            timeMode="None" if late is None else "EventTime",
+        )
     )
 
 

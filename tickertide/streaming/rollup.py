@@ -17,15 +17,20 @@ from tickertide.schema import ENRICHED_STORED, RAW_POST
 from tickertide.sources.tables import (
     AUTHOR_TABLE,
     ENRICHED_TABLE,
+    POST_KEYS,
     RAW_TABLE,
     ROLLUP_TABLE,
+    commit_batch,
+    committed,
+    drop_merged_keys,
     read_table,
+    stored_keys,
     stored_runs,
     write_batch,
+    write_keys,
 )
 from tickertide.streaming.dedup import dedup_stream_event_time
 
-POST_KEYS = ["source", "post_id"]
 MAX_DAYS = 1000
 # What the tables and the rollup need of an enriched post.
 STORED = list(dict.fromkeys([*RAW_POST.fieldNames(), *ENRICHED_STORED]))
@@ -49,15 +54,19 @@ def persist_and_roll(
     adds them up.  Author deltas only hold authors that earlier batches did not
     count.  Everything is derived from batches before this one and written to a
     folder named by the run and the batch id; copies of a post are picked in a total order.
-    So a replayed batch changes nothing.
+    So a replayed batch changes nothing; one that is marked as complete is not written again.
 
     ``run`` names the stream; by default it is the id that its checkpoint holds. A new run
     (a fresh checkpoint) is refused on a root that holds batches of another one, unless it
     is told to ``adopt`` them as its history.
 
-    ``key_scope="day"`` looks for stored copies only among posts of the same
-    creation days, which prunes the scan of the history; right when a post keeps
-    its creation time over redeliveries.  ``"all"`` asks nothing of the posts.
+    A post is stored once, whatever its creation time says: its key is looked up in a narrow
+    table of keys by hash, of which a batch opens the buckets it touches.  ``key_scope="day"``
+    looks among the posts of the same creation days instead; right when a post keeps its
+    creation time over redeliveries.
+
+    The tables are written one after the other, and a mark last. Readers take marked batches
+    only, so they see all of a batch or nothing of it.
     """
     if key_scope not in ("all", "day"):
         raise ValueError("key_scope is 'all' or 'day'")
@@ -68,15 +77,19 @@ def persist_and_roll(
         others = stored_runs(spark, root) - {name}
         if others and not adopt and name not in stored_runs(spark, root):
             raise ValueError(f"{root} holds batches of {sorted(others)}; run {name} would mix with them")
+        if committed(spark, root).get(name, -1) >= batch_id:
+            return  # a replay of a batch that is complete
         before = (name, batch_id)
         posts = batch.select(*STORED).persist()
         try:
-            stored = read_table(spark, root, ENRICHED_TABLE, before)
             if key_scope == "day":
-                stored = _same_days(stored, posts, "created_at")
+                stored = _same_days(read_table(spark, root, ENRICHED_TABLE, before), posts, "created_at")
+            else:
+                stored = stored_keys(spark, root, posts, before)
             ordered = posts.withColumn("_order", F.xxhash64(F.to_json(F.struct(*STORED))))
             fresh = insert_if_absent(stored, ordered, POST_KEYS, ["created_at", "_order"]).drop("_order").persist()
             try:
+                write_keys(fresh, root, name, batch_id)
                 write_batch(fresh, root, RAW_TABLE, name, batch_id)
                 write_batch(fresh, root, ENRICHED_TABLE, name, batch_id)
                 mentioned = fresh.filter(has_ticker())
@@ -88,6 +101,8 @@ def persist_and_roll(
                 known = known.select(*keys).join(authors, keys, "left_semi").distinct()
                 write_batch(authors.join(known, keys, "left_anti"), root, AUTHOR_TABLE, name, batch_id)
                 write_batch(rollup_5m(mentioned, known_authors=known), root, ROLLUP_TABLE, name, batch_id)
+                commit_batch(spark, root, name, batch_id)
+                drop_merged_keys(spark, root, name, batch_id)
             finally:
                 fresh.unpersist()
         finally:
