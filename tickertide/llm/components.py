@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tickertide.llm.tables import stage
+from tickertide.llm.tables import discard, stage
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
@@ -39,6 +39,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen or not seen[0]:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        mark = seen
+            found = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            found.staged_at = now.staged_at
+            return found
+        mark, before = seen, now
         now = stage(_small_star(_large_star(now).distinct()).distinct(), "components")
+        discard(before)

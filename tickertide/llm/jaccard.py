@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickertide.llm.components import connected_components
-from tickertide.llm.tables import small, stage
-from tickertide.llm.words import NON_SPACE, as_signed, gram_hashes, mix, split_words
+from tickertide.llm.tables import discard, small, stage
+from tickertide.llm.words import NON_SPACE, as_signed, gram_hashes, mix, slices, split_words
 
 SKETCH_BITS = 18  # counters of the frequency sketch, whatever the corpus
 BROADCAST_IDS = 500_000  # longs
 PROFILE = 256  # counters of a set's profile: shingles by the low bits of their hash
-FULL = 65535  # a counter that says nothing
+TOP = 15  # what a counter of a profile can hold, in units of a power of two
 BLOCK = 512  # members of a list that are held against each other at once
+CROWD = 4  # pairs a member that two blocks may leave to be verified at once
 
 
 def _shingles(words, text: int, k: int) -> np.ndarray:
@@ -34,7 +34,7 @@ def _frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]):
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             words = split_words(batch["text"], NON_SPACE)
             for text in range(batch.num_rows):
                 bucket = (_shingles(words, text, k) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
@@ -51,11 +51,25 @@ def _frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
     return levels
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counters of four bits, rounded up to units of a power of two, and that power."""
+    power = max(0, -(-int(counts.max(initial=0)) // TOP) - 1).bit_length()
+    units = ((counts + (1 << power) - 1) >> power).astype(np.uint8)
+    return ((units[::2] << 4) | units[1::2]).tobytes() + bytes([power])
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    """Of each row of a batch the counters, none below what was counted."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), PROFILE // 2 + 1)
+    units = np.stack((raw[:, :-1] >> 4, raw[:, :-1] & 15), axis=2).reshape(len(column), PROFILE)
+    return units.astype(np.int32) << raw[:, -1:].astype(np.int32)
+
+
 def _signatures(docs: DataFrame, levels: np.ndarray, k: int, percent: int) -> DataFrame:
     """Per document: set size, digest and profile of the set, prefix in order of frequency."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in slices(batches):
             words = split_words(batch["text"], NON_SPACE)
             n, sig, prefix, profile = [], [], [], []
             for text in range(batch.num_rows):
@@ -66,7 +80,7 @@ def _signatures(docs: DataFrame, levels: np.ndarray, k: int, percent: int) -> Da
                 ordered = np.sort((rank << np.uint64(55)) | (grams & np.uint64((1 << 55) - 1)))
                 n.append(size)
                 filled = np.bincount((grams & np.uint64(PROFILE - 1)).astype(np.int64), minlength=PROFILE)
-                profile.append(np.minimum(filled, FULL).astype("<u2").tobytes())
+                profile.append(_packed(filled))
                 sig.append((int(mix(grams).sum(dtype=np.uint64)), int(mix(~grams).sum(dtype=np.uint64))))
                 prefix.append(as_signed(ordered[: size - -(-percent * size // 100) + 1] if size else ordered))
             one, two = (np.array([s[i] for s in sig], np.uint64) for i in (0, 1))
@@ -97,7 +111,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     """The pairs (u, v) of document ids whose full sets are similar enough."""
 
     def sets(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in slices(batches):
             words = split_words(batch["text"], NON_SPACE)
             grams = [_shingles(words, i, k).tobytes() for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(grams, pa.binary())], ["id", "grams"])
@@ -123,7 +137,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     # The hub of a star is v: its set is attached while the rows are slim.
     slim = pairs.join(asked.withColumnsRenamed({"id": "v", "grams": "grams_v"}), "v")
     both = slim.join(asked.withColumnsRenamed({"id": "u", "grams": "grams_u"}), "u")
-    return stage(both.select("u", "v", "grams_u", "grams_v").mapInArrow(compare, "u long, v long"), "jaccard-links")
+    links = stage(both.select("u", "v", "grams_u", "grams_v").mapInArrow(compare, "u long, v long"), "jaccard-links")
+    discard(ids, asked)
+    return links
 
 
 def _shared_ids(read: DataFrame, classes: DataFrame) -> DataFrame:
@@ -147,13 +163,17 @@ def _unit(column: str) -> Column:
     return F.pmod(F.xxhash64(F.col(column)), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
-def _across(lists: DataFrame, profiles: DataFrame, percent: int, only_best: bool = False) -> DataFrame:
-    """Pairs (u, v, score) of members of different components in a list that may be similar enough.
-    ``only_best``: of each block, only the best partner of each member of the left side.
+def _across(lists: DataFrame, profiles: DataFrame, percent: int, everything: bool = False) -> DataFrame:
+    """Pairs (u, v, score, open) of members of different components in a list that may be similar enough.
+
+    Where two blocks leave more than ``CROWD`` pairs for each member, only the best partner of
+    each member of the left side is returned, and ``open`` names the list; else it is null, and the
+    pairs are all there are. ``everything`` returns all pairs.
 
     The members of the largest component of a list (the rest of it) are never held against each
     other. The others are cut into blocks, and each block meets each block of its list.
     The overlap of two sets is at most the sum over the counters of the lesser count.
+    A profile takes 129 bytes on its way to the blocks.
     """
     parts = lists.groupBy("token", "part").agg(F.count("*").alias("size"))
     shape = parts.groupBy("token").agg(
@@ -200,7 +220,7 @@ def _across(lists: DataFrame, profiles: DataFrame, percent: int, only_best: bool
 
     numbers = ["id", "n", "pos", "part", "left", "right"]
 
-    def hold(rows: dict[str, np.ndarray]) -> list[tuple[int, int, float]]:
+    def hold(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
         ids, n, pos, part = (rows[c] for c in numbers[:4])
         left, right = np.flatnonzero(rows["left"]), np.flatnonzero(rows["right"])
         profile, out = rows["profile"], []
@@ -217,20 +237,20 @@ def _across(lists: DataFrame, profiles: DataFrame, percent: int, only_best: bool
                 [np.minimum(profile[one[k : k + 4096]], profile[two[k : k + 4096]]).sum(1) for k in range(0, len(one), 4096)]
             )
             may = shared >= least[x, y]
-            one, two, score = one[may], two[may], shared[may] / (n[one[may]] + n[two[may]])
-            if only_best and len(one):
-                order = np.lexsort((ids[two], -score, one))
-                first = order[np.concatenate(([True], one[order][1:] != one[order][:-1]))]
-                one, two, score = one[first], two[first], score[first]
-            out += zip(ids[one].tolist(), ids[two].tolist(), score.tolist())
-        return out
+            one, two = one[may], two[may]
+            out.append((one, two, shared[may] / (n[one] + n[two])))
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        one, two, score = (np.concatenate(c) for c in zip(none, *out))
+        crowded = not everything and len(one) > CROWD * len(ids)
+        if crowded:
+            order = np.lexsort((ids[two], -score, one))
+            first = order[np.concatenate(([True], one[order][1:] != one[order][:-1]))]
+            one, two, score = one[first], two[first], score[first]
+        return ids[one], ids[two], score, np.full(len(one), crowded), rows["token"][one]
 
     def columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         found = {c: batch[c].to_numpy(zero_copy_only=False) for c in key + numbers}
-        profile = np.array([np.frombuffer(p.as_buffer(), "<u2") for p in batch["profile"]], np.int32)
-        profile = profile.reshape(batch.num_rows, PROFILE)
-        profile[(profile == FULL).any(1)] = 1 << 20  # says nothing
-        return found | {"profile": profile}
+        return found | {"profile": _unpacked(batch["profile"])}
 
     def run(batches: Iterator[pa.RecordBatch]):
         kept = None
@@ -246,20 +266,19 @@ def _across(lists: DataFrame, profiles: DataFrame, percent: int, only_best: bool
             edges = [0, *np.flatnonzero(change).tolist()]
             found = []
             for a, b in zip(edges, edges[1:]):
-                found += hold({c: v[a:b] for c, v in now.items()})
+                found.append(hold({c: v[a:b] for c, v in now.items()}))
             kept = {c: v[edges[-1] :] for c, v in now.items()}
-            yield _pairs(found)
+            if found:
+                yield pairs_of(found)
         if kept:
-            yield _pairs(hold(kept))
-
-    return dealt.mapInArrow(run, "u long, v long, score double")
+            yield pairs_of([hold(kept)])
 
+    def pairs_of(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        u, v, score, crowded, token = (np.concatenate(c) for c in zip(*found))
+        columns = [pa.array(u), pa.array(v), pa.array(score), pa.array(token, mask=~crowded)]
+        return pa.RecordBatch.from_arrays(columns, ["u", "v", "score", "open"])
 
-def _pairs(found: list[tuple[int, int, float]]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.float64())
-    return pa.RecordBatch.from_arrays(
-        [pa.array([p[i] for p in found], kind) for i, kind in enumerate(kinds)], ["u", "v", "score"]
-    )
+    return dealt.mapInArrow(run, "u long, v long, score double, open long")
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
@@ -275,9 +294,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
     position filters are candidates; members are verified on their full sets. In each list
     of a shingle, all groups are first held against one pivot. Lists that then still hold
     members of two or more components are cut into blocks; blocks meet in a task each, where
-    an upper bound on the overlap of two sets leaves few pairs to verify: in rounds, each member
-    proposes its best partner; once no proposal holds, all that the bound leaves are verified. No list is kept
-    in one task, no pair inside a component is made, and no pair between components is left out.
+    an upper bound on the overlap of two sets leaves few pairs to verify. Where it leaves many, in
+    rounds each member proposes its best partner; once no proposal holds, all that the bound leaves are
+    verified. No block of a list meets another outside a task of its own, no pair inside a component is
+    verified, and no pair between components is left out.
 
     Rows that share a doc_id are one document: it links where any of its texts does. Rows
     without a doc_id get no component. Other columns are ignored; every input row gives one.
@@ -324,9 +344,20 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
         .union(inside.where("id <> gid").select(F.col("id").alias("u"), F.col("gid").alias("v")))
         .distinct()
     )
-    links = [_verified(docs, stage(pairs, "jaccard-pairs"), shingle, percent)]
-    links.append(_shared_ids(read, classes))
-    components = connected_components(reduce(DataFrame.union, links))
+
+    def verified(candidates: DataFrame) -> DataFrame:
+        asked = stage(candidates, "jaccard-pairs")
+        links = _verified(docs, asked, shingle, percent)
+        discard(asked)
+        return links
+
+    def joined(links: DataFrame) -> DataFrame:
+        """The components so far, with more links between them."""
+        return connected_components(components.select(F.col("id").alias("u"), F.col("component").alias("v")).union(links))
+
+    first = verified(pairs)
+    components = connected_components(first.union(_shared_ids(read, classes)))
+    discard(first)
 
     # Lists of classes by shingle, and by group, in which two components are left.
     others = inside.where("id <> gid").select("id", "gid")
@@ -355,26 +386,32 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
         return stage(known.join(unsettled, "token"), "jaccard-open")
 
     left, profiles = open_lists(entries), classes.select("id", "profile")
+    discard(met, inside, groups)
+    everything = False
     while not left.isEmpty():
-        # Each member proposes the most similar one of another component, as far as profiles tell.
-        best = _across(left, profiles, percent, only_best=True)
-        proposed = best.groupBy("u").agg(F.max(F.struct("score", "v")).alias("b"))
-        proposed = proposed.select(F.greatest("u", "b.v").alias("u"), F.least("u", "b.v").alias("v")).distinct()
-        found = _verified(docs, stage(proposed, "jaccard-pairs"), shingle, percent)
-        if found.isEmpty():
-            break
-        links.append(found)
-        components = connected_components(reduce(DataFrame.union, links))
-        left = open_lists(left.drop("part", "size"))
-    if not left.isEmpty():  # no proposal held: now whatever the bound leaves
-        rest = _across(left, profiles, percent).select("u", "v").distinct()
-        links.append(_verified(docs, stage(rest, "jaccard-pairs"), shingle, percent))
-        components = connected_components(reduce(DataFrame.union, links))
+        may = stage(_across(left, profiles, percent, everything), "jaccard-may")
+        # Where the bound leaves many, each member proposes the most similar one of another component.
+        crowded = may.where("open is not null")
+        best = crowded.groupBy("u").agg(F.max(F.struct("score", "v")).alias("b")).select("u", "b.v")
+        asked = may.where("open is null").select("u", "v").union(best)
+        found = verified(asked.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        # Of the other lists nothing is left. Once no proposal holds, all pairs of these are verified.
+        everything = found.isEmpty()
+        before, components = components, joined(found)
+        discard(before, found)
+        before = left
+        rest = left.drop("part", "size").join(crowded.select(F.col("open").alias("token")).distinct(), "token", "left_semi")
+        left = open_lists(rest)
+        discard(before, may)
+    discard(left)
     labels = classes.join(components.withColumnRenamed("id", "c_id"), F.col("id") == F.col("c_id"), "left").select(
         "n", "sig1", "sig2", F.coalesce("component", "id").alias("component_id")
     )
-    return read.join(labels, ["n", "sig1", "sig2"], "left").select(
+    labelled = read.join(labels, ["n", "sig1", "sig2"], "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
     )
+    result = stage(labelled, "jaccard-components")
+    discard(read, classes, components)
+    return result

@@ -8,6 +8,7 @@ byte view of UTF-8 equal to the character view.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -157,6 +158,13 @@ def split_words(
     return Words(data, text, start, end, join(hashes, np.uint64), first, offsets)
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows, which bounds what the arrays of a part take."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k-word windows of one run of word hashes."""
     n = len(words) - k + 1
