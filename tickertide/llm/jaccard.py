@@ -16,7 +16,7 @@ SKETCH_BITS = 18  # counters of the frequency sketch, whatever the corpus
 BROADCAST_IDS = 500_000  # longs
 PROFILE = 256  # counters of a set's profile: shingles by the low bits of their hash
 TOP = 15  # what a counter of a profile can hold, in units of a power of two
-BLOCK = 512  # members of a list that are held against each other at once
+BLOCK = 4096  # members of a list that are held against each other at once
 CROWD = 4  # pairs a member that two blocks may leave to be verified at once
 
 
@@ -107,6 +107,23 @@ def _may_link(percent: int, a: str, b: str) -> Column:
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (left >= need)
 
 
+def _within_bound(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose profiles leave room for enough overlap; slim rows, before any set moves."""
+    numbers = ["n", "profile"]
+    both = pairs
+    for side in ("v", "u"):
+        both = both.join(profiles.withColumnsRenamed({"id": side} | {c: f"{c}_{side}" for c in numbers}), side)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in slices(batches):
+            n_u, n_v = (batch[f"n_{side}"].to_numpy() for side in "uv")
+            shared = np.minimum(_unpacked(batch["profile_u"]), _unpacked(batch["profile_v"])).sum(1)
+            mask = pa.array((100 + percent) * shared >= percent * (n_u + n_v))
+            yield pa.RecordBatch.from_arrays([batch["u"].filter(mask), batch["v"].filter(mask)], ["u", "v"])
+
+    return both.mapInArrow(run, "u long, v long")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (u, v) of document ids whose full sets are similar enough."""
 
@@ -212,7 +229,7 @@ def _across(lists: DataFrame, profiles: DataFrame, percent: int, everything: boo
     dealt = (
         rows.select("token", "id", "n", "pos", "part", F.explode(meetings).alias("m"))
         .select("token", "id", "n", "pos", "part", "m.*")
-        .join(profiles, "id")
+        .join(profiles.select("id", "profile"), "id")
         .repartition(*key)
         .sortWithinPartitions(*key)
     )
@@ -355,7 +372,8 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
         """The components so far, with more links between them."""
         return connected_components(components.select(F.col("id").alias("u"), F.col("component").alias("v")).union(links))
 
-    first = verified(pairs)
+    profiles = classes.select("id", "n", "profile")
+    first = verified(_within_bound(pairs, profiles, percent))
     components = connected_components(first.union(_shared_ids(read, classes)))
     discard(first)
 
@@ -385,7 +403,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
         )
         return stage(known.join(unsettled, "token"), "jaccard-open")
 
-    left, profiles = open_lists(entries), classes.select("id", "profile")
+    left = open_lists(entries)
     discard(met, inside, groups)
     everything = False
     while not left.isEmpty():
