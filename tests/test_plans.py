@@ -85,4 +85,4 @@ def test_stored_rankings_prune_days_and_sum_at_once(spark, tmp_path):
         plan = physical(ranking(spark, root, fx.AS_OF))
         assert plan.count("Exchange hashpartitioning") == exchanges
         assert "Generate" not in plan and "Expand" not in plan
-        assert re.search(r"PartitionFilters: \[isnotnull\(day#\d+\), \(day#\d+ >=", plan)
+        assert re.search(r"PartitionFilters: \[[^\n]*\(day#\d+ >=", plan)
