@@ -19,6 +19,7 @@ def spark(tmp_path_factory):
         **{
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
+            "spark.sql.maxMetadataStringLength": "2000",  # plan tests read all filters
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "6g",
             "spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER,
