@@ -184,7 +184,7 @@ def test_cells_do_not_rest_on_the_links_of_the_probes(linked):
     x /= np.sqrt((x * x).sum(1))[:, None]
     index = nv.Index(x, 32)
     # The few links that the probes have lie at home.
-    index.fit(x[:1000], [(p, int(index.home(x[p : p + 1])[0]), 1) for p in range(linked)], 0.995, 0.93)
+    index.fit(x[:1000], [(0, linked, float(linked))] if linked else [], 0.995, 0.93)
     side = rng.normal(size=x.shape)
     side -= (side * x).sum(1)[:, None] * x
     y = 0.93 * x + np.sqrt(1 - 0.93**2) * side / np.sqrt((side * side).sum(1))[:, None]
@@ -193,6 +193,62 @@ def test_cells_do_not_rest_on_the_links_of_the_probes(linked):
     assert np.allclose([(a * x).sum(1) for a in nv.partners(x, 0.93)], 0.93)
 
 
+def by_hand(rows, least=0.93):
+    """Linked pairs of rows (id, vector, label), of equal length and label."""
+    unit = [(i, np.array(v) / np.linalg.norm(v), label) for i, v, label in rows]
+    return {
+        (i, j) for i, a, k in unit for j, b, m in unit if i != j and k == m and len(a) == len(b) and a @ b >= least
+    }
+
+
+def test_both_ends_count_a_link(spark, monkeypatch):
+    monkeypatch.setattr(nv, "LEAST_CELLS", 1)
+    monkeypatch.setattr(nv, "BLOCK", 64)
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(600, 24))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    near = nv.partners(x, 0.932)[0]
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate((x, near)))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in near_vectors(frame, recall=0.6).collect()}
+    pairs = by_hand(rows)
+    assert {(i, i + 600) for i in range(600)} <= pairs
+    one = [got[i]["n_links"] for i in range(600)]
+    assert one == [got[i + 600]["n_links"] for i in range(600)]
+    assert 0.6 * 600 <= sum(one) < 600  # so few cells that some links are found by neither end
+    assert all((got[i + 600]["component_id"] == i) == (n == 1) for i, n in enumerate(one))
+
+
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_vectors_of_many_lengths(spark, kind):
+    rng = np.random.default_rng(22)
+    rows = []
+    for width, n in ((1, 3), (2, 30), (3, 2), (8, 200), (9, 150)):
+        for _ in range(n):
+            v = rng.normal(size=width).astype(np.float32)
+            for scale in (1.0, 1.01):
+                rows.append((len(rows), [float(a) for a in v + (scale - 1) * rng.normal(size=width)], width % 2))
+    rows.append((len(rows), rows[-1][1] + [0.0], 1))
+    if kind == "float":
+        rows = [(i, [float(np.float32(a)) for a in v], k) for i, v, k in rows]
+    frame = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")
+    got = near_vectors(frame, recall=1.0).collect()
+    pairs = by_hand(rows)
+    assert {r["vec_id"]: r["n_links"] for r in got} == {
+        i: sum(a == i for a, _ in pairs) for i, *_ in rows
+    }
+    part = {i: i for i, *_ in rows}
+    for _ in rows:
+        for a, b in pairs:
+            part[a] = part[b] = min(part[a], part[b])
+    assert {r["vec_id"]: r["component_id"] for r in got} == part
+
+
+def test_units_of_huge_and_tiny_vectors():
+    x = np.array([[3.0, 4.0], [3e200, 4e200], [3e-320, 4e-320]])
+    assert np.allclose(nv._unit(x), [0.6, 0.8], atol=1e-3)
+
+
 def test_rare_near_vectors(spark, monkeypatch):
     monkeypatch.setattr(nv, "PROBES", 50)  # a few of them have a link, all at home
     rng = np.random.default_rng(12)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tickertide.llm.components import connected_components
 from tickertide.llm.tables import small, stage
@@ -56,16 +56,23 @@ def multi_sequence(first: np.ndarray, second: np.ndarray, cells: int) -> list[tu
     return out
 
 
-def _unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Usable rows of a list column, and their vectors scaled to length 1."""
-    rows, found = [], []
-    for i, values in enumerate(column):
-        if values.is_valid and len(values):
-            v = values.values.to_numpy(zero_copy_only=False).astype(np.float64)
-            if np.isfinite(v).all() and (length := np.sqrt((v * v).sum())) > 0 and np.isfinite(length):
-                rows.append(i)
-                found.append(v / length)
-    return np.array(rows, np.int64), found
+def _rows_by_width(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length of vector in a list column without nulls: the rows, and their vectors."""
+    lengths = column.value_lengths().to_numpy()
+    flat, starts = column.flatten().to_numpy(), np.cumsum(lengths) - lengths
+    for width in np.unique(lengths):
+        rows = np.flatnonzero(lengths == width)
+        yield rows, flat[starts[rows][:, None] + np.arange(width)]
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows, neither zero nor infinite, scaled to length 1 in double precision.
+
+    A power of two brings each row near 1 first, so that no square leaves the range of doubles.
+    """
+    x = vectors.astype(np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+    return x / np.sqrt((x * x).sum(1))[:, None]
 
 
 class Index:
@@ -98,24 +105,35 @@ class Index:
             out[low : low + 512] = (sums <= own).sum(1) - 1
         return out
 
-    def fit(self, probes: np.ndarray, met: list[tuple[int, int, int]], recall: float, least: float) -> None:
+    def fit(self, probes: np.ndarray, met: list[tuple[int, float, float]], recall: float, least: float) -> None:
         """Visit the fewest cells, LEAST_CELLS at least, in which ``recall`` lie of each of: all links
         of the probes, their mean share, and either kind of made partners at a cosine of ``least``.
-        ``met`` are rows (probe, cell, number of links); the made partners need no link at all."""
+        ``met`` are rows (rank of the visited cell, links, sum of the probes' shares of their links);
+        the made partners need no link at all."""
         x = probes[np.arange(max(MADE, len(probes))) % len(probes)]
         needed = [min(self.everything, LEAST_CELLS)]
         for made in partners(x, least):
             reached = np.cumsum(np.bincount(self.ranks(x, self.home(made)), minlength=self.everything)) / len(x)
             needed.append(int(np.searchsorted(reached, recall) + 1))
         if met:
-            probe, cell, n = np.array(met, np.int64).T
-            ranks, total = self.ranks(probes[probe], cell), np.bincount(probe, n)
-            shares = [np.cumsum(np.bincount(ranks, w, self.everything)) for w in (n, n / total[probe])]
-            reached = np.minimum(*(s / s[-1] for s in shares))
-            needed.append(int(np.searchsorted(reached, recall) + 1))
+            rank, *weights = np.array(met, np.float64).T
+            for weight in weights:
+                reached = np.cumsum(np.bincount(rank.astype(np.int64), weight, self.everything))
+                needed.append(int(np.searchsorted(reached / reached[-1], recall) + 1))
         self.cells = min(self.everything, max(needed))
 
 
+class Probes:
+    """Vectors of one length that are held against all points of it, and the index they fit."""
+
+    def __init__(self, rows: pa.Table, vectors: np.ndarray, codewords: int):
+        x = _unit(vectors)
+        self.unit = x[:PROBES]
+        self.numbers = rows["number"].to_numpy()[:PROBES]
+        self.labels = np.array(rows["label"].to_pylist()[:PROBES], object)
+        self.index = Index(x, codewords)
+
+
 def partners(x: np.ndarray, least: float) -> list[np.ndarray]:
     """For each row a vector at a cosine of exactly ``least``, off in any direction, and off
     towards another row, as the data spreads."""
@@ -130,30 +148,37 @@ def partners(x: np.ndarray, least: float) -> list[np.ndarray]:
     return out
 
 
-def _links_of(points: DataFrame, index: Index, probes: np.ndarray, numbers, labels, least: float):
-    """Cells in which links of the probes lie, from all points: rows (probe, cell, n)."""
-    width = probes.shape[1]
+def _links_of(points: DataFrame, probes: dict[int, Probes], least: float) -> dict[int, list[tuple]]:
+    """How early a probe visits the cells that hold its links, from all points.
+
+    For each length rows (rank, links, shares), at most one for each cell of its grid.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            at, found = _unit_rows(batch["embedding"])
-            at, found = at[[len(v) == width for v in found]], [v for v in found if len(v) == width]
-            if not len(at):
-                continue
-            unit = np.stack(found)
-            near = unit @ probes.T >= least
-            near &= np.array(batch["label"].to_pylist(), object)[at][:, None] == labels
-            near &= batch["number"].to_numpy()[at][:, None] != numbers
-            row, probe = np.nonzero(near)
-            cell = index.home(unit)[row]
-            pairs, n = np.unique(np.stack((probe, cell), 1), axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(n)], ["probe", "cell", "n"]
-            )
-
-    rows = points.select("label", "number", "embedding").mapInArrow(run, "probe long, cell long, n long")
-    # At most probes x cells rows, whatever the table.
-    return [tuple(r) for r in rows.groupBy("probe", "cell").agg(F.sum("n")).collect()]
+            for at, found in _rows_by_width(batch["embedding"]):
+                width = found.shape[1]
+                if width not in probes:
+                    continue
+                held, unit = probes[width], _unit(found)
+                near = unit @ held.unit.T >= least
+                near &= np.array(batch["label"].to_pylist(), object)[at][:, None] == held.labels
+                near &= batch["number"].to_numpy()[at][:, None] != held.numbers
+                row, probe = np.nonzero(near)
+                cell = held.index.home(unit)[row]
+                pairs, n = np.unique(np.stack((probe, cell), 1), axis=0, return_counts=True)
+                rank = held.index.ranks(held.unit[pairs[:, 0]], pairs[:, 1])
+                columns = [pa.array(np.full(len(n), width)), pa.array(pairs[:, 0]), pa.array(rank), pa.array(n)]
+                yield pa.RecordBatch.from_arrays(columns, ["width", "probe", "rank", "n"])
+
+    rows = points.select("label", "number", "embedding").mapInArrow(run, "width long, probe long, rank long, n long")
+    by_probe = rows.groupBy("width", "probe", "rank").agg(F.sum("n").alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("width", "probe"))
+    by_rank = by_probe.withColumn("share", share).groupBy("width", "rank").agg(F.sum("n"), F.sum("share"))
+    out: dict[int, list[tuple]] = {}
+    for width, *row in by_rank.collect():
+        out.setdefault(width, []).append(tuple(row))
+    return out
 
 
 def near_vectors(
@@ -162,25 +187,29 @@ def near_vectors(
     """Link ``vectors`` (vec_id, embedding, label) of equal label and a cosine of ``least``.
 
     Equal vectors of a label are one point with a number of copies, all linked to each other.
-    The two halves of the points have a codebook each, fitted on at most ``sample_rows`` points
-    (the first by a hash); the pairs of codewords form a grid of cells. All points are filed
+    Vectors of each length have an index of their own, fitted on those of it among
+    ``sample_rows`` points (the first by a hash; a length that is not among them is one cell): the two
+    halves have a codebook each, and the pairs of codewords form a grid of cells. All points are filed
     by their cell and look up the cells nearest to them in multi-sequence order, as many as
     PROBES points, held against all, need for ``recall`` of their links, and for ``recall`` of made partners
     at a cosine of ``least``, so that it does not rest on how many links the probes have. What they
-    meet there is verified by the cosine in double precision. A full cell is split into blocks of BLOCK points, so hot
-    cells are spread; a task counts links and keeps one link for each point and local group.
+    meet there is verified by the cosine in double precision. A point carries the set of cells it visits, so
+    a link that only one side finds is counted for both, and one that both find once. A full
+    cell is split into blocks of BLOCK points, so hot cells are spread; a task counts links and
+    keeps one link for each point and local group.
 
-    Vectors that are null, empty, zero or hold a null, NaN or infinity, and those with no label
-    or of another length than most of the sample, link with nothing. Rows that share a
+    Vectors that are null, empty, zero or hold a null, NaN or infinity, and those with no label,
+    link with nothing, and no link joins vectors of two lengths. Rows that share a
     vec_id are one vector each, counted as copies. Rows without a vec_id get no component. Other
     columns are ignored.
 
     Returns vec_id, n_links, component_id, kept.
     """
-    spark = vectors.sparkSession
+    kind = vectors.schema["embedding"].dataType.elementType
+    number = "float" if kind.typeName() == "float" else "double"  # floats are kept as they are
     rows = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"),
-        F.col("embedding").cast("array<double>").alias("embedding"),
+        F.col("embedding").cast(f"array<{number}>").alias("embedding"),
         F.col("label").cast("string").alias("label"),
     ).withColumn("point", F.when(F.col("embedding").isNotNull(), F.sha2(F.col("embedding").cast("string"), 256)))
     usable = (
@@ -196,58 +225,62 @@ def near_vectors(
         .withColumn("number", F.monotonically_increasing_id()),
         "vector-points",
     )
-    sample = points.select("label", "number", "embedding").orderBy(F.xxhash64("point"), "point").limit(sample_rows).collect()
-    if not sample:
+    sample = points.select("label", "number", "embedding").orderBy(F.xxhash64("point"), "point").limit(sample_rows)
+    sample = sample.toArrow().combine_chunks()
+    if not len(sample):
         return rows.select(
             "vec_id",
             F.lit(0).cast("long").alias("n_links"),
             F.col("vec_id").alias("component_id"),
             F.lit(True).alias("kept"),
         )
-    width = int(np.median([len(r["embedding"]) for r in sample]))
-    sample = [r for r in sample if len(r["embedding"]) == width]
-    x = np.array([r["embedding"] for r in sample], np.float64)
-    x /= np.sqrt((x * x).sum(1))[:, None]
-    index = Index(x, codewords) if width > 1 else None
-    if index:
-        numbers = np.array([r["number"] for r in sample[:PROBES]])
-        labels = np.array([r["label"] for r in sample[:PROBES]], object)
-        index.fit(x[:PROBES], _links_of(points, index, x[:PROBES], numbers, labels, least), recall, least)
+    probes = {
+        found.shape[1]: Probes(sample.take(pa.array(at)), found, codewords)
+        for at, found in _rows_by_width(sample["embedding"].combine_chunks())
+        if found.shape[1] > 1
+    }
+    met = _links_of(points, probes, least)
+    for width, held in probes.items():
+        held.index.fit(held.unit, met.get(width, []), recall, least)
+    indexes = {width: held.index for width, held in probes.items()}
 
     def file(batches: Iterator[pa.RecordBatch]):
         """Each point at home, as a candidate, and in the cells it visits, as a query."""
         for batch in batches:
-            at, found = _unit_rows(batch["embedding"])
-            fit = np.array([len(v) == width for v in found], bool)
-            at, found = at[fit], [v for v, ok in zip(found, fit) if ok]
-            if not len(at):
-                continue
-            unit = np.stack(found)
-            visits = index.visits(unit, index.cells) if index else [[0]] * len(unit)
-            home = index.home(unit) if index else np.zeros(len(unit), np.int64)
-            row = np.concatenate((np.arange(len(at)), np.repeat(np.arange(len(at)), [len(v) for v in visits])))
-            cell = np.concatenate((home, np.array([c for v in visits for c in v], np.int64)))
-            query = np.arange(len(row)) >= len(at)
-            flat = pa.array(unit[row].ravel())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["label"].take(pa.array(at[row])),
-                    pa.array(cell),
-                    pa.array(query),
-                    batch["number"].take(pa.array(at[row])),
-                    batch["copies"].take(pa.array(at[row])),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * width), flat),
-                ],
-                ["label", "cell", "query", "number", "copies", "unit"],
-            )
+            for at, found in _rows_by_width(batch["embedding"]):
+                n, width = found.shape
+                visits, home, everything = [[0]] * n, np.zeros(n, np.int64), 1
+                if index := indexes.get(width):
+                    unit, everything = _unit(found), index.everything
+                    visits, home = index.visits(unit, index.cells), index.home(unit)
+                row = np.concatenate((np.arange(n), np.repeat(np.arange(n), [len(v) for v in visits])))
+                cell = np.concatenate((home, np.array([c for v in visits for c in v], np.int64)))
+                seen = np.zeros((n, everything), bool)
+                seen[row[n:], cell[n:]] = True
+                seen = [bits.tobytes() for bits in np.packbits(seen, axis=1)]
+                flat, ends = pa.array(found[row].ravel()), np.arange(len(row) + 1, dtype=np.int32) * width
+                columns = {
+                    "label": batch["label"].take(pa.array(at[row])),
+                    "width": pa.array(np.full(len(row), width, np.int32)),
+                    "cell": pa.array(cell),
+                    "query": pa.array(np.arange(len(row)) >= n),
+                    "number": batch["number"].take(pa.array(at[row])),
+                    "copies": batch["copies"].take(pa.array(at[row])),
+                    "home": pa.array(home[row]),
+                    "visits": pa.array(seen + [None] * (len(row) - n), pa.binary()),
+                    "vector": pa.ListArray.from_arrays(pa.array(ends), flat),
+                }
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     filed = stage(
         points.select("label", "number", "copies", "embedding").mapInArrow(
-            file, "label string, cell long, query boolean, number long, copies long, unit array<double>"
+            file,
+            "label string, width int, cell long, query boolean, number long, copies long, home long, "
+            f"visits binary, vector array<{number}>",
         ),
         "vector-cells",
     )
-    sizes = filed.groupBy("label", "cell").agg(
+    sizes = filed.groupBy("label", "width", "cell").agg(
         *(
             F.ceil(F.count(F.when(F.col("query") == side, 1)) / BLOCK).cast("int").alias(name)
             for side, name in ((True, "q_blocks"), (False, "c_blocks"))
@@ -258,26 +291,30 @@ def near_vectors(
     own = F.pmod(F.xxhash64("number"), F.when(F.col("query"), F.col("q_blocks")).otherwise(F.col("c_blocks"))).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.when(F.col("query"), F.col("c_blocks")).otherwise(F.col("q_blocks")) - 1))
     dealt = (
-        filed.join(small(sizes, 1_000_000), ["label", "cell"])
+        filed.join(small(sizes, 1_000_000), ["label", "width", "cell"])
         .select("*", own.alias("own"), every.alias("other"))
         .select(
-            "label", "cell", "query", "number", "copies", "unit",
+            "label", "width", "cell", "query", "number", "copies", "home", "visits", "vector",
             F.when(F.col("query"), F.col("own")).otherwise(F.col("other")).alias("q_block"),
             F.when(F.col("query"), F.col("other")).otherwise(F.col("own")).alias("c_block"),
         )
     )
 
-    def meet(group: pa.Table) -> pa.Table:
+    def meet(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         query = group["query"].to_numpy(zero_copy_only=False).astype(bool)
-        unit = group["unit"].combine_chunks().flatten().to_numpy().reshape(-1, width)
-        number, copies = group["number"].to_numpy(), group["copies"].to_numpy()
+        unit = _unit(group["vector"].combine_chunks().flatten().to_numpy().reshape(-1, key[1].as_py()))
+        number, copies, home = (group[name].to_numpy() for name in ("number", "copies", "home"))
         q, c = np.flatnonzero(query), np.flatnonzero(~query)
-        links, group_of = np.zeros(len(q), np.int64), np.arange(len(c))
+        visits = b"".join(group["visits"].take(pa.array(c)).to_pylist())
+        visits = np.unpackbits(np.frombuffer(visits, np.uint8).reshape(len(c), -1), axis=1).astype(bool)
+        links, group_of = np.zeros(len(number), np.int64), np.arange(len(c))
         edges = []
         for a in range(0, len(q), 512):
             part = q[a : a + 512]
             near = (unit[part] @ unit[c].T >= least) & (number[part][:, None] != number[c])
-            links[a : a + 512] = near @ copies[c]
+            links[part] = near @ copies[c]
+            # A candidate that does not look where this query is at home can't count the link itself.
+            links[c] += copies[part] @ (near & ~visits[:, home[part]].T)
             for row in np.flatnonzero(near.any(1)):
                 met = number[c][near[row]]
                 parts = np.unique(group_of[near[row]])
@@ -290,14 +327,14 @@ def near_vectors(
         n = int(found.sum())
         return pa.table(
             {
-                "number": pa.array(np.concatenate((number[q[found]], [e[0] for e in edges])).astype(np.int64)),
+                "number": pa.array(np.concatenate((number[found], [e[0] for e in edges])).astype(np.int64)),
                 "other": pa.array([None] * n + [int(e[1]) for e in edges], pa.int64()),
-                "links": pa.array(np.concatenate((links[found], np.zeros(len(edges)))).astype(np.int64)),
+                "links": pa.array(np.concatenate((links[found], np.zeros(len(edges), np.int64))).astype(np.int64)),
             }
         )
 
     met = stage(
-        dealt.groupBy("label", "cell", "q_block", "c_block").applyInArrow(meet, "number long, other long, links long"),
+        dealt.groupBy("label", "width", "cell", "q_block", "c_block").applyInArrow(meet, "number long, other long, links long"),
         "vector-links",
     )
     links = met.where("other is null").groupBy("number").agg(F.sum("links").alias("links"))
