@@ -304,6 +304,23 @@ def test_mask_keeps_rows(spark):
     assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == expected
 
 
+def test_contexts_in_any_script(spark):
+    rows = [(i, f"{say(3)} телефон +7 495 123 45{i:02} {say(4)}") for i in range(20)] + [(30, "телефон 555-0199 " + say(3))]
+    got = {r["doc_id"]: r["spans"] for r in personal_data(table(spark, rows)).collect()}
+    assert got[30] == "phone:8:16"
+
+
+def test_mask_beside_any_columns(spark):
+    plain = table(spark, [*odd_rows(), *enumerate(PERSONAL, 100)])
+    names = ["spans", "Text_Key", "m_key", "m_doc", "new_text", "row", "kind", "doc"]
+    clashing = plain.select("*", *(F.lit(f"<{n}>").alias(n) for n in names))
+    got = mask_personal_data(clashing)
+    assert got.schema.simpleString() == clashing.schema.simpleString()
+    assert {tuple(r) for r in got.select(*names).collect()} == {tuple(f"<{n}>" for n in names)}
+    kept = Counter(tuple(r) for r in got.select(*plain.columns).collect())
+    assert kept == Counter(tuple(r) for r in mask_personal_data(plain).collect())
+
+
 ASSIGN = r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
 

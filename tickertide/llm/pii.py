@@ -197,7 +197,7 @@ def find_spans(
         ).where(F.length(trimmed) > 0),
         "pii-words",
     )
-    linked = words.select("*", F.explode("contexts").alias("context")).where(F.col("context").rlike("[a-z]"))
+    linked = words.select("*", F.explode("contexts").alias("context")).where(F.col("context").rlike(r"\p{L}"))
     edges = linked.groupBy("context", "instance", "kind").agg(F.count("*").alias("n"))
     patterns = _bootstrap(edges, rounds, least, support)
     found = (
@@ -245,7 +245,8 @@ def personal_data(docs: DataFrame, **limits) -> DataFrame:
 
 def mask_personal_data(docs: DataFrame, **limits) -> DataFrame:
     """``docs`` with each span of its texts replaced by its kind in brackets, and the new length
-    in n_chars if there is such a column. Rows of the same doc_id and text are masked alike."""
+    in n_chars if there is such a column. Rows of the same doc_id and text are masked alike;
+    null texts stay null, and other columns stay as they are, whatever their names."""
     rows, spans = find_spans(docs, **limits)
     per_row = spans.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "kind"))).alias("spans"))
     marks = stage(
@@ -266,17 +267,12 @@ def mask_personal_data(docs: DataFrame, **limits) -> DataFrame:
     masked = F.aggregate(
         "spans", start, put, lambda d: F.concat(d["out"], F.substring(text, (d["at"] + 1).cast("int"), F.length(text)))
     )
-    joined = docs.withColumn("m_key", F.xxhash64("text")).join(
-        marks, F.col("doc_id").eqNullSafe(F.col("m_doc")) & (F.col("m_key") == F.col("text_key")), "left"
-    )
+    # Columns of the documents stay inside a struct, so that none meets a name used here.
+    held = docs.select(F.struct("*").alias("doc")).withColumn("text", F.col("doc.text"))
+    same = F.col("doc.doc_id").eqNullSafe(F.col("m_doc")) & (F.xxhash64("text") == F.col("text_key"))
     new = F.when(F.col("spans").isNotNull(), masked).otherwise(text)
-    out = joined.withColumn("new_text", new)
-    columns = [
-        F.col("new_text").alias("text")
-        if c == "text"
-        else F.length("new_text").cast(docs.schema[c].dataType).alias(c)
-        if c == "n_chars"
-        else F.col(c)
-        for c in docs.columns
-    ]
-    return out.select(*columns)
+    joined = held.join(marks, same, "left").select("doc", new.alias("new_text"))
+    changed = {"text": F.col("new_text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length("new_text").cast(docs.schema["n_chars"].dataType)
+    return joined.select(*(changed.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns))
