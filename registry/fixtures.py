@@ -41,7 +41,9 @@ def posts(spark: SparkSession, sf: str) -> DataFrame:
         "if(doc_id % 11 = 0, null, concat('u', doc_id % 17)) AS author",
         "text",
         "if(doc_id % 5 = 0, concat(' HTTP://Ex.org/', doc_id % 50, ' '), null) AS url",
-        "map('lang', lang) AS meta",
+        """map('lang', cast(lang AS variant), 'even', cast(doc_id % 2 = 0 AS variant),
+               'place', to_variant_object(named_struct('row', doc_id, 'share', doc_id % 64 / 64D, 'path', array('a', lang)))
+        ) AS meta""",
         f"""named_struct(
             'finance', map('Positive', doc_id * 7 % 33 / 64D, 'NEGATIVE', doc_id * 11 % 31 / 64D,
                            'neutral', 1 - doc_id * 7 % 33 / 64D - doc_id * 11 % 31 / 64D),

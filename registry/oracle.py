@@ -238,7 +238,7 @@ social AS (
     CASE WHEN turn % 2 = 0 THEN 'http://s/' || conv_id || '_' || turn END AS url,
     'sub' || (conv_id % 5) AS subreddit,
     'https://www.reddit.com/r/' || conv_id || '_' || turn AS permalink,
-    conv_id::VARCHAR AS score, turn::VARCHAR AS num_comments
+    conv_id::BIGINT AS score, turn::BIGINT AS num_comments
   FROM conversations
 )"""
 
@@ -376,7 +376,8 @@ SELECT 'news' AS source, post_id, created_at, author,
   concat_ws(chr(10) || chr(10), nullif(title, ''), nullif(description, ''), nullif(content, '')) AS text,
   nullif(url, '') AS url, query, source_name FROM keyed""",
     "news_post_id": f"WITH {NEWS} SELECT title, post_id FROM keyed",
-    "raw_wire": f"WITH {POSTS} SELECT source, post_id, created_at, author, text, url, lang FROM posts",
+    "raw_wire": f"""WITH {POSTS} SELECT source, post_id, created_at, author, text, url, lang, doc_id AS place_row,
+  (doc_id % 64)::DOUBLE / 64 AS place_share, lang AS place_second, doc_id % 2 = 0 AS even FROM posts""",
     "enriched_wire": f"""WITH {TICKERS}
 SELECT source, post_id, created_at, text, array_to_string(tickers, ',') AS tickers, score AS finbert_score,
   stance_label, round(conviction, 9) AS conviction, n_emotions, source_weight FROM tagged""",
@@ -414,6 +415,10 @@ SELECT bucket_start, ticker, 'anger', anger_sum FROM agg WHERE anger_n > 0 UNION
 SELECT bucket_start, ticker, NULL, NULL FROM agg WHERE joy_n + optimism_n + sadness_n + anger_n = 0""",
     "unique_authors": f"""WITH {_rollup_cte(MENTIONS)}
 SELECT bucket_start, ticker, unique_authors FROM agg WHERE unique_authors > 0""",
+    "unique_authors_hour": f"""WITH {_rollup_cte(EVENT_MENTIONS, "time_bucket(INTERVAL 1 HOUR, bucket_start)")}
+SELECT bucket_start, ticker, unique_authors FROM agg WHERE unique_authors > 0""",
+    "rollup_day_authors": f"""WITH {_rollup_cte(EVENT_MENTIONS, "time_bucket(INTERVAL 1 DAY, bucket_start)")}
+SELECT bucket_start, ticker, mention_count, unique_authors FROM agg""",
     "rollup_to_hour": _flat_rollup(MENTIONS, "time_bucket(INTERVAL 1 HOUR, bucket_start)", ""),
     "merge_rollup": _flat_rollup(MENTIONS),
     "insert_if_absent": f"""WITH {POSTS}

@@ -26,6 +26,13 @@ from tickertide.functions.text import (
     ticker_candidates,
 )
 from tickertide.functions.time import between, floor_5m, iso_z, parse_iso_utc
+from tickertide.operators.authors import (
+    author_bitmaps,
+    count_bitmaps,
+    merge_bitmaps,
+    number_authors,
+    widen_bitmaps,
+)
 from tickertide.operators.cursors import (
     cap_oldest,
     merge_cursors,
@@ -60,6 +67,7 @@ from tickertide.plans.backfill import (
 from tickertide.plans.load import load_news, load_social
 from tickertide.schema import ENRICHED_POST, RAW_POST
 from tickertide.session import ROCKSDB_PROVIDER, scratch_dir
+from tickertide.session import stage_table
 from tickertide.sources.payloads import news_articles, news_post_id, news_to_raw, social_to_raw
 from tickertide.sources.symbols import build_symbols, parse_symbol_lines, read_allowlist, write_symbols
 from tickertide.sources.tables import ENRICHED_TABLE, RAW_TABLE, read_rollup, read_table
@@ -289,10 +297,10 @@ def q_social_to_raw(spark, sf):
         "author",
         "text",
         "url",
-        F.col("meta")["subreddit"].alias("subreddit"),
-        F.col("meta")["permalink"].alias("permalink"),
-        F.col("meta")["score"].alias("score"),
-        F.col("meta")["num_comments"].alias("num_comments"),
+        F.col("meta")["subreddit"].cast("string").alias("subreddit"),
+        F.col("meta")["permalink"].cast("string").alias("permalink"),
+        F.col("meta")["score"].cast("long").alias("score"),
+        F.col("meta")["num_comments"].cast("long").alias("num_comments"),
     )
 
 
@@ -305,8 +313,8 @@ def q_news_to_raw(spark, sf):
         "author",
         "text",
         "url",
-        F.col("meta")["query"].alias("query"),
-        F.col("meta")["source_name"].alias("source_name"),
+        F.col("meta")["query"].cast("string").alias("query"),
+        F.col("meta")["source_name"].cast("string").alias("source_name"),
     )
 
 
@@ -321,7 +329,11 @@ def q_raw_wire(spark, sf):
     back = from_wire(to_wire(raw), RAW_POST)
     return back.select(
         "source", "post_id", _clock("created_at").alias("created_at"), "author", "text", "url",
-        F.col("meta")["lang"].alias("lang"),
+        F.col("meta")["lang"].cast("string").alias("lang"),
+        F.variant_get(F.col("meta")["place"], "$.row", "long").alias("place_row"),
+        F.variant_get(F.col("meta")["place"], "$.share", "double").alias("place_share"),
+        F.variant_get(F.col("meta")["place"], "$.path[1]", "string").alias("place_second"),
+        F.col("meta")["even"].cast("boolean").alias("even"),
     )
 
 
@@ -408,6 +420,26 @@ def q_emotion_sums(spark, sf):
     return flat.withColumn("bucket_start", _clock("bucket_start"))
 
 
+def _author_bitmaps(spark, sf) -> DataFrame:
+    """Bitmaps of two batches, the second with authors that the first didn't have."""
+    posts = fx.event_posts(fx.events(spark, sf)).withColumn("early", F.col("created_at") < "2024-01-11")
+    first, second = (mention_authors(posts.where(c)) for c in ("early", "not early"))
+    numbers = stage_table(number_authors(first), "authors-first")
+    more = stage_table(number_authors(second, numbers), "authors-second")
+    return merge_bitmaps(author_bitmaps(first, numbers), author_bitmaps(second, more))
+
+
+def q_unique_authors_hour(spark, sf):
+    counts = count_bitmaps(widen_bitmaps(_author_bitmaps(spark, sf), "1 hour"))
+    return counts.select(_clock("bucket_start").alias("bucket_start"), "ticker", "unique_authors")
+
+
+def q_rollup_day_authors(spark, sf):
+    """Daily rows from five-minute rows and their bitmaps; the posts are not read again."""
+    days = rollup_to(_event_rollup(spark, sf), "1 day", _author_bitmaps(spark, sf))
+    return days.select(_clock("bucket_start").alias("bucket_start"), "ticker", "mention_count", "unique_authors")
+
+
 def q_unique_authors(spark, sf):
     counts = unique_authors(fx.enriched(spark, sf))
     return counts.withColumn("bucket_start", _clock("bucket_start"))
@@ -496,7 +528,7 @@ def q_movers_single_scan(spark, sf):
 
 def _social(spark, sf) -> DataFrame:
     raw = social_to_raw(fx.social_items(spark, sf))
-    return raw.withColumn("subreddit", F.col("meta")["subreddit"])
+    return raw.withColumn("subreddit", F.col("meta")["subreddit"].cast("string"))
 
 
 def _brief(df: DataFrame) -> DataFrame:

@@ -6,9 +6,10 @@ from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantVal
 
 from tickertide.functions.sentiment import conviction, emotion_map, sentiment_from_probs, source_weight, stance_from_probs
-from tickertide.operators.scoring import enrich, score_posts
+from tickertide.operators.scoring import enrich, length_batches, score_posts
 from tickertide.operators.validate import validate_enriched, validate_raw
 from tickertide.schema import ENRICHED_POST, RAW_POST, STANCE_LABELS
 
@@ -69,7 +70,7 @@ def scorers(calls_per_batch: int):
 
 def test_score_and_enrich(spark):
     raw = [
-        ("news", "n1", DAY, "ann", "  buy   AA  now", None, {"k": "v"}),
+        ("news", "n1", DAY, "ann", "  buy   AA  now", None, {"k": VariantVal.parseJson('"v"')}),
         ("reddit", "r1", DAY, None, " \n ", " ", {}),
         ("reddit", "r2", DAY, "bob", "x" * 9000, None, {}),
     ]
@@ -78,7 +79,7 @@ def test_score_and_enrich(spark):
     assert list(rows["n1"].asDict()) == ENRICHED_POST.fieldNames()
     assert rows["n1"].tickers == ["AA", "NOW"] and rows["n1"].flags == []
     assert rows["n1"].finbert_score == 1.0  # 10 characters after normalization
-    assert rows["n1"].text == "  buy   AA  now" and rows["n1"].meta == {"k": "v"}
+    assert rows["n1"].text == "  buy   AA  now" and {k: v.toPython() for k, v in rows["n1"].meta.items()} == {"k": "v"}
     assert rows["n1"].stance_label == "bearish" and rows["n1"].source_weight == 1.2
     assert rows["n1"].language is None and rows["n1"].confidence == 0.5
     assert rows["r1"].flags == ["no_ticker", "empty_text"] and rows["r1"].emotions == {}
@@ -123,6 +124,31 @@ def test_equal_labels_up_to_case(spark):
     assert (r.s.pos, r.t.label) == (0.125, "joy")
 
 
+def test_batches_by_length():
+    texts = ["a" * n for n in (9, 1, 5, 5, 3, 100, 2)] + [""]
+    assert [[len(t) for t in run] for run in length_batches(texts, 3, None)] == [[0, 1, 2], [3, 5, 9], [100]]
+    runs = list(length_batches(texts, 3, 10))
+    assert [[len(t) for t in run] for run in runs] == [[0, 1, 2], [3, 5], [9], [100]]
+    assert list(length_batches([], 3, 10)) == []
+
+
+def test_scores_keep_the_order_of_rows(spark):
+    def make():
+        def scorer(texts):
+            assert len(texts) <= 4 and (len(texts) == 1 or len(texts) * max(map(len, texts)) <= 60)
+            return [{"n": len(t), "first": ord(t[0])} for t in texts]
+
+        return scorer, scorer, scorer
+
+    rows = [(i, chr(97 + i % 26) * (1 + i * 37 % 50)) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, text string").repartition(3)
+    got = score_posts(df, make, batch_size=4, batch_chars=60).collect()
+    assert len(got) == 300
+    for r in got:
+        expected = {"n": float(len(r.text)), "first": float(ord(r.text[0]))}
+        assert r.scores.finance == r.scores.emotion == r.scores.stance == expected and r.text == rows[r.i][1]
+
+
 def test_validate_raw(spark):
     rows = [
         ("news", "a", DAY, None, "x", None, None), ("news", None, DAY, None, "x", None, {}), (None, "b", DAY, None, "", None, {}),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tickertide.functions.text import author_key
 from tickertide.functions.time import BUCKET, floor_5m
+from tickertide.operators.authors import count_bitmaps, widen_bitmaps
 from tickertide.schema import MEASURES, ROLLUP
 
 _NO_SUMS = "cast(map() as map<string,double>)"
@@ -160,10 +161,19 @@ def sum_rollup(rows: DataFrame, keys: list[str], with_authors: bool = False) ->
     return facts.groupBy(*keys).agg(*_sum_exprs(names), F.expr(_EMOTION_MAP))
 
 
-def rollup_to(rows: DataFrame, width: str) -> DataFrame:
-    """Five-minute rows to any wider tumbling window (without author counts)."""
+def rollup_to(rows: DataFrame, width: str, bitmaps: DataFrame | None = None) -> DataFrame:
+    """Five-minute rows to any wider tumbling window.
+
+    Author counts of the rows don't add up over buckets, so there are none unless
+    ``bitmaps`` (see ``operators/authors.py``) are given: those of the same rows.
+    """
     wide = rows.withColumn("bucket_start", F.window("bucket_start", width)["start"])
-    return sum_rollup(wide, ["bucket_start", "ticker"])
+    summed = sum_rollup(wide, ["bucket_start", "ticker"])
+    if bitmaps is None:
+        return summed
+    counts = count_bitmaps(widen_bitmaps(bitmaps, width))
+    counted = summed.join(counts, ["bucket_start", "ticker"], "left")
+    return counted.withColumn("unique_authors", F.coalesce("unique_authors", F.lit(0)))
 
 
 def merge_rollup(target: DataFrame, delta: DataFrame) -> DataFrame:

@@ -37,11 +37,33 @@ def _scorers(name: str, make_scorers: ScorerFactory) -> tuple[BatchScorer, Batch
     return _loaded[name]
 
 
+def length_batches(texts: list[str], size: int, chars: int | None) -> Iterator[list[str]]:
+    """The distinct texts, short ones first, in runs of at most ``size`` texts and ``chars`` padded characters."""
+    run: list[str] = []
+    for text in sorted(set(texts), key=lambda t: (len(t or ""), t or "")):
+        over = chars is not None and len(text or "") * (len(run) + 1) > chars
+        if run and (len(run) == size or over):
+            yield run
+            run = []
+        run.append(text)
+    if run:
+        yield run
+
+
 def score_posts(
-    df: DataFrame, make_scorers: ScorerFactory, text_col: str = "text", batch_size: int = BATCH_SIZE
+    df: DataFrame,
+    make_scorers: ScorerFactory,
+    text_col: str = "text",
+    batch_size: int = BATCH_SIZE,
+    batch_chars: int | None = None,
 ) -> DataFrame:
     """Add a ``scores`` struct of three label maps.
 
+    A scorer gets texts of about the same length together, since a model pads the texts of a
+    call to the longest one: at most ``batch_size`` of them and, if ``batch_chars`` is given, at most
+    that many characters after padding (a longer text is a call of its own).  Equal texts of
+    an Arrow batch are scored once; a scorer must not depend on a text's company or place.
+
     Only the whole normalized text crosses to Python, in Arrow batches; the models are
     loaded once per worker process and every other column stays in the JVM.
     """
@@ -52,23 +74,20 @@ def score_posts(
         finance, emotion, stance = _scorers(name, make_scorers)
 
         def labelled(scorer, texts):
-            out = []
-            for i in range(0, len(texts), size):
-                chunk = texts[i : i + size]
+            out = {}
+            for chunk in length_batches(texts, size, batch_chars):
                 results = scorer(chunk)
                 if len(results) != len(chunk):
                     raise ValueError("a scorer must return one result per text")
-                out += [{str(k).lower(): float(v) for k, v in r.items()} for r in results]
+                for text, r in zip(chunk, results):
+                    out[text] = {str(k).lower(): float(v) for k, v in r.items()}
             return out
 
         for batch in batches:
             texts = batch.tolist()
+            found = [labelled(scorer, texts) for scorer in (finance, emotion, stance)]
             yield pd.DataFrame(
-                {
-                    "finance": labelled(finance, texts),
-                    "emotion": labelled(emotion, texts),
-                    "stance": labelled(stance, texts),
-                }
+                {name: [by[t] for t in texts] for name, by in zip(SCORES.fieldNames(), found)}
             )
 
     return df.withColumn("scores", run(normalize_text(text_col)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tickertide.schema import ENRICHED_POST, FLAGS, RAW_POST
 
-_EMPTY_STRINGS = "cast(map() as map<string,string>)"
+_EMPTY_META = "cast(map() as map<string,variant>)"
 _EMPTY_SCORES = "cast(map() as map<string,double>)"
 
 
@@ -53,7 +53,7 @@ def validate_raw(df: DataFrame, now: Column | None = None) -> tuple[DataFrame, D
     good = good.withColumns(
         {
             "created_at": F.coalesce("created_at", now if now is not None else F.current_timestamp()),
-            "meta": F.coalesce("meta", F.expr(_EMPTY_STRINGS)),
+            "meta": F.coalesce("meta", F.expr(_EMPTY_META)),
         }
     ).select(*RAW_POST.fieldNames())
     return good, bad
@@ -76,7 +76,7 @@ def validate_enriched(df: DataFrame, now: Column | None = None) -> tuple[DataFra
     ]
     good, bad = _split(df, reasons)
     defaults = {
-        "meta": F.expr(_EMPTY_STRINGS),
+        "meta": F.expr(_EMPTY_META),
         "tickers": F.expr("cast(array() as array<string>)"),
         "finbert_pos": F.lit(0.0),
         "finbert_neg": F.lit(0.0),

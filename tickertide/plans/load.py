@@ -50,7 +50,7 @@ def load_social(items: DataFrame, topic: str, cursors: str, at: datetime, newest
     """
     spark = items.sparkSession
     raw = social_to_raw(items.where(F.trim(F.coalesce("subreddit", F.lit(""))) != ""))
-    raw = raw.withColumn("subreddit", F.col("meta")["subreddit"])
+    raw = raw.withColumn("subreddit", F.col("meta")["subreddit"].cast("string"))
     known = read_cursors(spark, cursors).where("source = 'reddit'")
     known = known.select(F.expr("substring(stream_id, 8)").alias("subreddit"), "cursor")
     fresh = since_cursor(raw, known, "subreddit", "post_id", ["created_at", "post_id"])

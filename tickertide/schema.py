@@ -18,7 +18,8 @@ FLAGS = [
 RAW_TOPIC = "raw.posts"
 ENRICHED_TOPIC = "enriched.posts"
 
-_STRINGS = T.MapType(T.StringType(), T.StringType())
+# Values of any JSON type, nested ones too.
+_ANY = T.MapType(T.StringType(), T.VariantType())
 _SCORES = T.MapType(T.StringType(), T.DoubleType())
 
 RAW_POST = T.StructType(
@@ -29,7 +30,7 @@ RAW_POST = T.StructType(
         T.StructField("author", T.StringType()),
         T.StructField("text", T.StringType()),
         T.StructField("url", T.StringType()),
-        T.StructField("meta", _STRINGS),
+        T.StructField("meta", _ANY),
     ]
 )
 

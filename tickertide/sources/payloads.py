@@ -30,6 +30,12 @@ def _or_null(text: Column | str) -> Column:
     return F.nullif(text, F.lit(""))
 
 
+def _meta(**values: Column) -> Column:
+    """A map to values that keep their JSON type."""
+    pairs = ((F.lit(name), value.cast("variant")) for name, value in values.items())
+    return F.create_map(*(part for pair in pairs for part in pair))
+
+
 def social_to_raw(items: DataFrame) -> DataFrame:
     body = F.concat("title", F.lit("\n\n"), F.coalesce("selftext", F.lit("")))
     return items.select(
@@ -39,13 +45,13 @@ def social_to_raw(items: DataFrame) -> DataFrame:
         _or_null("author").alias("author"),
         strip(body).alias("text"),
         F.col("url"),
-        F.create_map(
-            F.lit("subreddit"), strip("subreddit"),
-            F.lit("permalink"), F.concat(F.lit(PERMALINK_PREFIX), "permalink"),
-            F.lit("score"), F.col("score").cast("string"),
-            F.lit("num_comments"), F.col("num_comments").cast("string"),
+        _meta(
+            subreddit=strip("subreddit"),
+            permalink=F.concat(F.lit(PERMALINK_PREFIX), "permalink"),
+            score=F.col("score"),
+            num_comments=F.col("num_comments"),
         ).alias("meta"),
-    ).select(*RAW_POST.fieldNames())
+    ).select(*RAW_POST.fieldNames())
 
 
 def news_post_id(url: Column | str, title: Column | str, published: Column | str) -> Column:
@@ -89,9 +95,7 @@ def news_to_raw(responses: DataFrame, published: bool = False) -> DataFrame:
             _or_null("author").alias("author"),
             F.concat_ws("\n\n", *parts).alias("text"),
             _or_null("url").alias("url"),
-            F.create_map(
-                F.lit("query"), F.col("query"), F.lit("source_name"), F.col("source_name")
-            ).alias("meta"),
+            _meta(query=F.col("query"), source_name=F.col("source_name")).alias("meta"),
         )
         .select(
             *RAW_POST.fieldNames(),
