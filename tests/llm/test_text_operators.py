@@ -453,9 +453,27 @@ def test_bounds_and_best_fit():
         sizes = np.array([RANDOM.randint(1, 100) for _ in range(RANDOM.randint(1, 60))])
         bins, offsets = best_fit_decreasing(sizes, 100)
         assert (np.bincount(bins, sizes) <= 100).all()
-        assert max(1, -(-sizes.sum() // 100)) <= lower_bound(sizes, 100) <= bins.max() + 1
-    assert lower_bound(np.array([51] * 7), 100) == 7
-    assert lower_bound(np.array([34] * 9), 100) == 5
+        assert max(1, -(-sizes.sum() // 100)) <= lower_bound(np.bincount(sizes, minlength=101), 100) <= bins.max() + 1
+    assert lower_bound(np.bincount([51] * 7, minlength=101), 100) == 7
+    assert lower_bound(np.bincount([34] * 9, minlength=101), 100) == 5
+    assert lower_bound(np.zeros(101, int), 100) == 0
+
+
+def test_exchange_between_cells(spark):
+    docs = table(spark, [(i, say(RANDOM.randint(1, 900))) for i in range(600)])
+
+    def pack(cell_items):
+        got = pack_sequences(docs, tokenizer_path(), cell_items=cell_items).collect()
+        used = Counter()
+        for r in got:
+            used[r["sequence_id"]] += r["length"]
+        assert max(used.values()) <= 2048 and len({(r["doc_id"], r["piece"]) for r in got}) == len(got)
+        (bound,) = {r["least_sequences"] for r in got}
+        return len(used), bound
+
+    whole, bound = pack(10_000)
+    small, same = pack(30)
+    assert bound == same <= whole <= bound + 1 and small <= bound * 1.02 + 1
 
 
 @pytest.mark.parametrize(

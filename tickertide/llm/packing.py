@@ -16,6 +16,7 @@ from tickertide.llm.words import NON_SPACE, ragged, split_words
 
 CACHE_UNITS = 1_500_000
 CELL_ITEMS = 10_000
+IDLE = 2  # rounds of exchange that save no bin, before it ends
 #: White space outside of ASCII, next to which a text can't be cut without care.
 WIDE_SPACE = "[\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 
@@ -163,14 +164,14 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """The most of the bounds by dual feasible functions.
+def lower_bound(count: np.ndarray, capacity: int) -> int:
+    """The most of the bounds by dual feasible functions; ``count`` holds how many items there are
+    of each length from 0 to ``capacity``.
 
     The first family, for each a up to half the capacity: an item above ``capacity - a``
     counts as a whole bin, one below a as none, the rest as their length. The second, for
     k = 1 to 20: lengths are rounded to multiples of 1/k, exact multiples of 1/(k + 1) kept.
     """
-    count = np.bincount(lengths, minlength=capacity + 1)
     size = np.arange(capacity + 1)
     number, total = np.cumsum(count), np.cumsum(count * size)
     a = np.arange(capacity // 2 + 1)
@@ -184,25 +185,26 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-def _cell_packer(capacity: int, level: int, columns: list[str]):
+def _cell_packer(capacity: int, again: bool, columns: list[str]):
     def pack(cell: pa.Table) -> pa.Table:
-        lengths = cell["length"].to_numpy().astype(np.int64)
+        lengths, place = cell["length"].to_numpy().astype(np.int64), cell["place"].to_numpy()
         bins, offsets = best_fit_decreasing(lengths, capacity)
-        before = len(np.unique(cell["sequence_id"].to_numpy()))
-        ids = (np.int64(level) << np.int64(56)) + (cell["cell"][0].as_py() << 24) + bins
-        if level and len(np.unique(bins)) >= before:  # the exchange gained nothing
-            ids, offsets, bins = (cell[c].to_numpy() for c in ("sequence_id", "offset", "sequence_id"))
-        used = len(np.unique(bins))
-        _, at = np.unique(bins, return_inverse=True)
-        filled = np.bincount(at, weights=lengths)[at]
-        gap = used - lower_bound(lengths, capacity)
+        if again:
+            held = np.unique(cell["sequence_id"].to_numpy(), return_inverse=True)[1]
+            if bins.max() >= held.max():  # the exchange gained nothing
+                bins, offsets = held, cell["offset"].to_numpy()
+        # A bin is named by the least place of its pieces, so no two bins share a name.
+        name = np.full(bins.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(name, bins, place)
+        filled = np.bincount(bins, weights=lengths)[bins]
+        gap = len(name) - lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
         # A cell at its bound is certified, and only bins that are not half full go on, to share
         # with those of other cells; of a cell above its bound, all bins with room do.
-        goes_on = (filled < capacity - capacity // 64) & (gap > 0) | (filled * 2 < capacity)
+        goes_on = (filled < capacity - capacity // 64) & (gap > 0) | (filled * 8 < capacity * 7)
         out = {c: cell[c] for c in columns}
         out |= {
-            "cell": pa.array(np.full(len(lengths), cell["cell"][0].as_py(), np.int64)),
-            "sequence_id": pa.array(ids.astype(np.int64)),
+            "place": cell["place"],
+            "sequence_id": pa.array(name[bins]),
             "offset": pa.array(offsets.astype(np.int64)),
             "open": pa.array(goes_on),
         }
@@ -217,8 +219,6 @@ def pack_sequences(
     capacity: int = 2048,
     end_id: int = 0,
     cell_items: int = CELL_ITEMS,
-    rounds: int = 2,
-    merge: int = 8,
 ) -> DataFrame:
     """Pack the token sequences of ``docs`` (doc_id, text) into few bins of ``capacity`` tokens.
 
@@ -226,46 +226,56 @@ def pack_sequences(
     is cut, into full pieces after a first one that may be shorter. A full piece is a bin of
     its own. The other pieces are dealt at random into cells of about ``cell_items``, and each
     cell is packed best-fit decreasing. Lower bounds from dual feasible functions certify a
-    cell whose bins reach them. The bins with room (over 1/64) of all other cells, and bins not half full, are exchanged: ``merge``
-    cells pool theirs and are packed again, up to ``rounds`` times; a pool that doesn't save
-    a bin keeps what it had. Every input row is packed, also repeated ones; other columns are
-    ignored; an empty table gives no rows.
-
-    Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    cell whose bins reach them. The bins with room (over 1/64) of all other cells, and bins not half
+    full, are exchanged: dealt anew into cells of ``cell_items``, in which bins of many
+    cells meet, and packed again; a cell that doesn't save a bin keeps what it had. The exchange
+    ends when all bins together reach the bound of the whole table, or IDLE rounds save none, or a
+    single cell held all that is open. Every input row is packed, also repeated ones; other
+    columns are ignored; an empty table gives no rows.
+
+    Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset, and least_sequences, the
+    bound of the whole table: no packing has fewer sequences.
     """
     pieces = stage(
         token_pieces(docs, tokenizer_path, capacity, end_id).withColumn("place", F.monotonically_increasing_id()),
         "pack-pieces",
     )
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    full = pieces.where(F.col("length") == capacity).select(
-        *columns, (-F.col("place") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
-    )
-    items = pieces.where(F.col("length") < capacity)
-    cells = max(1, -(-items.count() // cell_items))
+    none = F.lit(0).cast("long")
+    whole = F.col("length") == capacity
+    full = pieces.where(whole).select(*columns, F.col("place").alias("sequence_id"), none.alias("offset"))
+    count = np.zeros(capacity + 1, np.int64)
+    for length, n in pieces.groupBy("length").count().collect():  # at most one row for each length
+        count[length] = n
+    bound, items = lower_bound(count, capacity), int(count[:capacity].sum())
     doc = docs.schema["doc_id"].dataType.simpleString()
     schema = (
         f"doc_id {doc}, piece int, start long, length long, ids_crc32 long, "
-        "cell long, sequence_id long, offset long, open boolean"
-    )
-    going = items.select(
-        *columns,
-        F.pmod(F.xxhash64("place"), F.lit(cells)).alias("cell"),
-        F.lit(0).cast("long").alias("sequence_id"),
-        F.lit(0).cast("long").alias("offset"),
+        "place long, sequence_id long, offset long, open boolean"
     )
-    done = [full]
-    for level in range(rounds + 1):
+    going = pieces.where(~whole).select(*columns, "place", F.col("place").alias("sequence_id"), none.alias("offset"))
+    done, closed, level, idle, before = [full], int(count[capacity]), 0, 0, None
+    while items:
+        cells = -(-items // cell_items)
+        # A bin moves as a whole; its first piece stands for it when bins are counted.
+        cell = F.pmod(F.xxhash64("sequence_id", F.lit(level)), F.lit(cells))
         packed = stage(
-            going.groupBy("cell").applyInArrow(_cell_packer(capacity, level, columns), schema), "pack-cells"
+            going.withColumn("cell", cell).groupBy("cell").applyInArrow(
+                _cell_packer(capacity, level > 0, columns), schema
+            ),
+            "pack-cells",
         )
-        if level == rounds or cells == 1:
+        shut, first = ~F.col("open"), F.col("offset") == 0
+        bins, closing, items = packed.agg(
+            F.count(F.when(first, 1)), F.count(F.when(first & shut, 1)), F.count(F.when(~shut, 1))
+        ).first()
+        idle = idle + 1 if bins == before else 0
+        if cells == 1 or closed + bins == bound or idle == IDLE:
             done.append(packed.select(*columns, "sequence_id", "offset"))
             break
-        done.append(packed.where("not open").select(*columns, "sequence_id", "offset"))
-        going = packed.where("open").withColumn("cell", F.floor(F.col("cell") / merge)).drop("open")
-        cells = -(-cells // merge)
+        done.append(packed.where(shut).select(*columns, "sequence_id", "offset"))
+        going, level, closed, before = packed.where(~shut).drop("open"), level + 1, closed + closing, bins - closing
     out = done[0]
     for more in done[1:]:
         out = out.union(more)
-    return out
+    return out.withColumn("least_sequences", F.lit(bound).cast("long"))
