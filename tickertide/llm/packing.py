@@ -16,6 +16,7 @@ from tickertide.llm.words import NON_SPACE, ragged, split_words
 
 CACHE_UNITS = 1_500_000
 CELL_ITEMS = 10_000
+POOL = 8  # cells of pieces in a cell of bins that are exchanged
 IDLE = 2  # rounds of exchange that save no bin, before it ends
 #: White space outside of ASCII, next to which a text can't be cut without care.
 WIDE_SPACE = "[\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
@@ -227,7 +228,7 @@ def pack_sequences(
     its own. The other pieces are dealt at random into cells of about ``cell_items``, and each
     cell is packed best-fit decreasing. Lower bounds from dual feasible functions certify a
     cell whose bins reach them. The bins with room (over 1/64) of all other cells, and bins not half
-    full, are exchanged: dealt anew into cells of ``cell_items``, in which bins of many
+    full, are exchanged: dealt anew into cells of POOL x ``cell_items``, in which bins of many
     cells meet, and packed again; a cell that doesn't save a bin keeps what it had. The exchange
     ends when all bins together reach the bound of the whole table, or IDLE rounds save none, or a
     single cell held all that is open. Every input row is packed, also repeated ones; other
@@ -256,7 +257,7 @@ def pack_sequences(
     going = pieces.where(~whole).select(*columns, "place", F.col("place").alias("sequence_id"), none.alias("offset"))
     done, closed, level, idle, before = [full], int(count[capacity]), 0, 0, None
     while items:
-        cells = -(-items // cell_items)
+        cells = -(-items // (cell_items * (POOL if level else 1)))
         # A bin moves as a whole; its first piece stands for it when bins are counted.
         cell = F.pmod(F.xxhash64("sequence_id", F.lit(level)), F.lit(cells))
         packed = stage(

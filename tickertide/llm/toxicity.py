@@ -10,13 +10,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tickertide.llm.words import NON_SPACE, gram_hashes, mix, ragged, split_words
+from tickertide.llm.words import NON_SPACE, gram_hashes, mix, ragged, slices, split_words
 
 LETTERS = 32  # 0 none, 1-26 a-z, 27-30 other letters, 31 the begin of a word
 PIECE = 24  # longer words are seen through overlapping pieces of so many letters
 REACH = 8  # letters that a subsequence may span
 DECAY = 0.6  # for each letter it skips
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 500_000
 CELLS = 500_000  # words x subsequences that are in memory at once
 
 _LETTER = np.zeros(256, np.int64)
@@ -313,11 +313,9 @@ def score_texts(docs: DataFrame, model: Model | None) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            for low in range(0, batch.num_rows, 2000):
-                part = batch.slice(low, 2000)
-                score = pa.array(_scores(model, part["text"]))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], score], ["doc_id", "score"])
+        for part in slices(batches):
+            score = pa.array(_scores(model, part["text"]))
+            yield pa.RecordBatch.from_arrays([part["doc_id"], score], ["doc_id", "score"])
 
     doc = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc}, score double")
@@ -328,10 +326,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Dat
     model = train_on_labels(docs, labels, per_class)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            for low in range(0, batch.num_rows, 2000):
-                part = batch.slice(low, 2000)
-                yield part.filter(pa.array(_scores(model, part["text"]) < 0.5))
+        for part in slices(batches):
+            yield part.filter(pa.array(_scores(model, part["text"]) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -158,7 +158,7 @@ def split_words(
     return Words(data, text, start, end, join(hashes, np.uint64), first, offsets)
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most so many rows, which bounds what the arrays of a part take."""
     for batch in batches:
         for low in range(0, batch.num_rows, rows):
