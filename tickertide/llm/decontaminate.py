@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tickertide.llm.tables import small, stage
-from tickertide.llm.words import ALNUM, as_signed, gram_hashes, split_words
+from tickertide.llm.words import ALNUM, as_signed, gram_hashes, slices, split_words
 
 FILTER_BITS = 24  # a bitmap of fixed size, whatever the benchmark
 BROADCAST_ROWS = 100_000  # of about 150 bytes each
@@ -76,7 +76,7 @@ def _rows(words, found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 def _benchmark_prints(benchmark: DataFrame, scheme: _Scheme) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in slices(batches):
             words = split_words(batch["text"], ALNUM)
             length = np.diff(words.first)
             at = scheme.chosen(words)
@@ -121,7 +121,7 @@ def _document_prints(docs: DataFrame, scheme: _Scheme, bits: np.ndarray, spans:
         return (bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in slices(batches):
             words = split_words(batch["text"], ALNUM)
             found = []
             for span in spans:
@@ -151,7 +151,7 @@ def _extend(pairs: DataFrame, scheme: _Scheme) -> DataFrame:
     """From fingerprints that meet to the words that all shared windows around them cover."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in slices(batches):
             n = batch.num_rows
             if not n:
                 continue
