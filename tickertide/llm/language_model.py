@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from tickertide.llm.words import NON_SPACE, mix, split_words
 
 CHUNK_TOKENS = 2_000_000
 PART_KEYS = 3_000_000
+RUN_TOKENS = 1 << 17  # tokens of a chunk whose estimates are held at once, up to the end of a text
 END = np.uint64(0x5851F42D4C957F2D)  # the hash of the token at the end of a text
 BEGIN = np.uint64(0x14057B7EF767814F)  # the context of its first token
 
@@ -38,6 +40,19 @@ def _unpack_sorted(packed: bytes) -> np.ndarray:
     return np.cumsum(_unpack(packed), dtype=np.uint64)
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in order, and the place of each one among them, in half the room of ``np.unique``."""
+    order = np.argsort(x)
+    ordered = x[order]
+    first = np.ones(len(x), bool)
+    first[1:] = ordered[1:] != ordered[:-1]
+    unique = ordered[first]
+    del ordered
+    place = np.empty(len(x), np.int32)
+    place[order] = np.cumsum(first, dtype=np.int32) - 1
+    return unique, place
+
+
 def _chunks(docs: DataFrame) -> DataFrame:
     """Texts as numbers of words: one row for about CHUNK_TOKENS tokens.
 
@@ -46,10 +61,9 @@ def _chunks(docs: DataFrame) -> DataFrame:
     """
 
     def emit(number, ids, held, lengths, hashes):
-        tokens = np.concatenate(hashes)
-        words, inverse, count = np.unique(tokens, return_inverse=True, return_counts=True)
-        order = np.argsort(-count, kind="stable")
-        rank = np.empty(len(order), np.int64)
+        words, inverse = _distinct(np.concatenate(hashes))
+        order = np.argsort(-np.bincount(inverse), kind="stable")
+        rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
         chunk = ((TaskContext.get().partitionId() if TaskContext.get() else 0) << 32) + number
         return pa.RecordBatch.from_arrays(
@@ -58,7 +72,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
                 pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(ids[0].type)),
                 pa.array([np.concatenate(held).tolist()], pa.list_(pa.bool_())),
                 pa.array([np.concatenate(lengths)], pa.list_(pa.int64())),
-                pa.array([len(tokens)], pa.int64()),
+                pa.array([len(inverse)], pa.int64()),
                 pa.array([_pack(words[order])], pa.binary()),
                 pa.array([_pack(rank[inverse])], pa.binary()),
             ],
@@ -96,27 +110,35 @@ class _Chunk:
     """The tokens of a chunk, and its distinct n-grams of each order in order of their keys."""
 
     def __init__(self, row: dict, order: int):
-        words, place = _unpack(row["words"]), _unpack(row["tokens"]).astype(np.int64)
-        lengths = np.array(row["lengths"], np.int64)
-        text = np.repeat(np.arange(len(lengths)), lengths)
-        self.text, self.lengths = text, lengths
-        self.learned = ~np.array(row["held"], bool)[text]
+        words, place = _unpack(row["words"]), _unpack(row["tokens"]).astype(np.int32)
+        self.lengths = lengths = np.array(row["lengths"], np.int64)
+        self.text = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        self.learned = ~np.repeat(np.array(row["held"], bool), lengths)
+        by_key = np.argsort(words)
+        rank = np.empty(len(words), np.int32)
+        rank[by_key] = np.arange(len(words))
+        self.keys, self.inverse = [words[by_key]], [rank[place]]
+        if order < 2:
+            return
         token = words[place]
-        within = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self.keys, self.inverse = [], []
-        key, context = token, token
-        for n in range(1, order + 1):
-            if n > 1:
-                earlier = np.full(len(token), BEGIN)
-                earlier[n - 1 :] = token[: len(token) - n + 1]
-                earlier[within < n - 1] = BEGIN
-                context = earlier if n == 2 else mix(context * np.uint64(3) + earlier)
-                key = mix(mix(context) + token * np.uint64(0x9E3779B97F4A7C15))
-            unique, inverse = np.unique(key, return_inverse=True)
+        within = np.arange(len(token), dtype=np.int32) - np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
+        del place
+        context = None
+        for n in range(2, order + 1):
+            earlier = np.full(len(token), BEGIN)
+            earlier[n - 1 :] = token[: len(token) - n + 1]
+            earlier[within < n - 1] = BEGIN
+            context = earlier if n == 2 else mix(context * np.uint64(3) + earlier)
+            key = mix(context)
+            key += token * np.uint64(0x9E3779B97F4A7C15)
+            if n == order:
+                del token, earlier, context
+            unique, inverse = _distinct(mix(key))
             self.keys.append(unique)
             self.inverse.append(inverse)
 
     def counts(self, n: int) -> np.ndarray:
+        """How often the training texts hold each n-gram of order n + 1."""
         return np.bincount(self.inverse[n][self.learned], minlength=len(self.keys[n]))
 
 
@@ -128,17 +150,15 @@ def _edges(keys: np.ndarray, parts: int) -> np.ndarray:
 
 def _partial_counts(chunks: DataFrame, order: int, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk = _Chunk(row, order)
-                out = []
-                for n, keys in enumerate(chunk.keys):
-                    counts, edges = chunk.counts(n), _edges(keys, parts)
-                    out += [
-                        (row["chunk"], n, p, _pack_sorted(keys[a:b]), _pack(counts[a:b]))
-                        for p, (a, b) in enumerate(zip(edges, edges[1:]))
-                        if b > a
-                    ]
+        for row, _ in _rows(batches):
+            chunk = _Chunk(row, order)
+            for n, keys in enumerate(chunk.keys):
+                counts, edges = chunk.counts(n), _edges(keys, parts)
+                out = [
+                    (row["chunk"], n, p, _pack_sorted(keys[a:b]), _pack(counts[a:b]))
+                    for p, (a, b) in enumerate(zip(edges, edges[1:]))
+                    if b > a
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
                     ["chunk", "order", "part", "keys", "counts"],
@@ -190,22 +210,48 @@ def _with_totals(chunks: DataFrame, totals: DataFrame, order: int) -> DataFrame:
     return chunks.groupBy("chunk").cogroup(slim.groupBy("chunk")).applyInArrow(attach, schema)
 
 
-class _Estimates:
-    """Per token: maximum-likelihood estimates of each order, and the bucket of its context."""
+class _Run(NamedTuple):
+    """Of whole texts of a chunk, per token: maximum-likelihood estimates of each order, and the bucket of the context."""
+
+    texts: slice
+    tokens: slice
+    unigram: np.ndarray
+    p: list[np.ndarray]
+    bucket: np.ndarray
+
+
+def _runs(lengths: np.ndarray) -> Iterator[tuple[slice, slice]]:
+    """Texts and their tokens, about RUN_TOKENS at a time; no text is cut."""
+    ends = np.cumsum(lengths)
+    low = at = 0
+    while low < len(lengths):
+        high = max(low + 1, int(np.searchsorted(ends, at + RUN_TOKENS, "right")))
+        yield slice(low, high), slice(at, int(ends[high - 1]))
+        low, at = high, int(ends[high - 1])
 
-    def __init__(self, row: dict, order: int, size: int, types: int, less: int):
-        self.chunk = _Chunk(row, order)
-        count = [_unpack(t).astype(np.int64)[i] for t, i in zip(row["totals"], self.chunk.inverse)]
-        self.unigram = count[0]
-        first = np.cumsum(self.chunk.lengths) - self.chunk.lengths
-        self.p = [np.full(len(count[0]), 1 / (types + 1)), np.maximum(count[0] - less, 0) / max(1, size - less)]
+
+def _estimates(row: dict, chunk: _Chunk, order: int, size: int, types: int, less: int) -> Iterator[_Run]:
+    totals = [_unpack(t).astype(np.int64) for t in row["totals"]]
+    for texts, tokens in _runs(chunk.lengths):
+        count = [t[i[tokens]] for t, i in zip(totals, chunk.inverse)]
+        lengths = chunk.lengths[texts]
+        first = np.cumsum(lengths) - lengths
+        p = [np.full(len(count[0]), 1 / (types + 1)), np.maximum(count[0] - less, 0) / max(1, size - less)]
         context = np.zeros(len(count[0]), np.int64)
         for n in range(1, order):
             context[1:] = count[n - 1][:-1]  # what ends one token earlier
             context[first] = row["begins"]
-            self.p.append(np.where(context > less, np.maximum(count[n] - less, 0) / np.maximum(context - less, 1), 0.0))
+            p.append(np.where(context > less, np.maximum(count[n] - less, 0) / np.maximum(context - less, 1), 0.0))
         seen = np.maximum(context - less, 0)
-        self.bucket = np.where(seen > 0, np.log2(np.maximum(seen, 1)).astype(np.int64) + 1, 0)
+        bucket = np.where(seen > 0, np.log2(np.maximum(seen, 1)).astype(np.int64) + 1, 0)
+        yield _Run(texts, tokens, count[0], p, bucket)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, pa.Schema]]:
+    """One row at a time, since a chunk is big, and the schema."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            yield batch.slice(at, 1).to_pylist()[0], batch.schema
 
 
 def _levels(p: np.ndarray) -> np.ndarray:
@@ -217,19 +263,21 @@ def _held_out_cells(joined: DataFrame, order: int, size: int, types: int) -> Dat
     """Counts of training tokens by bucket and estimates, each token deleted from the counts."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            for row in batch.to_pylist():
-                e = _Estimates(row, order, size, types, 1)
-                use = e.chunk.learned
+        for row, _ in _rows(batches):
+            chunk, found = _Chunk(row, order), []
+            for e in _estimates(row, chunk, order, size, types, 1):
+                use = chunk.learned[e.tokens]
                 cell = e.bucket[use]
                 for p in e.p[1:]:
                     cell = cell * 401 + _levels(p[use])
                 cells, at = np.unique(cell, return_inverse=True)
-                sums = [np.bincount(at, p[use], len(cells)) for p in e.p[1:]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells), pa.array(np.bincount(at, minlength=len(cells))), pa.array(list(np.stack(sums, 1)), pa.list_(pa.float64()))],
-                    ["cell", "n", "sums"],
-                )
+                found.append((cells, [np.bincount(at, minlength=len(cells))] + [np.bincount(at, p[use], len(cells)) for p in e.p[1:]]))
+            cells, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+            n, *sums = (np.bincount(at, np.concatenate(x), len(cells)) for x in zip(*(x for _, x in found)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cells), pa.array(n.astype(np.int64)), pa.array(list(np.stack(sums, 1)), pa.list_(pa.float64()))],
+                ["cell", "n", "sums"],
+            )
 
     parts = joined.mapInArrow(run, "cell long, n long, sums array<double>")
     return parts.groupBy("cell").agg(F.sum("n").alias("n"), *(F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(order)))
@@ -261,18 +309,19 @@ def _mixture(cells: pa.Table, order: int, types: int, rounds: int = 60) -> np.nd
 
 def _scored(joined: DataFrame, order: int, size: int, types: int, weights: np.ndarray, doc: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            for row in batch.to_pylist():
-                e = _Estimates(row, order, size, types, 0)
+        for row, kinds in _rows(batches):
+            chunk = _Chunk(row, order)
+            for e in _estimates(row, chunk, order, size, types, 0):
                 p = sum(weights[e.bucket, i] * e.p[i] for i in range(order + 1))
-                texts = len(e.chunk.lengths)
+                text = chunk.text[e.tokens] - e.texts.start
+                texts = e.texts.stop - e.texts.start
                 base = np.log10((e.unigram + 1) / (size + types + 1))
-                per_text = lambda x: np.bincount(e.chunk.text, x, texts)
+                per_text = lambda x: np.bincount(text, x, texts)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(row["ids"], batch.schema.field("ids").type.value_type),
-                        pa.array(row["held"], pa.bool_()),
-                        pa.array(e.chunk.lengths),
+                        pa.array(row["ids"][e.texts], kinds.field("ids").type.value_type),
+                        pa.array(row["held"][e.texts], pa.bool_()),
+                        pa.array(chunk.lengths[e.texts]),
                         pa.array(per_text(e.unigram > 0).astype(np.int64)),
                         pa.array(np.full(texts, size, np.int64)),
                         pa.array(per_text(base)),
