@@ -12,15 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tickertide.llm.tables import stage
-from tickertide.llm.words import as_signed, byte_class, mix, ragged, split_words
+from tickertide.llm.words import as_signed, byte_class, mix, ragged, slices, split_words
 
 LEAST, TOP, CONTAINED = 30, 2000, 80
 LONGEST = 4
 HEAD = 1 << 19  # grams of a length that are ranked and broadcast, 12 bytes each
 TILE_BITS, GRID_BITS = 9, 3  # dense tiles of 512 x 512 pairs, among the first 8 x 8
 DENSE_SHARE = 16  # a tile turns dense when a chunk has a pair for every so many cells
-CHUNK, SPARSE = 1 << 21, 1 << 21  # pairs counted at once, distinct sparse pairs kept
-ROWS = 2_000
+CHUNK, SPARSE = 1 << 20, 1 << 20  # pairs counted at once, distinct sparse pairs kept
+ROWS, CODED_ROWS = 2_000, 500  # texts whose words are counted at once, or coded and paired
+OUT_ROWS = 1 << 16  # counts sent at once
 TAIL = 1 << 62  # ids from here on are hashes
 FILTER_BITS = 24  # a bitmap of fixed size, however many grams there are
 NONE = -1
@@ -124,14 +125,8 @@ def _words(part: pa.RecordBatch):
     return words, mix(words.hash ^ _lang_codes(part["lang"])[words.text])
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for low in range(0, batch.num_rows, ROWS):
-            yield batch.slice(low, ROWS)
-
-
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in _parts(batches):
+    for part in slices(batches, ROWS):
         words, keys = _words(part)
         unique, first, n = np.unique(keys, return_index=True, return_counts=True)
         start, size = words.start[first], words.end[first] - words.start[first]
@@ -149,7 +144,7 @@ def _encode(ranks):
     """The word ids of each text; NONE for words that can't be frequent and between pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches):
+        for part in slices(batches, CODED_ROWS):
             words, keys = _words(part)
             ids = ranks.value.ids(keys)
             breaks = np.concatenate(([0], np.cumsum(_BREAKS[words.data[words.offset[0] : words.offset[-1]]])))
@@ -176,7 +171,7 @@ def _symbols(batches: Iterator[pa.RecordBatch], known) -> Iterator[tuple[np.ndar
     ranks = [k.value for k in known]
     wide = "<i8" if ranks[0].beyond is not None else "<i4"
     gap = np.full(1, NONE, wide).tobytes()
-    for part in _parts(batches):
+    for part in slices(batches, CODED_ROWS):
         words = np.frombuffer(gap.join([*part["ids"].to_pylist(), gap * len(ranks)]), wide).astype(np.int64)
         grams = words
         for length, rank in enumerate(ranks):
@@ -191,10 +186,24 @@ def _symbols(batches: Iterator[pa.RecordBatch], known) -> Iterator[tuple[np.ndar
         yield grams[:-1][ok], words[len(ranks) :][ok]
 
 
+def _gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of several slices of texts at once, since a tile is crowded by the pairs of one call."""
+    left, right, size = [], [], 0
+    for l, r in pairs:
+        left.append(l)
+        right.append(r)
+        size += len(l)
+        if size >= CHUNK // 2:
+            yield np.concatenate(left), np.concatenate(right)
+            left, right, size = [], [], 0
+    if size:
+        yield np.concatenate(left), np.concatenate(right)
+
+
 def _count_pairs(known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tiles = _Tiles()
-        for left, right in _symbols(batches, known):
+        for left, right in _gathered(_symbols(batches, known)):
             for low in range(0, len(left), CHUNK):
                 yield from tiles.add(left[low : low + CHUNK], right[low : low + CHUNK])
         yield from tiles.close()
@@ -232,30 +241,33 @@ class _Tiles:
         if self.rows >= SPARSE:
             self._merge()
             if self.rows >= SPARSE // 2:
-                yield self._flush()
+                yield from self._flush()
 
     def _merge(self) -> None:
-        left, right, n = (np.concatenate(c) for c in zip(self.sparse, *self.waiting))
+        columns = [list(c) for c in zip(self.sparse, *self.waiting)]
+        self.sparse, self.waiting = (), []
+        n, right, left = (np.concatenate(columns.pop()) for _ in range(3))  # each column goes once it is joined
         order = np.lexsort((right, left))
         left, right, n = left[order], right[order], n[order]
         first = np.flatnonzero(np.concatenate(([True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])))[: len(left)])
         self.sparse = (left[first], right[first], np.add.reduceat(n, first) if len(first) else n)
-        self.waiting, self.rows = [], len(first)
+        self.rows = len(first)
 
-    def _flush(self) -> pa.RecordBatch:
+    def _flush(self) -> Iterator[pa.RecordBatch]:
         batch = pa.RecordBatch.from_arrays([pa.array(c) for c in self.sparse], names=["left", "right", "n"])
         self.sparse, self.rows = (np.zeros(0, np.int64),) * 3, 0
-        return batch
+        for low in range(0, max(1, batch.num_rows), OUT_ROWS):
+            yield batch.slice(low, OUT_ROWS)
 
     def close(self) -> Iterator[pa.RecordBatch]:
         self._merge()
-        yield self._flush()
+        yield from self._flush()
         for number, counts in self.dense.items():
             cell = np.flatnonzero(counts)
             left = (number >> GRID_BITS << TILE_BITS) + (cell >> TILE_BITS)
             right = ((number & ((1 << GRID_BITS) - 1)) << TILE_BITS) + (cell & ((1 << TILE_BITS) - 1))
             self.sparse = (left, right, counts[cell])
-            yield self._flush()
+            yield from self._flush()
 
 
 def _add_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
