@@ -15,7 +15,7 @@ from tickertide.plans.backfill import enrich_backlog
 from tickertide.schema import RAW_POST
 from tickertide.sources.tables import read_rollup
 from tickertide.sources.topics import read_enriched_posts, read_raw_posts, write_raw_posts
-from tickertide.streaming.dedup import dedup_stream_event_time
+from tickertide.streaming.dedup import STATE_GROUPS, STATE_SLOTS, dedup_stream_event_time
 from tickertide.streaming.enrich import kept_posts, stage_arrivals, start_arrivals, start_enrich
 from tickertide.streaming.rollup import start_rollup
 
@@ -181,6 +181,21 @@ def test_lateness_frees_the_state(spark, tmp_path):
     assert sizes[-1] <= 2 * sizes[0]
 
 
+def test_many_keys_share_their_state(spark, tmp_path):
+    """One entry of state for each slot and cell, not for each key."""
+    schema = spark.createDataFrame([], KEYED).schema
+    rows = spark.range(20_000).select(
+        F.concat(F.lit("p"), "id").alias("post_id"),
+        F.concat(F.lit("k"), "id").alias("dedup_key"),
+        F.lit(DAY).cast("timestamp").alias("created_at"),
+    )
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    kept, query = drain(spark, tmp_path / "in", schema, tmp_path / "out")
+    assert kept.count() == 20_000
+    state = query.lastProgress["stateOperators"][0]
+    assert state["numRowsTotal"] <= STATE_GROUPS * STATE_SLOTS  # 20 000 before
+
+
 @pytest.mark.parametrize("seed", [1])
 def test_rows_in_order_equal_the_batch_rule(spark, tmp_path, seed):
     schema = spark.createDataFrame([], KEYED).schema

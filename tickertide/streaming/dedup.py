@@ -1,5 +1,6 @@
 """Dedup of a stream of raw posts."""
 
+import json
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -11,6 +12,9 @@ from tickertide.operators.dedup import TTL_SECONDS
 
 # A cell of state spans this many times to live.
 CELL_TTLS = 64
+# Keys are handled in so many groups, and stored in so many slots of a group: neither the cost of a
+# group nor that of a call to the state store is paid for each key.
+STATE_GROUPS, STATE_SLOTS = 1024, 4
 
 
 def _thin_copies(df: DataFrame, key: str, ts: str | None = None) -> DataFrame:
@@ -67,13 +71,14 @@ def dedup_stream_event_time(
     rows that arrive in order are cut into micro-batches changes nothing. No row is too
     late: one that arrives after later ones is held against the instants kept before it.
 
-    The state of a key is a map from cells of time to the instants kept in them. A row reads its
-    own cell and, near its start, the one before, however much the key has kept. Without
+    Keys share ``STATE_GROUPS`` groups of ``STATE_SLOTS`` slots; the state of a group is a map from
+    slots and cells of time to the instants that the keys of the slot kept in them. A row reads its
+    own cell and, near its start, the one before, whatever was kept in others. Without
     ``lateness_seconds`` nothing is forgotten (eight bytes a kept row); with it, rows that far
     behind the latest of all are dropped, and a timer removes each cell that none can reach any more.
     Rows without a key or time are kept.
 
-    All columns pass through the task of their key: where texts are long, send keys, times and
+    All columns pass through the task of their group: where texts are long, send keys, times and
     ids alone and join the rest back, as ``start_enrich`` does. Needs the RocksDB state provider
     in the session (``ROCKSDB_PROVIDER``).
     """
@@ -82,61 +87,83 @@ def dedup_stream_event_time(
     ttl = max(1, int(ttl_seconds * 1_000_000))
     late = None if lateness_seconds is None else int(lateness_seconds * 1_000_000)
     width = ttl * CELL_TTLS
-    columns, order = df.columns, ["_us", *[i for i in ids if i in df.columns]]
-    names = [*columns, "_us", "_ruled", "_group"]
+    columns, order = df.columns, ["_slot", "_key", "_us", *[i for i in ids if i in df.columns]]
+    names = [*columns, "_us", "_key", "_slot", "_group"]
 
     class KeptInstants(StatefulProcessor):
         def init(self, handle) -> None:
             self._handle = handle
             self._cells = handle.getMapState(
                 "cells",
-                T.StructType([T.StructField("cell", T.LongType())]),
-                T.StructType([T.StructField("kept", T.ArrayType(T.LongType()))]),
+                T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("cell", T.LongType())]),
+                T.StructType([T.StructField("kept", T.StringType())]),  # JSON: instants by key
             )
 
-        def _cell(self, number: int) -> list[int]:
+        def _cell(self, number: int) -> dict[str, list[int]]:
+            """The instants by key of one cell of the slot at hand."""
             if number not in self._open:
-                held = self._cells.getValue((number,)) if self._cells.containsKey((number,)) else None
-                self._open[number] = list(held[0]) if held else []
+                held = self._cells.getValue((self._slot, number))
+                self._open[number] = json.loads(held[0]) if held else {}
+                if not held:
+                    self._new.add(number)
             return self._open[number]
 
-        def _keep(self, us: int) -> bool:
+        def _keep(self, key: str, us: int) -> bool:
             number = us // width
             cell = self._cell(number)
-            at = bisect_right(cell, us)
+            kept = cell.get(key, [])
+            at = bisect_right(kept, us)
             if at:
-                last = cell[at - 1]
+                last = kept[at - 1]
             else:
-                before = self._cell(number - 1) if us - number * width <= ttl else []
+                before = self._cell(number - 1).get(key) if us - number * width <= ttl else None
                 last = before[-1] if before else None
             if last is not None and us - last <= ttl:
                 return False
-            cell.insert(at, us)
+            kept.insert(at, us)
+            cell[key] = kept
             self._changed.add(number)
             return True
 
+        def _begin(self, slot: int | None) -> None:
+            self._slot, self._open, self._changed, self._new = slot, {}, set(), set()
+
+        def _end(self) -> None:
+            for number in self._changed:
+                self._cells.updateValue((self._slot, number), (json.dumps(self._open[number], separators=(",", ":")),))
+            self._opened |= self._changed & self._new
+
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
             frame = pd.concat(rows)
             frame.columns = names  # names that Python can't use as attributes arrive changed
-            if not frame["_ruled"].iloc[0]:
-                yield frame[columns]
+            free = frame["_key"].isna()
+            if free.any():
+                yield frame.loc[free, columns]
+                frame = frame[~free]
+            if frame.empty:
                 return
-            self._open, self._changed = {}, set()
             frame = frame.sort_values(order, kind="stable")
-            chosen = [self._keep(int(us)) for us in frame["_us"].tolist()]  # floats beside nulls
-            for number in self._changed:
-                if late is not None and not self._cells.containsKey((number,)):
-                    # Past this moment the watermark is beyond the cell and a time to live after it.
-                    self._handle.registerTimer(((number + 1) * width + ttl) // 1000 + 1)
-                self._cells.updateValue((number,), (self._open[number],))
+            chosen, self._opened = [], set()
+            self._begin(None)
+            for slot, name, us in zip(*(frame[c].tolist() for c in ("_slot", "_key", "_us"))):
+                if slot != self._slot:
+                    self._end()
+                    self._begin(slot)
+                chosen.append(self._keep(name, us))
+            self._end()
+            if late is not None and self._opened:
+                # Past this moment the watermark is beyond the cell and a time to live after it.
+                ends = {((number + 1) * width + ttl) // 1000 + 1 for number in self._opened}
+                for end in ends.difference(self._handle.listTimers()):
+                    self._handle.registerTimer(end)
             yield frame.loc[chosen, columns]
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            number = ((expiredTimerInfo.getExpiryTimeInMs() - 1) * 1000 - ttl) // width - 1
-            for cell in (number, number + 1):  # the timer is cut to milliseconds
-                over = ((cell + 1) * width + ttl) // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs()
-                if over and self._cells.containsKey((cell,)):
-                    self._cells.removeKey((cell,))
+            # One timer for each cell of a group; with a lateness, few cells are live.
+            now = expiredTimerInfo.getExpiryTimeInMs()
+            over = [(slot, cell) for slot, cell in self._cells.keys() if ((cell + 1) * width + ttl) // 1000 + 1 <= now]
+            for entry in over:
+                self._cells.removeKey(entry)
             yield pd.DataFrame(columns=columns)
 
         def close(self) -> None:
@@ -145,11 +172,14 @@ def dedup_stream_event_time(
     if late is not None:
         df = df.withWatermark(ts, f"{late // 1000} milliseconds")
     ruled = F.col(key).isNotNull() & F.col(ts).isNotNull()
-    keyed = df.withColumn("_us", F.unix_micros(ts)).withColumn("_ruled", ruled)
-    # Rows that the rule leaves alone are spread by chance.
-    spread = F.when(ruled, F.concat(F.lit("k"), key)).otherwise(F.hash(*[i for i in ids if i in columns]).cast("string"))
+    name = F.when(ruled, F.col(key).cast("string"))
+    # Rows that the rule leaves alone are spread by chance. An absent time must not turn the others into floats.
+    spread = F.when(ruled, F.hash(F.lit("k"), name)).otherwise(F.hash(F.lit(""), *[i for i in ids if i in columns]))
+    place = F.pmod(spread, F.lit(STATE_GROUPS * STATE_SLOTS))
     return (
-        keyed.withColumn("_group", spread)
+        df.withColumns({"_us": F.coalesce(F.unix_micros(ts), F.lit(0)), "_key": name})
+        .withColumn("_slot", (place / STATE_GROUPS).cast("int"))
+        .withColumn("_group", F.pmod(place, F.lit(STATE_GROUPS)))
         .groupBy("_group")
         .transformWithStateInPandas(
             statefulProcessor=KeptInstants(),
