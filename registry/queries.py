@@ -350,7 +350,8 @@ def q_enriched_wire(spark, sf):
 def _listing(spark, sf, symbol_col: str) -> tuple[DataFrame, str]:
     """Listing lines made from the tickers of the documents."""
     header = f"{symbol_col}|Test Issue|ETF"
-    words = fx.posts(spark, sf).select("doc_id", F.explode(ticker_candidates("text")).alias("s"))
+    # Wrapped, so that no filter is inferred from the explode: it would find the tickers again.
+    words = fx.posts(spark, sf).select("doc_id", F.explode(F.array_compact(ticker_candidates("text"))).alias("s"))
     if symbol_col == "Symbol":
         words = words.withColumn("s", F.concat(F.lit(" "), F.lower("s")))
     else:
@@ -364,8 +365,8 @@ def _listing(spark, sf, symbol_col: str) -> tuple[DataFrame, str]:
 
 
 def q_build_symbols(spark, sf):
-    first = parse_symbol_lines(*_listing(spark, sf, "Symbol"), "Symbol")
-    other = parse_symbol_lines(*_listing(spark, sf, "ACT Symbol"), "ACT Symbol")
+    first = parse_symbol_lines(*_listing(spark, sf, "Symbol"), "Symbol", unique=True)
+    other = parse_symbol_lines(*_listing(spark, sf, "ACT Symbol"), "ACT Symbol", unique=True)
     return build_symbols(first, other)
 
 

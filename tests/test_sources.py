@@ -23,7 +23,7 @@ from tickertide.operators.validate import validate_raw
 from tickertide.plans.load import load_news, read_cursors
 from tickertide.schema import CURSORS, ENRICHED_POST, RAW_POST
 from tickertide.sources.payloads import news_to_raw, read_news_responses, read_social_items, social_to_raw
-from tickertide.sources.symbols import build_symbols, read_allowlist, read_symbol_directory, write_symbols
+from tickertide.sources.symbols import build_symbols, parse_symbol_lines, read_allowlist, read_symbol_directory, write_symbols
 from tickertide.sources.topics import from_wire, read_enriched_posts, read_raw_posts, to_wire, write_enriched_posts, write_raw_posts
 
 DAY = datetime(2024, 1, 1)
@@ -90,6 +90,23 @@ def test_malformed_news_times_reach_the_quarantine_once(spark, tmp_path):
     assert {r.stream_id: r.cursor for r in read_cursors(spark, cursors).collect()}["news:default"] == "2024-01-01T01:00:00Z"
 
 
+def test_equal_listing_lines_are_parsed_once(spark):
+    lines = spark.createDataFrame([(x,) for x in ["AA|N|N", "AA|N|N", "AA|N|Y", "BB|N|N"] * 3], "value string")
+    header = "Symbol|Test Issue|ETF"
+    parsed = parse_symbol_lines(lines, header, "Symbol", unique=True)
+    assert sorted(r.symbol for r in parsed.collect()) == ["AA", "BB"]
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("split(") < plan.index("Aggregate")  # above it: on distinct lines
+    assert parse_symbol_lines(lines, header, "Symbol").count() == 9
+
+
+def test_symbols_are_looked_for_once_in_a_text(spark):
+    from registry.queries import q_build_symbols
+
+    plan = q_build_symbols(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2  # one for each listing
+
+
 def test_symbols(spark, tmp_path):
     nasdaq = tmp_path / "nasdaq.txt"
     nasdaq.write_text(

@@ -12,13 +12,17 @@ FOOTER = "File Creation Time"
 
 
 def parse_symbol_lines(
-    lines: DataFrame, header: str, symbol_col: str, include_etfs: bool = False
+    lines: DataFrame, header: str, symbol_col: str, include_etfs: bool = False, unique: bool = False
 ) -> DataFrame:
     """Pipe-delimited listing lines (column ``value``) to one column of clean symbols.
 
     Lines of another width, the footer, test issues and (by default) ETFs are
-    left out; a listing without those columns counts as neither.
+    left out; a listing without those columns counts as neither. ``unique`` parses equal
+    lines once and gives their symbol once: right for a set, and cheap where lines repeat.
     """
+    if unique:
+        # The count keeps the filters below from being pushed to where lines still repeat.
+        lines = lines.groupBy("value").count().select(F.when(F.col("count") > 0, F.col("value")).alias("value"))
     names = header.split("|")
     places = {name: i for i, name in reversed(list(enumerate(names)))}
     line = strip("value")
