@@ -130,3 +130,27 @@ def test_backfill(spark):
     assert 0 < done.count() < raw.count()
     doubled = done.unionByName(done)
     assert rebuild_rollup(doubled).agg(F.sum("mention_count")).first()[0] == done.agg(F.sum(F.size("tickers"))).first()[0]
+
+
+def test_rollup_of_written_authors_is_the_rollup(spark, at):
+    """Null times, authors, weights and emotions included; no row carries an author beside the measures."""
+    rows = [
+        {"created_at": at("09:00"), "author": "ann", "tickers": ["AA", "BB"]},
+        {"created_at": at("09:01"), "author": "ann", "emotions": {"joy": 0.25, "anger": None}},
+        {"created_at": at("09:02"), "author": None, "emotions": None, "source": "news"},
+        {"created_at": at("09:07"), "author": "", "emotions": {}, "source_weight": None, "stance_label": "bearish"},
+        {"created_at": at("09:11"), "author": "bob", "source_weight": None, "stance_label": None},
+        {"created_at": None, "author": "ann"},
+        {"created_at": None, "author": "bob", "tickers": ["AA", None]},
+        {"created_at": at("09:30"), "author": "eve", "tickers": []},
+    ]
+    posts = enriched(spark, rows)
+    authors = mention_authors(posts)
+    split = rollup_5m(posts, new_authors=authors)
+    assert split.schema.simpleString() == rollup_5m(posts).schema.simpleString()
+    assert same_rows(comparable(split), comparable(rollup_5m(posts)))
+    known = mention_authors(posts.where("post_id = 'p0'"))
+    fresh = authors.join(known, known.columns, "left_anti")
+    assert same_rows(comparable(rollup_5m(posts, new_authors=fresh)), comparable(rollup_5m(posts, known_authors=known)))
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    assert "inline" not in plan

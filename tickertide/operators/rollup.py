@@ -86,14 +86,23 @@ _EMOTION_MAP = f"""map_from_entries(sort_array(collect_list(
 
 
 def rollup_5m(
-    posts: DataFrame, known_authors: DataFrame | None = None, windowed: bool = False
+    posts: DataFrame,
+    known_authors: DataFrame | None = None,
+    windowed: bool = False,
+    new_authors: DataFrame | None = None,
 ) -> DataFrame:
     """Roll enriched posts up by (bucket, ticker).
 
     ``known_authors`` (bucket_start, ticker, author_key) are not counted again,
     which makes ``unique_authors`` additive over successive calls.  ``windowed``
     groups by Spark's event-time window, as a watermarked stream needs.
+
+    ``new_authors`` are the distinct authors to count, where a caller has written them already
+    (``mention_authors`` of these posts, without the known ones). The posts are read twice then, and no row
+    carries an author beside the measures.
     """
+    if new_authors is not None:
+        return _with_authors(posts, new_authors)
     keys = ["bucket" if windowed else "bucket_start", "ticker"]
     bucket = F.window("created_at", BUCKET) if windowed else floor_5m("created_at")
     # Both are computed once per post, before it turns into mentions.
@@ -116,6 +125,30 @@ def rollup_5m(
     return rolled.select(*ROLLUP.fieldNames())
 
 
+def _with_authors(posts: DataFrame, authors: DataFrame) -> DataFrame:
+    """The rollup of stored posts: measures, emotions and authors are summed apart, then put together.
+
+    The posts are read for the measures and for the emotions; no row is made for a fact before it is summed.
+    """
+    keys = ["bucket_start", "ticker"]
+    mentions = explode_mentions(posts.withColumn("bucket_start", floor_5m("created_at")), "bucket_start")
+    measures = mentions.groupBy(*keys).agg(*[F.expr(f"sum({sql}) AS {name}") for name, sql in _PER_MENTION.items()])
+    emotions = mentions.select(*keys, F.explode("emotions").alias("label", "amount")).groupBy(*keys, "label")
+    emotions = emotions.agg(F.sum(F.coalesce("amount", F.lit(0.0))).alias("amount"))
+    none = [F.lit(0.0 if name in _SUMS else 0).alias(name) for name in MEASURES]
+    counts = authors.where("author_key IS NOT NULL").groupBy(*keys).agg(F.count("*").alias("unique_authors"))
+    facts = (
+        measures.unionByName(
+            emotions.select(*keys, F.concat(F.lit(_EMOTION), "label").alias("label"), "amount", *none),
+            allowMissingColumns=True,
+        )
+        .unionByName(counts, allowMissingColumns=True)
+        .groupBy(*keys)
+        .agg(*_sum_exprs(MEASURES), F.coalesce(F.sum("unique_authors"), F.lit(0)).alias("unique_authors"), F.expr(_EMOTION_MAP))
+    )
+    return facts.where("mention_count > 0").select(*ROLLUP.fieldNames())
+
+
 def mention_authors(posts: DataFrame) -> DataFrame:
     """The distinct (bucket_start, ticker, author_key) of the posts."""
     return (

@@ -174,6 +174,12 @@ def read_table(
     return rows if before is None else _before(rows, before)
 
 
+def read_batch(spark: SparkSession, root: str, table: str, run: str, batch_id: int) -> DataFrame:
+    """What ``write_batch`` has just written, marked or not."""
+    folder = f"{root}/{table}/run={run}/batch_id={batch_id}"
+    return _read_or_empty(spark, T.StructType(_SCHEMAS[table].fields), folder)
+
+
 def _before(rows: DataFrame, before: tuple[str, int]) -> DataFrame:
     run, batch_id = before
     return rows.filter((F.col("run") != run) | (F.col("batch_id") < batch_id))

@@ -23,6 +23,7 @@ from tickertide.sources.tables import (
     commit_batch,
     committed,
     drop_merged_keys,
+    read_batch,
     read_table,
     stored_keys,
     stored_runs,
@@ -96,11 +97,11 @@ def persist_and_roll(
                 known = read_table(spark, root, AUTHOR_TABLE, before)
                 known = _same_days(known, mentioned, "created_at")
                 keys = ["bucket_start", "ticker", "author_key"]
-                authors = mention_authors(mentioned)
-                # Only the authors of this batch that are stored already.
-                known = known.select(*keys).join(authors, keys, "left_semi").distinct()
-                write_batch(authors.join(known, keys, "left_anti"), root, AUTHOR_TABLE, name, batch_id)
-                write_batch(rollup_5m(mentioned, known_authors=known), root, ROLLUP_TABLE, name, batch_id)
+                authors = mention_authors(mentioned).join(known.select(*keys), keys, "left_anti")
+                write_batch(authors, root, AUTHOR_TABLE, name, batch_id)
+                # The new authors are found once: the rollup counts those just written.
+                written = read_batch(spark, root, AUTHOR_TABLE, name, batch_id)
+                write_batch(rollup_5m(mentioned, new_authors=written), root, ROLLUP_TABLE, name, batch_id)
                 commit_batch(spark, root, name, batch_id)
                 drop_merged_keys(spark, root, name, batch_id)
             finally:
