@@ -15,7 +15,7 @@ from tickertide.operators.rollup import rollup_5m
 from tickertide.operators.scoring import ScorerFactory, enrich, score_posts
 from tickertide.operators.validate import has_ticker, validate_raw
 from tickertide.schema import ROLLUP
-from tickertide.sources.tables import ENRICHED_TABLE, RAW_TABLE, RECOMPUTED_TABLE, read_table
+from tickertide.sources.tables import ENRICHED_TABLE, POST_KEYS, RAW_TABLE, RECOMPUTED_TABLE, read_table
 
 HOUR_MICROS = 3_600_000_000
 
@@ -41,15 +41,26 @@ def enrich_backlog(
 
 def rebuild_rollup(enriched: DataFrame) -> DataFrame:
     """The rollup of enriched posts, each post counted once."""
-    return rollup_5m(enriched.dropDuplicates(["source", "post_id"]))
+    return rollup_5m(_one_each(enriched))
+
+
+def _one_each(posts: DataFrame) -> DataFrame:
+    """One row of each post. The rows are sorted by key; a hash in front settles nearly all comparisons."""
+    return posts.withColumn("_hash", F.xxhash64(*POST_KEYS)).dropDuplicates(["_hash", *POST_KEYS])
+
+
+def _with_author(posts: DataFrame, raw: DataFrame) -> DataFrame:
+    """Stored posts with the author that the raw table holds."""
+    keys = ["_hash", *POST_KEYS]
+    authors = _one_each(raw.select(*POST_KEYS, "author"))
+    hashed = posts.drop("author").withColumn("_hash", F.xxhash64(*POST_KEYS))
+    return hashed.join(authors, keys, "left")
 
 
 def rebuild_from_tables(spark: SparkSession, root: str) -> DataFrame:
     """The rollup from the stored posts alone; the author of a post is in the raw table."""
-    keys = ["source", "post_id"]
-    authors = read_table(spark, root, RAW_TABLE).select(*keys, "author")
-    posts = read_table(spark, root, ENRICHED_TABLE).drop("author")
-    return rebuild_rollup(posts.join(authors.dropDuplicates(keys), keys, "left"))
+    posts = read_table(spark, root, ENRICHED_TABLE)
+    return rebuild_rollup(_with_author(posts, read_table(spark, root, RAW_TABLE)))
 
 
 def touched_hours(posts: DataFrame) -> list[datetime]:
@@ -71,10 +82,8 @@ def recompute_touched(spark: SparkSession, root: str, hours: list[datetime]) ->
         return
     within = _in_hours("created_at", hours)
     days = F.col("day").isin(sorted({h.date() for h in hours}))
-    keys = ["source", "post_id"]
-    authors = read_table(spark, root, RAW_TABLE).where(days & within).select(*keys, "author")
-    posts = read_table(spark, root, ENRICHED_TABLE).where(days & within)
-    rows = rebuild_rollup(posts.join(authors.dropDuplicates(keys), keys, "left"))
+    raw, posts = (read_table(spark, root, t).where(days & within) for t in (RAW_TABLE, ENRICHED_TABLE))
+    rows = rebuild_rollup(_with_author(posts, raw))
     parted = rows.withColumns({"day": utc_date("bucket_start"), "hour": _hour("bucket_start")})
     (
         parted.hint("rebalance", "day", "hour")
