@@ -491,3 +491,13 @@ def test_exchange_between_cells(spark):
 )
 def test_empty_tables(spark, operator):
     assert operator(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_prefix_shingles_are_dealt_once(spark):
+    """The lists of shingles are summed where their rows lie: one exchange of all rows, used twice."""
+    rows = [(1, 10, [5, 6, 7]), (2, 10, [5, 6, 8]), (3, 10, [6, 9]), (4, 9, [10])]
+    groups = spark.createDataFrame(rows, "gid long, n long, prefix array<long>")
+    lists = jaccard._token_lists(groups)
+    assert sorted((r.token, r.gid, r.pos) for r in lists.collect()) == [(5, 1, 0), (5, 2, 0), (6, 1, 1), (6, 2, 1), (6, 3, 0)]
+    plan = lists._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan

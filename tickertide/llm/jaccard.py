@@ -298,6 +298,28 @@ def _across(lists: DataFrame, profiles: DataFrame, percent: int, everything: boo
     return dealt.mapInArrow(run, "u long, v long, score double, open long")
 
 
+def _token_lists(groups: DataFrame) -> DataFrame:
+    """The groups of each prefix shingle that several have, beside the pivot of its list."""
+    # Dealt by token once: the lists are summed where their rows lie, and joined back without another exchange.
+    tokens = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
+    # The join would filter its side alone otherwise, and that would make two exchanges.
+    tokens = tokens.where("token is not null").repartition("token")
+    lists = tokens.groupBy("token").agg(
+        F.count("*").alias("size"),
+        F.min(F.struct(_unit("gid").alias("unit"), "gid", "n", "pos")).alias("pivot"),
+        F.bit_xor(F.xxhash64("gid")).alias("mark"),
+        F.max("gid").alias("last"),
+    )
+    # Of lists with the same members one is enough: that of the least token, since tokens are
+    # in order and it has the foremost place in all of them.
+    same = lists.where("size > 1").groupBy("size", "mark", "last", "pivot.gid")
+    lists = same.agg(F.min_by(F.struct("token", "size", "pivot"), "token").alias("l")).select("l.*")
+    return tokens.join(lists, "token").select(
+        "token", "gid", "n", "pos", F.col("pivot.gid").alias("p_gid"), F.col("pivot.n").alias("p_n"),
+        F.col("pivot.pos").alias("p_pos"),
+    )
+
+
 def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
     """Groups of documents linked by shingle sets with a Jaccard similarity of ``percent``.
 
@@ -334,24 +356,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
     grouped = classes.groupBy("n", "group_key", "prefix").agg(F.min("id").alias("gid"), F.count("*").alias("members"))
     groups = stage(grouped, "jaccard-groups")
     many = groups.where("members > 1").select("n", "group_key", "prefix", "gid")
-    tokens = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
-    lists = tokens.groupBy("token").agg(
-        F.count("*").alias("size"),
-        F.min(F.struct(_unit("gid").alias("unit"), "gid", "n", "pos")).alias("pivot"),
-        F.bit_xor(F.xxhash64("gid")).alias("mark"),
-        F.max("gid").alias("last"),
-    )
-    # Of lists with the same members one is enough: that of the least token, since tokens are
-    # in order and it has the foremost place in all of them.
-    same = lists.where("size > 1").groupBy("size", "mark", "last", "pivot.gid")
-    lists = same.agg(F.min_by(F.struct("token", "size", "pivot"), "token").alias("l")).select("l.*")
-    met = stage(
-        tokens.join(lists, "token").select(
-            "token", "gid", "n", "pos", F.col("pivot.gid").alias("p_gid"), F.col("pivot.n").alias("p_n"),
-            F.col("pivot.pos").alias("p_pos"),
-        ),
-        "jaccard-lists",
-    )
+    met = stage(_token_lists(groups), "jaccard-lists")
     same_prefix = classes.join(many, ["n", "group_key", "prefix"]).select("id", "gid", "n")
     inside = stage(same_prefix, "jaccard-members")
     pairs = (
