@@ -9,7 +9,8 @@ import numpy as np
 import pyarrow as pa
 
 from tickertide.llm import language_model as lm
-from tickertide.llm import phrases
+from tickertide.llm import packing, phrases
+from tickertide.llm.queries import tokenizer_path
 
 RANDOM = np.random.default_rng(5)
 
@@ -68,3 +69,27 @@ def test_pairs_leave_in_small_batches():
     assert sum(counts["n"].to_pylist()) == texts * (length - 1)
     assert max(b.num_rows for b in found) <= 1 << 16  # all of them in one before
     assert taken < 85 * texts * length  # 68 bytes a pair; 104 before
+
+
+def test_units_of_a_batch_are_encoded_a_few_at_once(monkeypatch):
+    """The packing's encoder, with far more new units than it may encode at once."""
+    path = tokenizer_path()
+    encoder = packing._Encoder(path)
+    seen = []
+    tokenizer = encoder.tokenizer
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(tokenizer, name)
+
+        def encode_batch_fast(self, texts, **options):
+            seen.append(sum(len(t.split()) for t in texts))
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Counting()
+    texts = [" ".join(f"w{i}k{j}" for j in range(100)) for i in range(600)]
+    found = list(encoder.encode(pa.array(texts)))
+    assert max(seen) <= packing.AT_ONCE * 500 < sum(seen)
+    for at in (0, 17, 599):
+        assert found[at].tolist() == tokenizer.encode(texts[at], add_special_tokens=False).ids
+    assert packing.CACHE_UNITS <= 500_000

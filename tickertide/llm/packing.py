@@ -12,9 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tickertide.llm.tables import stage
-from tickertide.llm.words import NON_SPACE, ragged, split_words
+from tickertide.llm.words import NON_SPACE, ragged, slices, split_words
 
-CACHE_UNITS = 1_500_000
+CACHE_UNITS = 400_000
+AT_ONCE = 50  # joined texts of 500 units that are encoded at once
 CELL_ITEMS = 10_000
 POOL = 8  # cells of pieces in a cell of bins that are exchanged
 IDLE = 2  # rounds of exchange that save no bin, before it ends
@@ -55,7 +56,8 @@ class _Encoder:
         texts = [b"".join(units[i] for i in order[a : min(a + 500, joined)]).decode() for a in range(0, joined, 500)]
         found = [
             np.array(e.ids, np.uint32)
-            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            for a in range(0, len(texts), AT_ONCE)
+            for e in self.tokenizer.encode_batch_fast(texts[a : a + AT_ONCE], add_special_tokens=False)
         ]
         ids = np.concatenate([*found, np.zeros(0, np.uint32)])
         upto = np.cumsum(self.bytes_of[ids])
@@ -118,23 +120,21 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> Data
     """The token sequence of each document (doc_id, text), cut from its end into pieces of ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            for low in range(0, batch.num_rows, 2000):
-                part = batch.slice(low, 2000)
-                row, piece, start, length, crc = [], [], [], [], []
-                for at, ids in enumerate(encoder(path).encode(part["text"])):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    edges = [0, *range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)]
-                    for i, (a, b) in enumerate(zip(edges, edges[1:])):
-                        row.append(at)
-                        piece.append(i)
-                        start.append(a)
-                        length.append(b - a)
-                        crc.append(zlib.crc32(ids[a:b].tobytes()))
-                yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"].take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
-                    ["doc_id", "piece", "start", "length", "ids_crc32"],
-                )
+        for part in slices(batches):
+            row, piece, start, length, crc = [], [], [], [], []
+            for at, ids in enumerate(encoder(path).encode(part["text"])):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                edges = [0, *range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)]
+                for i, (a, b) in enumerate(zip(edges, edges[1:])):
+                    row.append(at)
+                    piece.append(i)
+                    start.append(a)
+                    length.append(b - a)
+                    crc.append(zlib.crc32(ids[a:b].tobytes()))
+            yield pa.RecordBatch.from_arrays(
+                [part["doc_id"].take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
+                ["doc_id", "piece", "start", "length", "ids_crc32"],
+            )
 
     doc = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(

@@ -237,6 +237,7 @@ def train(texts: list[str | None], labels: list[int], landmarks: int = 192, nega
     root = vector[:, keep] / np.sqrt(value[keep])
     # Nystrom features of a word: its kernel with the landmarks times the root.
     table = base.T @ root
+    del base  # as large as the table
     own = word[(label[text] == 1) & (clean[word] == 0)]
     own_text = text[(label[text] == 1) & (clean[word] == 0)]
     # Toxic beyond chance: so many toxic texts and no clean one, over all words of the sample.
