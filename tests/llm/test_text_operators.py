@@ -501,3 +501,50 @@ def test_prefix_shingles_are_dealt_once(spark):
     assert sorted((r.token, r.gid, r.pos) for r in lists.collect()) == [(5, 1, 0), (5, 2, 0), (6, 1, 1), (6, 2, 1), (6, 3, 0)]
     plan = lists._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "ReusedExchange" in plan
+
+
+def test_bound_is_close_and_never_below_the_overlap():
+    """Counters of whole sets, also of different lengths."""
+    random = np.random.default_rng(3)
+    for n, m, shared in [(1, 1, 1), (3, 2, 0), (300, 280, 150), (1024, 1025, 900), (4000, 3700, 2500), (9000, 500, 400)]:
+        x = np.unique(random.integers(0, 1 << 63, n + m + 10).astype(np.uint64))[random.permutation(n + m)]
+        a, b = np.sort(x[:n]), np.sort(np.concatenate((x[:shared], x[n : n + m - shared])))
+        bound = jaccard._bound(jaccard._counters(a), jaccard._counters(b))
+        assert shared <= bound <= shared + (n - shared) * (m - shared) / max(128, max(n, m) / 2) * 1.3 + 12
+
+
+def test_lists_by_length_keep_every_pair_that_may_link(spark):
+    sizes = [1, 2, 9, 10, 90, 100, 101, 111, 112, 900, 1000, 1001, 1112]
+    rows = [(5, i, n) for i, n in enumerate(sizes)]
+    lists = spark.createDataFrame(rows, "token long, id long, n long").withColumn("second", F.lit(False))
+    cut = defaultdict(list)
+    for r in jaccard._by_length(lists, 90).collect():
+        cut[r.token].append(r)
+    met = Counter(
+        (a.id, b.id) for part in cut.values() for a in part for b in part if a.id < b.id and not (a.second and b.second)
+    )
+    assert set(met.values()) == {1}
+    for i, x in enumerate(sizes):
+        for j in range(i + 1, len(sizes)):
+            assert (i, j) in met or min(x, sizes[j]) * 100 < max(x, sizes[j]) * 90
+    assert (9, 12) not in met or len(met) < len(sizes) * (len(sizes) - 1) // 2
+
+
+def test_pairs_met_by_a_pivot_and_far_pairs_move_no_sets(spark, monkeypatch):
+    """Texts that share a passage and are not alike: no list stays open, no whole set is compared."""
+    passage = say(4)
+    rows = [(i, " ".join([passage, *(f"w{i}x{j}" for j in range(3 + 4 * i))])) for i in range(1, 20)]
+    rows += [(100, "one two three four five six " + say(40)), (101, "one two three four five six " + say(42))]
+    sizes = {}
+    plain = jaccard.stage
+
+    def counted(df, name):
+        found = plain(df, name)
+        if name in ("jaccard-may", "jaccard-near"):
+            sizes[name] = sizes.get(name, 0) + found.count()
+        return found
+
+    monkeypatch.setattr("tickertide.llm.jaccard.stage", counted)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_components(table(spark, rows)).collect()}
+    assert got == {d: d for d, _ in rows}
+    assert not sum(sizes.values())

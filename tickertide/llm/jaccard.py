@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,6 +66,24 @@ def _unpacked(column: pa.Array) -> np.ndarray:
     return units.astype(np.int32) << raw[:, -1:].astype(np.int32)
 
 
+def _counters(grams: np.ndarray) -> bytes:
+    """Packed counters of a whole set, about as many as it has shingles: a bound close to the overlap."""
+    size = 1 << max(8, (len(grams) - 1).bit_length())
+    return _packed(np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size))
+
+
+def _bound(a: bytes, b: bytes) -> int:
+    """What the overlap of two sets is at most, by their counters; the longer ones are folded."""
+    found = []
+    for packed in (a, b):
+        raw = np.frombuffer(packed, np.uint8)
+        units = np.stack((raw[:-1] >> 4, raw[:-1] & 15), axis=1).reshape(-1)
+        found.append(units.astype(np.int32) << np.int32(raw[-1]))
+    size = min(map(len, found))
+    one, two = (x.reshape(-1, size).sum(0) for x in found)
+    return int(np.minimum(one, two).sum())
+
+
 def _signatures(docs: DataFrame, levels: np.ndarray, k: int, percent: int) -> DataFrame:
     """Per document: set size, digest and profile of the set, prefix in order of frequency."""
 
@@ -130,8 +149,25 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     def sets(batches: Iterator[pa.RecordBatch]):
         for batch in slices(batches):
             words = split_words(batch["text"], NON_SPACE)
-            grams = [_shingles(words, i, k).tobytes() for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(grams, pa.binary())], ["id", "grams"])
+            grams = [_shingles(words, i, k) for i in range(batch.num_rows)]
+            columns = [
+                batch["id"],
+                pa.array([len(g) for g in grams], pa.int64()),
+                pa.array([_counters(g) for g in grams], pa.binary()),
+                pa.array([g.tobytes() for g in grams], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "counters", "grams"])
+
+    def bound(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            n = zip(batch["n_u"].to_pylist(), batch["n_v"].to_pylist())
+            counters = zip(batch["counters_u"], batch["counters_v"])
+            may = [
+                (100 + percent) * _bound(a.as_buffer(), b.as_buffer()) >= percent * (x + y)
+                for (a, b), (x, y) in zip(counters, n)
+            ]
+            mask = pa.array(may, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch["u"].filter(mask), batch["v"].filter(mask)], ["u", "v"])
 
     def compare(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -148,14 +184,25 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     asked = (
         docs.select(F.col("doc_id").alias("id"), "text")
         .join(small(ids, BROADCAST_IDS), "id")
-        .mapInArrow(sets, "id long, grams binary")
+        .mapInArrow(sets, "id long, n long, counters binary, grams binary")
     )
     asked = stage(asked, "jaccard-sets")
-    # The hub of a star is v: its set is attached while the rows are slim.
-    slim = pairs.join(asked.withColumnsRenamed({"id": "v", "grams": "grams_v"}), "v")
-    both = slim.join(asked.withColumnsRenamed({"id": "u", "grams": "grams_u"}), "u")
-    links = stage(both.select("u", "v", "grams_u", "grams_v").mapInArrow(compare, "u long, v long"), "jaccard-links")
-    discard(ids, asked)
+
+    def beside(pairs: DataFrame, held: DataFrame, *columns: str) -> DataFrame:
+        """The pairs with columns of both sides. The hub of a star is v: it is attached while the rows are slim."""
+        for side in ("v", "u"):
+            own = held.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
+            pairs = pairs.join(own, side)
+        return pairs.select("u", "v", *(f"{c}_{side}" for c in columns for side in "uv"))
+
+    # Counters move first, at most a byte for each shingle; whole sets of the pairs only that these leave.
+    near = beside(pairs, asked, "n", "counters").mapInArrow(bound, "u long, v long").distinct()
+    near = stage(near, "jaccard-near")
+    left = stage(near.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "jaccard-ids")
+    held = asked.join(small(left, BROADCAST_IDS), "id", "left_semi")
+    links = beside(near, held, "grams").mapInArrow(compare, "u long, v long")
+    links = stage(links, "jaccard-links")
+    discard(ids, asked, near, left)
     return links
 
 
@@ -188,7 +235,8 @@ def _across(lists: DataFrame, profiles: DataFrame, percent: int, everything: boo
     pairs are all there are. ``everything`` returns all pairs.
 
     The members of the largest component of a list (the rest of it) are never held against each
-    other. The others are cut into blocks, and each block meets each block of its list.
+    other. The others are cut into blocks, and each block meets each block of its list; two ``second``
+    members of a list never meet. A list of at most a block of members meets in one place.
     The overlap of two sets is at most the sum over the counters of the lesser count.
     A profile takes 129 bytes on its way to the blocks.
     """
@@ -199,12 +247,13 @@ def _across(lists: DataFrame, profiles: DataFrame, percent: int, everything: boo
     shape = shape.select(
         "token",
         F.col("largest.part").alias("main"),
+        (F.col("whole") <= BLOCK).alias("short"),
         F.ceil((F.col("whole") - F.col("largest.size")) / BLOCK).cast("int").alias("o_blocks"),
         F.ceil(F.col("largest.size") / BLOCK).cast("int").alias("m_blocks"),
     )
     other = F.col("part") != F.col("main")
-    own = F.pmod(F.xxhash64("id", "gid"), F.when(other, F.col("o_blocks")).otherwise(F.col("m_blocks"))).cast("int")
-    rows = lists.drop("size").join(shape, "token").select("*", other.alias("other"), own.alias("own"))
+    own = F.pmod(F.xxhash64("id"), F.when(other, F.col("o_blocks")).otherwise(F.col("m_blocks"))).cast("int")
+    rows = lists.join(shape, "token").select("*", other.alias("other"), own.alias("own"))
     # Meetings (i, j): block i of the others with block j of the others, i <= j, or of the main part.
     upto = F.transform(
         F.sequence(F.lit(0), F.col("o_blocks") - 1),
@@ -224,28 +273,32 @@ def _across(lists: DataFrame, profiles: DataFrame, percent: int, everything: boo
         F.sequence(F.lit(0), F.col("o_blocks") - 1),
         lambda x: F.struct(x.alias("i"), F.col("own").alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right"), F.lit(True).alias("with_main")),
     )
-    meetings = F.when(F.col("other"), F.concat(upto, to_main)).otherwise(from_main)
+    # A short list meets once, the main part on the right only.
+    once = F.array(
+        F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("other").alias("left"), F.lit(True).alias("right"), F.lit(True).alias("with_main"))
+    )
+    meetings = F.when(F.col("short"), once).when(F.col("other"), F.concat(upto, to_main)).otherwise(from_main)
     key = ["token", "with_main", "i", "j"]
     dealt = (
-        rows.select("token", "id", "n", "pos", "part", F.explode(meetings).alias("m"))
-        .select("token", "id", "n", "pos", "part", "m.*")
+        rows.select("token", "id", "n", "pos", "part", "second", F.explode(meetings).alias("m"))
+        .select("token", "id", "n", "pos", "part", "second", "m.*")
         .join(profiles.select("id", "profile"), "id")
         .repartition(*key)
         .sortWithinPartitions(*key)
     )
     whole, need = 100 + percent, percent
 
-    numbers = ["id", "n", "pos", "part", "left", "right"]
+    numbers = ["id", "n", "pos", "part", "second", "left", "right"]
 
     def hold(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
-        ids, n, pos, part = (rows[c] for c in numbers[:4])
+        ids, n, pos, part, second = (rows[c] for c in numbers[:5])
         left, right = np.flatnonzero(rows["left"]), np.flatnonzero(rows["right"])
         profile, out = rows["profile"], []
         step = max(1, 50_000 // max(1, len(right)))
         for low in range(0, len(left), step):
             a, b = left[low : low + step, None], right
             least = -(-(n[a] + n[b]) * need // whole)
-            ok = (part[a] != part[b]) & (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= least)
+            ok = (part[a] != part[b]) & ~(second[a] & second[b]) & (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= least)
             x, y = np.nonzero(ok)
             if not len(x):
                 continue
@@ -320,6 +373,20 @@ def _token_lists(groups: DataFrame) -> DataFrame:
     )
 
 
+def _by_length(lists: DataFrame, percent: int) -> DataFrame:
+    """Lists cut by set size, with a new token for each part.
+
+    The sizes of two sets that may link are in the same step of ``100 / percent`` or in neighbouring
+    ones. The part of a step has the sets of the step, and as ``second`` those of the step above it.
+    """
+    step = F.floor(F.log("n") / (math.log(100 / percent) + 1e-9))  # wider than the ratio by more than rounding
+    own = F.explode(F.array(F.struct(step.alias("step"), F.lit(False).alias("second")), F.struct((step - 1).alias("step"), F.lit(True).alias("second"))))
+    columns = [c for c in lists.columns if c not in ("token", "second")]
+    return lists.select("token", *columns, own.alias("cell")).select(
+        F.xxhash64("token", "cell.step").alias("token"), *columns, "cell.second"
+    )
+
+
 def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
     """Groups of documents linked by shingle sets with a Jaccard similarity of ``percent``.
 
@@ -332,8 +399,9 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
     size and prefix form a group. Groups that share a prefix shingle and pass the length and
     position filters are candidates; members are verified on their full sets. In each list
     of a shingle, all groups are first held against one pivot. Lists that then still hold
-    members of two or more components are cut into blocks; blocks meet in a task each, where
-    an upper bound on the overlap of two sets leaves few pairs to verify. Where it leaves many, in
+    members of two or more components besides the pivot are cut by set size and into blocks; blocks
+    meet in a task each, where an upper bound on the overlap of two sets leaves few pairs to verify.
+    Before whole sets move, finer counters bound the overlap again. Where it leaves many, in
     rounds each member proposes its best partner; once no proposal holds, all that the bound leaves are
     verified. No block of a list meets another outside a task of its own, no pair inside a component is
     verified, and no pair between components is left out.
@@ -357,8 +425,14 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
     groups = stage(grouped, "jaccard-groups")
     many = groups.where("members > 1").select("n", "group_key", "prefix", "gid")
     met = stage(_token_lists(groups), "jaccard-lists")
-    same_prefix = classes.join(many, ["n", "group_key", "prefix"]).select("id", "gid", "n")
+    # Most groups have one class: the prefixes of the others only are dealt again, where their keys are few.
+    keys = stage(many.select("group_key"), "jaccard-many")
+    held = classes
+    if keys.count() <= BROADCAST_IDS:
+        held = classes.join(F.broadcast(keys), "group_key", "left_semi")
+    same_prefix = held.join(many, ["n", "group_key", "prefix"]).select("id", "gid", "n")
     inside = stage(same_prefix, "jaccard-members")
+    discard(keys)
     pairs = (
         met.where("gid <> p_gid")
         .where(_may_link(percent, "", "p_"))
@@ -382,34 +456,37 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
     components = connected_components(first.union(_shared_ids(read, classes)))
     discard(first)
 
-    # Lists of classes by shingle, and by group, in which two components are left.
+    # Lists of classes by shingle, and by group. All but those of ``apart`` were held against the pivot.
     others = inside.where("id <> gid").select("id", "gid")
+    pivot = "gid = p_gid and n = p_n and pos = p_pos"
     entries = (
-        met.select("token", F.col("gid").alias("id"), "gid", "n", "pos", "p_gid")
-        .union(met.join(others, "gid").select("token", "id", "gid", "n", "pos", "p_gid"))
-        .union(
-            inside.select(
-                F.xxhash64(F.lit("group"), "gid").alias("token"), "id", "gid", "n", F.lit(0).alias("pos"),
-                F.col("gid").alias("p_gid"),
-            )
-        )
-    )
+        met.selectExpr("token", "gid as id", "n", "pos", "false as apart", f"{pivot} as pivot")
+        .union(met.join(others, "gid").selectExpr("token", "id", "n", "pos", "true", "false"))
+        .union(inside.selectExpr("xxhash64('group', gid)", "id", "n", "0", "false", "id = gid"))
+        .withColumn("second", F.lit(False))
+    )
 
     def open_lists(rows: DataFrame) -> DataFrame:
+        """What is left of the lists that hold members of two components which no pivot has met."""
+        rest = F.when(~F.col("pivot"), F.col("part"))
+        lists = rows.groupBy("token").agg(
+            F.bool_or("apart").alias("all"),
+            F.bool_and("second").alias("second"),
+            *(f(c).alias(f"{name}_{of}") for f, name in ((F.min, "low"), (F.max, "high")) for c, of in (("part", "all"), (rest, "rest"))),
+        )
+        unsettled = lists.where("not second and if(all, low_all < high_all, low_rest < high_rest)").select("token", "all")
+        return stage(rows.join(unsettled, "token").where("all or not pivot").drop("all"), "jaccard-open")
+
+    def with_parts(rows: DataFrame) -> DataFrame:
         parts = components.withColumnsRenamed({"id": "c_id"})
-        known = rows.join(parts, F.col("id") == F.col("c_id"), "left").select(
+        return rows.join(parts, F.col("id") == F.col("c_id"), "left").select(
             *rows.columns, F.coalesce("component", "id").alias("part")
         )
-        unsettled = (
-            known.groupBy("token")
-            .agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("size"))
-            .where("low < high")
-            .select("token", "size")
-        )
-        return stage(known.join(unsettled, "token"), "jaccard-open")
 
-    left = open_lists(entries)
+    whole = open_lists(with_parts(entries))
     discard(met, inside, groups)
+    left = open_lists(_by_length(whole, percent))
+    discard(whole)
     everything = False
     while not left.isEmpty():
         may = stage(_across(left, profiles, percent, everything), "jaccard-may")
@@ -423,8 +500,8 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
         before, components = components, joined(found)
         discard(before, found)
         before = left
-        rest = left.drop("part", "size").join(crowded.select(F.col("open").alias("token")).distinct(), "token", "left_semi")
-        left = open_lists(rest)
+        rest = left.drop("part").join(crowded.select(F.col("open").alias("token")).distinct(), "token", "left_semi")
+        left = open_lists(with_parts(rest))
         discard(before, may)
     discard(left)
     labels = classes.join(components.withColumnRenamed("id", "c_id"), F.col("id") == F.col("c_id"), "left").select(
