@@ -516,7 +516,7 @@ def test_bound_is_close_and_never_below_the_overlap():
 def test_lists_by_length_keep_every_pair_that_may_link(spark):
     sizes = [1, 2, 9, 10, 90, 100, 101, 111, 112, 900, 1000, 1001, 1112]
     rows = [(5, i, n) for i, n in enumerate(sizes)]
-    lists = spark.createDataFrame(rows, "token long, id long, n long").withColumn("second", F.lit(False))
+    lists = spark.createDataFrame(rows, "token long, id long, n long")
     cut = defaultdict(list)
     for r in jaccard._by_length(lists, 90).collect():
         cut[r.token].append(r)

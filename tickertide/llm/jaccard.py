@@ -196,13 +196,17 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
         return pairs.select("u", "v", *(f"{c}_{side}" for c in columns for side in "uv"))
 
     # Counters move first, at most a byte for each shingle; whole sets of the pairs only that these leave.
-    near = beside(pairs, asked, "n", "counters").mapInArrow(bound, "u long, v long").distinct()
+    near = beside(small(pairs, BROADCAST_IDS), asked, "n", "counters").mapInArrow(bound, "u long, v long").distinct()
     near = stage(near, "jaccard-near")
-    left = stage(near.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "jaccard-ids")
-    held = asked.join(small(left, BROADCAST_IDS), "id", "left_semi")
+    count = near.count()
+    if not count:
+        discard(ids, asked)
+        return near
+    left = near.select(F.explode(F.array("u", "v")).alias("id"))
+    held = asked.join(F.broadcast(left) if 2 * count <= BROADCAST_IDS else left, "id", "left_semi")
     links = beside(near, held, "grams").mapInArrow(compare, "u long, v long")
     links = stage(links, "jaccard-links")
-    discard(ids, asked, near, left)
+    discard(ids, asked, near)
     return links
 
 
@@ -381,7 +385,7 @@ def _by_length(lists: DataFrame, percent: int) -> DataFrame:
     """
     step = F.floor(F.log("n") / (math.log(100 / percent) + 1e-9))  # wider than the ratio by more than rounding
     own = F.explode(F.array(F.struct(step.alias("step"), F.lit(False).alias("second")), F.struct((step - 1).alias("step"), F.lit(True).alias("second"))))
-    columns = [c for c in lists.columns if c not in ("token", "second")]
+    columns = [c for c in lists.columns if c != "token"]
     return lists.select("token", *columns, own.alias("cell")).select(
         F.xxhash64("token", "cell.step").alias("token"), *columns, "cell.second"
     )
@@ -463,7 +467,6 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
         met.selectExpr("token", "gid as id", "n", "pos", "false as apart", f"{pivot} as pivot")
         .union(met.join(others, "gid").selectExpr("token", "id", "n", "pos", "true", "false"))
         .union(inside.selectExpr("xxhash64('group', gid)", "id", "n", "0", "false", "id = gid"))
-        .withColumn("second", F.lit(False))
     )
 
     def open_lists(rows: DataFrame) -> DataFrame:
@@ -483,10 +486,8 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
             *rows.columns, F.coalesce("component", "id").alias("part")
         )
 
-    whole = open_lists(with_parts(entries))
+    left = open_lists(_by_length(with_parts(entries), percent))
     discard(met, inside, groups)
-    left = open_lists(_by_length(whole, percent))
-    discard(whole)
     everything = False
     while not left.isEmpty():
         may = stage(_across(left, profiles, percent, everything), "jaccard-may")
