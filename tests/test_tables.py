@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import comparable, enriched, same_rows
+from tickertide.operators.merge import insert_if_absent
 from tickertide.operators.rollup import rollup_5m
-from tickertide.plans.backfill import read_recomputed, recompute_touched, touched_hours
+from tickertide.plans.backfill import read_recomputed, rebuild_from_tables, recompute_touched, touched_hours
 from tickertide.sources import tables
-from tickertide.sources.tables import RAW_TABLE, committed, read_rollup, read_table, stored_keys
+from tickertide.sources.tables import AUTHOR_TABLE, POST_KEYS, RAW_TABLE, committed, read_rollup, read_table, stored_keys
 from tickertide.streaming import rollup as streaming
 from tickertide.streaming.rollup import persist_and_roll
 
@@ -109,3 +110,45 @@ def test_recompute_reads_the_touched_parts(spark, tmp_path):
     text = plan(rows)
     assert "day#" in text.split("PartitionFilters: ")[1].split("PushedFilters")[0]
     assert "GreaterThanOrEqual(created_at" in text
+
+
+def test_authors_of_stored_posts_are_not_broadcast(spark, tmp_path):
+    """Estimates say that they are few; a row for each post would go through the driver."""
+    root = str(tmp_path / "out")
+    whole = posts(spark, [f"p{i}" for i in range(30)])
+    persist_and_roll(root, run="r")(whole, 0)
+    rebuilt = rebuild_from_tables(spark, root)
+    assert "Broadcast" not in plan(rebuilt) and plan(rebuilt).count("SortMergeJoin") == 1
+    assert same_rows(comparable(rebuilt), comparable(rollup_5m(whole)))
+
+
+def test_keys_are_broadcast_for_few_rows_only(spark):
+    schema = "source string, post_id string, seq int"
+    stored = spark.createDataFrame([("news", "a", 0), (None, "b", 0), ("news", None, 0)], schema)
+    rows = [("news", "a", 1), ("news", "b", 2), ("news", "b", 1), (None, "b", 1), ("news", None, 1)]
+    batch = spark.createDataFrame(rows, schema)
+    many, few = (insert_if_absent(stored, batch, POST_KEYS, ["seq"], few=f) for f in (False, True))
+    assert "Broadcast" not in plan(many) and plan(many).count("SortMergeJoin") == 2
+    assert plan(few).count("BroadcastHashJoin") == 1
+    assert same_rows(many, few)
+    assert sorted(map(str, many.collect())) == sorted(map(str, spark.createDataFrame(rows[2:], schema).collect()))
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_a_batch_of_many_posts_is_not_broadcast(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(streaming, "FEW_ROWS", most, raising=False)
+    root = str(tmp_path / "out")
+    run = persist_and_roll(root, run="r")
+    run(posts(spark, ["a", "b"]), 0)
+    plans = {}
+
+    def write(df, root, table, *where):
+        plans[table] = plan(df)
+        return tables.write_batch(df, root, table, *where)
+
+    monkeypatch.setattr(streaming, "write_batch", write)
+    run(posts(spark, ["b", "c"], author="zoe"), 1)
+    assert ("BroadcastHashJoin" in plans[RAW_TABLE]) == (most > 0)
+    assert plans[AUTHOR_TABLE].split("InMemoryTableScan")[0].count("SortMergeJoin") == 1
+    assert sorted(r.post_id for r in read_table(spark, root, RAW_TABLE).collect()) == ["a", "b", "c"]
+    assert read_table(spark, root, AUTHOR_TABLE).count() == 2

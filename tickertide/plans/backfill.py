@@ -50,11 +50,15 @@ def _one_each(posts: DataFrame) -> DataFrame:
 
 
 def _with_author(posts: DataFrame, raw: DataFrame) -> DataFrame:
-    """Stored posts with the author that the raw table holds."""
+    """Stored posts with the author that the raw table holds.
+
+    Both sides hold a row for each post, so they are joined by sort. Spark's estimate of the authors, a few
+    columns cut out of wide rows, is far too small, and their broadcast would fill the driver.
+    """
     keys = ["_hash", *POST_KEYS]
     authors = _one_each(raw.select(*POST_KEYS, "author"))
     hashed = posts.drop("author").withColumn("_hash", F.xxhash64(*POST_KEYS))
-    return hashed.join(authors, keys, "left")
+    return hashed.join(authors.hint("merge"), keys, "left")
 
 
 def rebuild_from_tables(spark: SparkSession, root: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tickertide.functions.text import dedup_key
 from tickertide.functions.time import utc_date
-from tickertide.operators.merge import insert_if_absent
+from tickertide.operators.merge import FEW_ROWS, insert_if_absent
 from tickertide.operators.rollup import mention_authors, rollup_5m
 from tickertide.operators.scoring import ScorerFactory, enrich, score_posts
 from tickertide.operators.validate import has_ticker, validate_enriched, validate_raw
@@ -88,7 +88,8 @@ def persist_and_roll(
             else:
                 stored = stored_keys(spark, root, posts, before)
             ordered = posts.withColumn("_order", F.xxhash64(F.to_json(F.struct(*STORED))))
-            fresh = insert_if_absent(stored, ordered, POST_KEYS, ["created_at", "_order"]).drop("_order").persist()
+            few = posts.count() <= FEW_ROWS
+            fresh = insert_if_absent(stored, ordered, POST_KEYS, ["created_at", "_order"], few).drop("_order").persist()
             try:
                 write_keys(fresh, root, name, batch_id)
                 write_batch(fresh, root, RAW_TABLE, name, batch_id)
@@ -97,7 +98,8 @@ def persist_and_roll(
                 known = read_table(spark, root, AUTHOR_TABLE, before)
                 known = _same_days(known, mentioned, "created_at")
                 keys = ["bucket_start", "ticker", "author_key"]
-                authors = mention_authors(mentioned).join(known.select(*keys), keys, "left_anti")
+                # By sort: repeated authors make small files of many rows, too many for a broadcast.
+                authors = mention_authors(mentioned).join(known.select(*keys).hint("merge"), keys, "left_anti")
                 write_batch(authors, root, AUTHOR_TABLE, name, batch_id)
                 # The new authors are found once: the rollup counts those just written.
                 written = read_batch(spark, root, AUTHOR_TABLE, name, batch_id)
