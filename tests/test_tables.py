@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 from helpers import comparable, enriched, same_rows
 from tickertide.operators.merge import insert_if_absent
 from tickertide.operators.rollup import rollup_5m
-from tickertide.plans.backfill import read_recomputed, rebuild_from_tables, recompute_touched, touched_hours
+from tickertide.plans import backfill
+from tickertide.plans.backfill import (
+    read_recomputed,
+    rebuild_from_tables,
+    rebuild_rollup,
+    recompute_touched,
+    touched_hours,
+)
 from tickertide.sources import tables
 from tickertide.sources.tables import AUTHOR_TABLE, POST_KEYS, RAW_TABLE, committed, read_rollup, read_table, stored_keys
 from tickertide.streaming import rollup as streaming
@@ -122,6 +129,17 @@ def test_authors_of_stored_posts_are_not_broadcast(spark, tmp_path):
     assert same_rows(comparable(rebuilt), comparable(rollup_5m(whole)))
 
 
+def test_authors_of_recomputed_hours_are_not_broadcast(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "out")
+    whole = posts(spark, [f"p{i}" for i in range(90)])
+    persist_and_roll(root, run="r")(whole, 0)
+    found = []
+    monkeypatch.setattr(backfill, "rebuild_rollup", lambda rows: found.append(rebuild_rollup(rows)) or found[-1])
+    recompute_touched(spark, root, touched_hours(whole))
+    assert "Broadcast" not in plan(found[0]) and plan(found[0]).count("SortMergeJoin") == 1
+    assert same_rows(comparable(read_recomputed(spark, root)), comparable(rollup_5m(whole)))
+
+
 def test_keys_are_broadcast_for_few_rows_only(spark):
     schema = "source string, post_id string, seq int"
     stored = spark.createDataFrame([("news", "a", 0), (None, "b", 0), ("news", None, 0)], schema)
